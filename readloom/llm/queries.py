@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import table
+from .shared import fold_of, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,8 +21,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bloom_lm import score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 5) == 1
+    return score_texts(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op10_bloom_lm": op10_bloom_lm,
 }
 
 ORACLE: dict[str, str] = {}
