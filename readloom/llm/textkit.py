@@ -109,13 +109,17 @@ _CLASS[[b for b in range(33, 127) if not _CLASS[b]]] = 4
 
 
 def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of letters of one case, of digits and of other signs, as words() but with their classes too."""
+    """Runs of letters (capitals only at their head), of digits and of other signs, as words() but with shapes too.
+
+    A shape tells the class of a run's first and last byte and whether it is longer than one.
+    """
     kind = _CLASS[raw]
     edge = np.ones(len(raw) + 1, dtype=bool)
-    edge[1 : len(raw)] = kind[1:] != kind[:-1]
+    edge[1 : len(raw)] = (kind[1:] != kind[:-1]) & ~((kind[1:] == 2) & (kind[:-1] == 1))
     edge[offsets[:-1]] = True
     starts, ends = _spans(kind > 0, edge[: len(raw)])
-    return _span_hash(_BYTE[_LOWER][raw], starts, ends), starts, ends, np.searchsorted(starts, offsets), kind[starts] if len(starts) else kind[:0]
+    shape = kind[starts] * 16 + kind[ends - 1] * 2 + (ends - starts > 1) if len(starts) else kind[:0]
+    return _span_hash(_BYTE[_LOWER][raw], starts, ends), starts, ends, np.searchsorted(starts, offsets), shape
 
 
 _STEP = np.random.default_rng(7).integers(1, _MASK, 16, dtype=np.uint64) | np.uint64(1)
