@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from .shared import spread, staged
 from .textkit import chunks, mix, words
 
-#: Bits of filter for one entry and probes for one membership test.
-BITS, PROBES = 12, 7
+#: Bits of filter for one entry, and how many of a 64-bit word's bits one membership test looks at.
+BITS, PROBES = 20, 4
 #: Most bytes of the filter broadcast at once; a larger one is broadcast in slices, one scan each.
 MOST_BROADCAST = 192 << 20
 #: Input bytes for one shard of the counts.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 
 _END = np.uint64(0x5EED0FE11D0C0DE5)
 _BEGIN = np.uint64(0xB0B0CAFE12345677)
@@ -59,26 +59,30 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(EDGES, counts, side="right") - 1
 
 
-def _halves(keys: np.ndarray, j: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 32-bit hashes of each (n-gram, j), combined into the probes."""
-    item = mix(keys + np.uint64((kind * 0x9E3779B97F4A7C15 + j * 0xD1B54A32D192ED03) % (1 << 64)))
-    return item >> np.uint64(32), (item & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+def _place(keys: np.ndarray, j: np.ndarray | int, size: np.ndarray | int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of the filter that an (n-gram, j) falls in, among ``size``, and the bits that it sets there."""
+    item = mix(keys + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64)) + np.asarray(j, dtype=np.uint64) * np.asarray(0xD1B54A32D192ED03, dtype=np.uint64))
+    bits = np.zeros(len(item), dtype=np.uint64)
+    for i in range(PROBES):
+        bits |= np.uint64(1) << (item >> np.uint64(6 * i) & np.uint64(63))
+    return (item >> np.uint64(32)) * np.asarray(size, dtype=np.uint64) >> np.uint64(32), bits
 
 
 def build_piece(entries: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
     """One shard's piece of the filter, from (kind, keys, counts)."""
     total = sum(int(level(c).sum()) for _, _, c in entries)
-    size = max(64, -(-total * BITS // 64) * 64)
-    flags = np.zeros(size, dtype=bool)
+    piece = np.zeros(max(1, -(-total * BITS // 64)), dtype=np.uint64)
     for kind, keys, counts in entries:
         reach = level(counts)
         for j in range(1, int(reach.max(initial=0)) + 1):
             on = keys[reach >= j]
             for at in range(0, len(on), 1 << 18):
-                first, step = _halves(on[at : at + (1 << 18)], j, kind)
-                for i in range(PROBES):
-                    flags[(first + np.uint64(i) * step) % np.uint64(size)] = True
-    return np.packbits(flags, bitorder="little")
+                word, bits = _place(on[at : at + (1 << 18)], j, len(piece), kind)
+                order = np.argsort(word, kind="stable")
+                word, bits = word[order], bits[order]
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                piece[word[first]] |= np.bitwise_or.reduceat(bits, first)
+    return piece
 
 
 class Filter:
@@ -87,38 +91,41 @@ class Filter:
     def __init__(self, pieces: dict[int, bytes], shard_bits: int):
         self.shift = np.uint64(64 - shard_bits)
         n = 1 << shard_bits
-        sizes = np.array([len(pieces.get(k, b"")) for k in range(n)], dtype=np.uint64)
-        self.data = np.concatenate([np.frombuffer(pieces.get(k, b""), dtype=np.uint8) for k in range(n)]) if n else np.zeros(0, np.uint8)
-        self.start = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64)
-        self.bits = sizes * np.uint64(8)
+        parts = [np.frombuffer(pieces.get(k, b""), dtype=np.uint64) for k in range(n)]
+        self.size = np.array([len(x) for x in parts], dtype=np.uint64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.uint64)
+        self.words = np.concatenate(parts)
+
+    def _shard(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> self.shift).astype(np.int64)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """Whether this slice has the shard of each key."""
-        return self.bits[self._shard(keys)] > 0
+        return self.size[self._shard(keys)] > 0
 
-    def _shard(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> self.shift).astype(np.int64)
+    def has(self, keys: np.ndarray, j: np.ndarray | int, kind: int) -> np.ndarray:
+        """Membership of each (n-gram, j)."""
+        shard = self._shard(keys)
+        word, bits = _place(keys, j, self.size[shard], kind)
+        return self.words[self.start[shard] + word] & bits == bits
 
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Repeated membership probes: the level at which each key first fails, less one."""
-        out = np.zeros(len(keys), dtype=np.int64)
-        left = np.flatnonzero(self.holds(keys)) if len(keys) else np.zeros(0, np.int64)
-        j = 1
+        """Level of each key by repeated probes: 1, 2, 4, ... until one fails, then between the last two."""
+        low = np.zeros(len(keys), dtype=np.int64)
+        left, j = np.flatnonzero(self.holds(keys)), 1
+        while len(left):
+            left = left[self.has(keys[left], j, kind)]
+            low[left] = j
+            j *= 2
+        high = low * 2
+        left = np.flatnonzero(high - low > 1)
         while len(left):
-            for pos_i in range(PROBES):
-                if not len(left):
-                    break
-                if pos_i == 0:
-                    shard = self._shard(keys[left])
-                    bits, start = self.bits[shard], self.start[shard]
-                    a, b = _halves(keys[left], j, kind)
-                pos = (a + np.uint64(pos_i) * b) % bits
-                ok = (self.data[start + (pos >> np.uint64(3))] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                if not ok.all():
-                    left, bits, start, a, b = left[ok], bits[ok], start[ok], a[ok], b[ok]
-            out[left] = j
-            j += 1
-        return out
+            middle = (low[left] + high[left]) // 2
+            ok = self.has(keys[left], middle, kind)
+            low[left[ok]] = middle[ok]
+            high[left[~ok]] = middle[~ok]
+            left = left[high[left] - low[left] > 1]
+        return np.minimum(low, len(VALUES) - 1)
 
 
 def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
