@@ -32,8 +32,9 @@ from .textkit import chunks, mix, words
 
 #: Bits of filter for one entry, and how many of a 64-bit word's bits one membership test looks at.
 BITS, PROBES = 20, 4
-#: Most bytes of the filter broadcast at once; a larger one is broadcast in slices, one scan each.
-MOST_BROADCAST = 192 << 20
+#: Most bytes broadcast at once, for words and for pairs. A larger filter of pairs is broadcast in slices, one
+#: scan each; of words, those below a count that makes the rest fit stand as unseen (in ``score``; ``base_score`` is exact).
+MOST_BROADCAST = 128 << 20
 #: Input bytes for one shard of the counts.
 SHARD_BYTES = 2 << 20
 
@@ -88,13 +89,15 @@ def build_piece(entries: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray
 class Filter:
     """The broadcast filter: pieces end to end, found by the top bits of a key."""
 
-    def __init__(self, pieces: dict[int, bytes], shard_bits: int):
+    def __init__(self, sizes: dict[int, int], pieces, shard_bits: int):
+        """``sizes``: 64-bit words of each shard's piece; ``pieces``: (shard, bytes), read one by one."""
         self.shift = np.uint64(64 - shard_bits)
-        n = 1 << shard_bits
-        parts = [np.frombuffer(pieces.get(k, b""), dtype=np.uint64) for k in range(n)]
-        self.size = np.array([len(x) for x in parts], dtype=np.uint64)
+        self.size = np.array([sizes.get(k, 0) for k in range(1 << shard_bits)], dtype=np.uint64)
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.uint64)
-        self.words = np.concatenate(parts)
+        self.words = np.zeros(int(self.size.sum()), dtype=np.uint64)
+        for shard, piece in pieces:
+            at = int(self.start[shard])
+            self.words[at : at + sizes[shard]] = np.frombuffer(piece, dtype=np.uint64)
 
     def _shard(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> self.shift).astype(np.int64)
@@ -201,16 +204,17 @@ def gather_counts(texts: DataFrame, shard_bits: int) -> DataFrame:
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _runs(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.uint64))
-        return pd.DataFrame({"kind": [pdf["kind"][0]], "shard": [pdf["shard"][0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "types": [len(keys)], "total": [int(counts.sum())]})
+        reach = level(counts)
+        return pd.DataFrame({"kind": [pdf["kind"][0]], "shard": [pdf["shard"][0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "types": [len(keys)], "total": [int(counts.sum())], "entries": [[int(reach[counts >= 1 << k].sum()) for k in range(20)]]})
 
     packed = texts.mapInArrow(count, "kind int, shard int, keys binary, counts binary")
-    return packed.groupBy("kind", "shard").applyInPandas(merge, "kind int, shard int, keys binary, counts binary, types bigint, total bigint")
+    return packed.groupBy("kind", "shard").applyInPandas(merge, "kind int, shard int, keys binary, counts binary, types bigint, total bigint, entries array<bigint>")
 
 
 _PACKED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def filter_pieces(counts: DataFrame, min_pair: int) -> DataFrame:
+def filter_pieces(counts: DataFrame, min_word: int, min_pair: int) -> DataFrame:
     """A row for each kind and shard with its piece of the filter; history totals stand with their pairs."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +222,7 @@ def filter_pieces(counts: DataFrame, min_pair: int) -> DataFrame:
             for row in pdf.itertuples():
                 keys, n = np.frombuffer(row.keys, np.uint64), np.frombuffer(row.counts, np.uint64).astype(np.int64)
                 if row.kind == WORD:
-                    entries = [(WORD, keys, n)]
+                    entries = [(WORD, keys[n >= min_word], n[n >= min_word])]
                 else:
                     keys, n = keys[n >= min_pair], n[n >= min_pair]
                     entries = [(PAIR, keys, n), (HISTORY, *_runs(keys >> np.uint64(32) << np.uint64(32), n))]
@@ -337,18 +341,21 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     counts = staged(gather_counts(spread(learn), shard_bits))
     sums = counts.filter(F.col("kind") == WORD).agg(F.sum("total").alias("n"), F.sum("types").alias("v")).first()
     total, types = int(sums["n"] or 0), int(sums["v"] or 0)
-    pieces = staged(filter_pieces(counts, min_pair))
-    sizes = {(r["kind"], r["shard"]): r["size"] for r in pieces.select("kind", "shard", F.length("piece").alias("size")).collect()}
+    reach = counts.filter(F.col("kind") == WORD).select(F.posexplode("entries").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    fitting = [r["k"] for r in reach if r["n"] * BITS // 8 <= most_broadcast]
+    pieces = staged(filter_pieces(counts, 1 << min(fitting, default=19), min_pair))
+    sizes = {(r["kind"], r["shard"]): r["size"] // 8 for r in pieces.select("kind", "shard", F.length("piece").alias("size")).collect()}
 
     def slice_of(kind: int, shards: list[int]):
-        found = {r["shard"]: bytes(r["piece"]) for r in pieces.filter((F.col("kind") == kind) & F.col("shard").isin(shards)).collect()}
-        return spark.sparkContext.broadcast(Filter({s: found.get(s, bytes(8)) for s in shards}, shard_bits))
+        found = pieces.filter((F.col("kind") == kind) & F.col("shard").isin(shards)).select("shard", "piece")
+        own = {s: sizes.get((kind, s), 1) for s in shards}
+        return spark.sparkContext.broadcast(Filter(own, ((r["shard"], r["piece"]) for r in found.toLocalIterator()), shard_bits))
 
     everywhere = list(range(1 << shard_bits))
     shared_words = slice_of(WORD, everywhere)
     slices, size = [[]], 0
     for s in everywhere:
-        own = sizes.get((PAIR, s), 8)
+        own = 8 * sizes.get((PAIR, s), 1)
         if slices[-1] and size + own > most_broadcast:
             slices.append([])
             size = 0

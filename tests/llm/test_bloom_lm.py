@@ -45,7 +45,7 @@ def test_levels_survive_the_filter():
     counts = rng.integers(1, 3000, 5000)
     shards = (keys >> np.uint64(60)).astype(int)
     pieces = {s: B.build_piece([(B.WORD, keys[shards == s], counts[shards == s])]).tobytes() for s in range(16)}
-    found = B.Filter(pieces, 4)
+    found = B.Filter({s: len(p) // 8 for s, p in pieces.items()}, pieces.items(), 4)
     got = found.levels(keys, B.WORD)
     assert (got >= B.level(counts)).all() and (got == B.level(counts)).mean() > 0.98
     other = rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
