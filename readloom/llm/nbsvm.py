@@ -156,22 +156,24 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     return fit([np.frombuffer(r["buckets"], np.uint32).astype(np.int64) for r in rows], np.array([r["label"] for r in rows]))
 
 
-def classify(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``df`` with columns ``score`` and ``predicted`` of every whole text.
+def classify(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``score`` and ``predicted`` of every whole text.
 
     Null and empty texts have no features and get the score of the bias. Columns
     of these two names that ``df`` has are replaced. Repeated rows score alike.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = df.drop("score", "predicted")
-    at = kept.columns.index(text_col)
+    asked = df.withColumn("_text", df[text_col].cast("string"))
+    names = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted")]
+    kept = asked.select(*names)
+    asked = asked.select(*names, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for first, last, raw, offsets in chunks(batch.column(at).cast(pa.string())):
+            for first, last, raw, offsets in chunks(batch.column(len(names))):
                 score[first:last] = shared.value.scores(*features(raw, offsets), last - first)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept.columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return spread(kept).mapInArrow(run, f"{fields}, score double, predicted int")
+    return spread(asked).mapInArrow(run, f"{fields}, score double, predicted int")

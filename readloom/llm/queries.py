@@ -21,6 +21,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_cnn import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 4) == 2
+    found = identify(docs, train(docs, ~held_out), keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nbsvm import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 4) == 2
+    model = train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return classify(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bloom_lm import score_texts
 
@@ -31,6 +49,8 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op5_byte_cnn": op5_byte_cnn,
+    "op6_nbsvm": op6_nbsvm,
     "op10_bloom_lm": op10_bloom_lm,
 }
 
