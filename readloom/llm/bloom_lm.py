@@ -4,9 +4,8 @@ Counts of words and of word pairs are gathered from the whole training part in
 shards of the key space (packed sorted keys and counts, so the shuffle moves few
 rows). Each shard then builds its own piece of one Bloom filter: an n-gram whose
 count has quantised level L is entered L times, as (n-gram, 1) to (n-gram, L).
-The pieces are broadcast; a worker finds a level again by probing 1, 2, ...
-until a probe fails. Pairs enter from ``min_pair`` occurrences on, and one whose
-second probe fails counts as unseen, which squares the error rate.
+The pieces are broadcast; a worker finds a level again by repeated probes. Pairs
+enter from ``min_pair`` occurrences on, so their lowest level is that count's.
 
     P(w | h) = (c(h w) + mu * P(w)) / (r(h) + mu)
 
@@ -31,7 +30,7 @@ from .shared import spread, staged
 from .textkit import chunks, mix, words
 
 #: Bits of filter for one entry, and how many of a 64-bit word's bits one membership test looks at.
-BITS, PROBES = 20, 4
+BITS, PROBES = 20, 5
 #: Most bytes broadcast at once, for words and for pairs. A larger filter of pairs is broadcast in slices, one
 #: scan each; of words, those below a count that makes the rest fit stand as unseen (in ``score``; ``base_score`` is exact).
 MOST_BROADCAST = 128 << 20
@@ -69,13 +68,13 @@ def _place(keys: np.ndarray, j: np.ndarray | int, size: np.ndarray | int, kind:
     return (item >> np.uint64(32)) * np.asarray(size, dtype=np.uint64) >> np.uint64(32), bits
 
 
-def build_piece(entries: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """One shard's piece of the filter, from (kind, keys, counts)."""
-    total = sum(int(level(c).sum()) for _, _, c in entries)
+def build_piece(entries: list[tuple[int, np.ndarray, np.ndarray]], lowest: int = 1) -> np.ndarray:
+    """One shard's piece of the filter, from (kind, keys, counts); levels below ``lowest`` are left out."""
+    total = sum(int(np.maximum(level(c) - lowest + 1, 0).sum()) for _, _, c in entries)
     piece = np.zeros(max(1, -(-total * BITS // 64)), dtype=np.uint64)
     for kind, keys, counts in entries:
         reach = level(counts)
-        for j in range(1, int(reach.max(initial=0)) + 1):
+        for j in range(lowest, int(reach.max(initial=0)) + 1):
             on = keys[reach >= j]
             for at in range(0, len(on), 1 << 18):
                 word, bits = _place(on[at : at + (1 << 18)], j, len(piece), kind)
@@ -112,10 +111,10 @@ class Filter:
         word, bits = _place(keys, j, self.size[shard], kind)
         return self.words[self.start[shard] + word] & bits == bits
 
-    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Level of each key by repeated probes: 1, 2, 4, ... until one fails, then between the last two."""
+    def levels(self, keys: np.ndarray, kind: int, lowest: int = 1) -> np.ndarray:
+        """Level of each key by repeated probes: ``lowest`` times 1, 2, 4, ... until one fails, then between the last two."""
         low = np.zeros(len(keys), dtype=np.int64)
-        left, j = np.flatnonzero(self.holds(keys)), 1
+        left, j = np.flatnonzero(self.holds(keys)), lowest
         while len(left):
             left = left[self.has(keys[left], j, kind)]
             low[left] = j
@@ -226,7 +225,8 @@ def filter_pieces(counts: DataFrame, min_word: int, min_pair: int) -> DataFrame:
                 else:
                     keys, n = keys[n >= min_pair], n[n >= min_pair]
                     entries = [(PAIR, keys, n), (HISTORY, *_runs(keys >> np.uint64(32) << np.uint64(32), n))]
-                yield pd.DataFrame({"kind": [row.kind], "shard": [row.shard], "piece": [build_piece(entries).tobytes()]})
+                lowest = 1 if row.kind == WORD else int(level(np.array([min_pair]))[0])
+                yield pd.DataFrame({"kind": [row.kind], "shard": [row.shard], "piece": [build_piece(entries, lowest).tobytes()]})
 
     return counts.select("kind", "shard", "keys", "counts").mapInPandas(build, "kind int, shard int, piece binary")
 
@@ -298,7 +298,7 @@ def _cogroup(sent: DataFrame, owned: DataFrame, look_up) -> DataFrame:
     return sorted_.mapInPandas(run, "_row bigint, base_score double, n_known bigint")
 
 
-def pair_scores(rows: DataFrame, shared_words, shared_pairs, total: int, types: int, mu: float) -> DataFrame:
+def pair_scores(rows: DataFrame, shared_words, shared_pairs, total: int, types: int, mu: float, lowest: int) -> DataFrame:
     """Log10 probability of each ``_row`` over the tokens whose history this slice of the filter holds."""
     scale = total + 0.5 * (types + 1)
 
@@ -315,10 +315,9 @@ def pair_scores(rows: DataFrame, shared_words, shared_pairs, total: int, types:
                 w, at = np.unique(tokens, return_inverse=True)
                 single = ((VALUES[unigrams.levels(w, WORD)] + 0.5) / scale)[at]
                 b, at = np.unique(pair_keys(before, tokens), return_inverse=True)
-                found = pairs.levels(b, PAIR)
-                pair = np.where(found >= 2, VALUES[found], 0.0)[at]
+                pair = VALUES[pairs.levels(b, PAIR, lowest)][at]
                 h, at = np.unique(before >> np.uint64(32) << np.uint64(32), return_inverse=True)
-                rest = VALUES[pairs.levels(h, HISTORY)][at]
+                rest = VALUES[pairs.levels(h, HISTORY, lowest)][at]
                 p = (np.minimum(pair, rest) + mu * single) / (rest + mu)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(lengths.astype(np.int64)), pa.array(np.bincount(text, np.log10(p), n).astype(float))], ["_row", "n_tokens", "score"])
 
@@ -362,7 +361,7 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
         slices[-1].append(s)
         size += own
     spread_rows = spread(rows)
-    scored = [pair_scores(spread_rows, shared_words, slice_of(PAIR, shards), total, types, mu) for shards in slices]
+    scored = [pair_scores(spread_rows, shared_words, slice_of(PAIR, shards), total, types, mu, int(level(np.array([min_pair]))[0])) for shards in slices]
     together = scored[0]
     for more in scored[1:]:
         together = together.unionByName(more)

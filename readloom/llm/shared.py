@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from zlib import crc32
@@ -51,7 +52,20 @@ def fold(value: int, parts: int) -> int:
     return crc32(str(value).encode()) % parts
 
 
+#: Rows and bytes of one Arrow batch at most, so that long texts don't pile up in a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to BATCH where they are higher or off."""
+    for key, most in BATCH.items():
+        now = re.match(r"-?\d+", str(spark.conf.get(key)))
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows evenly when the scan alone gives fewer partitions than there are cores."""
+    small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
