@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import fold_of, table
 
@@ -21,6 +22,33 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p
+) WHERE rank <= 5
+"""
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, word_length
+
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, word_length(docs["text"]))
+
+
 def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_cnn import identify, train
 
@@ -39,6 +67,12 @@ def op6_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wordpiece import build, byte_level_pieces, count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), build(*byte_level_pieces(tokenizer_path("byte_bpe_50k.json"))))
+
+
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bloom_lm import score_texts
 
@@ -49,9 +83,12 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_top_k": op2_top_k,
+    "op3_packing": op3_packing,
     "op5_byte_cnn": op5_byte_cnn,
     "op6_nbsvm": op6_nbsvm,
+    "op9_token_counts": op9_token_counts,
     "op10_bloom_lm": op10_bloom_lm,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_top_k": OP2_SQL}
