@@ -67,6 +67,12 @@ def op6_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract, train
+
+    return extract(table(spark, sf_dir, "pages"), train())
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wordpiece import build, byte_level_pieces, count_tokens
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_byte_cnn": op5_byte_cnn,
     "op6_nbsvm": op6_nbsvm,
+    "op7_html_lstm": op7_html_lstm,
     "op9_token_counts": op9_token_counts,
     "op10_bloom_lm": op10_bloom_lm,
 }
