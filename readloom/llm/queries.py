@@ -49,6 +49,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, word_length(docs["text"]))
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_cnn import identify, train
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_top_k": op2_top_k,
     "op3_packing": op3_packing,
+    "op4_chosen_path": op4_chosen_path,
     "op5_byte_cnn": op5_byte_cnn,
     "op6_nbsvm": op6_nbsvm,
     "op7_html_lstm": op7_html_lstm,
