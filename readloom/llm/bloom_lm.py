@@ -34,6 +34,8 @@ BITS, PROBES = 20, 5
 #: Most bytes broadcast at once, for words and for pairs. A larger filter of pairs is broadcast in slices, one
 #: scan each; of words, those below a count that makes the rest fit stand as unseen (in ``score``; ``base_score`` is exact).
 MOST_BROADCAST = 128 << 20
+#: Words whose counts one task of the base score holds.
+OWNED = 1 << 20
 #: Input bytes for one shard of the counts.
 SHARD_BYTES = 2 << 20
 
@@ -195,7 +197,7 @@ def gather_counts(texts: DataFrame, shard_bits: int) -> DataFrame:
                     k, c = np.unique(keys, return_counts=True)
                     held[kind].append((k, c.astype(np.uint32)))
                     size += len(k)
-                if size > 3_000_000:
+                if size > 2_000_000:
                     yield flush()
                     size = 0
         if size:
@@ -232,8 +234,13 @@ def filter_pieces(counts: DataFrame, min_word: int, min_pair: int) -> DataFrame:
 
 
 def base_scores(rows: DataFrame, counts: DataFrame, shard_bits: int, total: int, types: int) -> DataFrame:
-    """Exact base score and known tokens of each ``_row``: words go to the shard of their counts, partial sums come back."""
+    """Exact base score and known tokens of each ``_row``: words go to the shard of their counts, partial sums come back.
+
+    Neighbouring shards of the counts are looked up together, about OWNED words in
+    one place, so that a text gets few partial sums.
+    """
     scale = total + 0.5 * (types + 1)
+    own_bits = min(shard_bits, max(4, (types // OWNED).bit_length()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +251,7 @@ def base_scores(rows: DataFrame, counts: DataFrame, shard_bits: int, total: int,
                 keys, text = tokens[order], text[order].astype(np.uint16 if last - first < 65536 else np.uint32)
                 starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 keys, runs = keys[starts], np.diff(np.append(starts, len(text))).astype(np.uint32)
-                cut, own = _cut(keys, shard_bits), ids[first:last].tobytes()
+                cut, own = _cut(keys, own_bits), ids[first:last].tobytes()
                 at = np.append(starts, len(text))
                 yield pa.RecordBatch.from_pylist(
                     [{"shard": s, "ids": own, "wide": text.itemsize, "keys": keys[a:b].tobytes(), "runs": runs[a:b].tobytes(), "texts": text[at[a] : at[b]].tobytes()} for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a],
@@ -270,18 +277,18 @@ def base_scores(rows: DataFrame, counts: DataFrame, shard_bits: int, total: int,
                 yield pd.DataFrame({"_row": ids[some], "base_score": logs[some], "n_known": seen[some]})
 
     sent = rows.select("_row", "_text").mapInArrow(send, "shard int, ids binary, wide int, keys binary, runs binary, texts binary")
-    owned = counts.filter(F.col("kind") == WORD).select("shard", "keys", "counts")
+    owned = counts.filter(F.col("kind") == WORD).select(F.shiftright("shard", shard_bits - own_bits).alias("shard"), F.col("shard").alias("place"), "keys", "counts")
     partial = _cogroup(sent, owned, look_up)
     return partial.groupBy("_row").agg(F.sum("base_score").alias("base_score"), F.sum("n_known").alias("n_known"))
 
 
 def _cogroup(sent: DataFrame, owned: DataFrame, look_up) -> DataFrame:
     """Pieces of texts against the counts of their shard; counts are attached to the first rows of a shard only."""
-    marked = sent.withColumn("counts", F.lit(None).cast("binary")).unionByName(
-        owned.select("shard", F.lit(None).cast("binary").alias("ids"), F.lit(0).alias("wide"), "keys", F.lit(None).cast("binary").alias("runs"), F.lit(None).cast("binary").alias("texts"), "counts")
+    marked = sent.withColumns({"counts": F.lit(None).cast("binary"), "place": F.lit(None).cast("int")}).unionByName(
+        owned.select("shard", "place", F.lit(None).cast("binary").alias("ids"), F.lit(0).alias("wide"), "keys", F.lit(None).cast("binary").alias("runs"), F.lit(None).cast("binary").alias("texts"), "counts")
     )
     parts = max(1, int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = marked.repartition(parts, "shard").sortWithinPartitions("shard", F.col("counts").isNull())
+    sorted_ = marked.repartition(parts, "shard").sortWithinPartitions("shard", F.col("place").asc_nulls_last()).drop("place")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, own = None, None
@@ -305,7 +312,7 @@ def pair_scores(rows: DataFrame, shared_words, shared_pairs, total: int, types:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unigrams, pairs = shared_words.value, shared_pairs.value
         for batch in batches:
-            for first, last, raw, offsets in chunks(batch.column(1)):
+            for first, last, raw, offsets in chunks(batch.column(1), 1 << 20):
                 tokens, text, before = _tokens(raw, offsets)
                 n = last - first
                 lengths = np.bincount(text, minlength=n)
@@ -331,10 +338,12 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     row. A null or empty text is its end token alone. Repeated rows and rows with
     a null id are scored like any other; only the two named columns are read, so
     other columns cannot clash. With no training text every count is 0.
-    ``df`` must be a repeatable scan (rows are told apart by their place in it).
+    Rows are told apart by a hash of id and text, so a scan that is dealt anew
+    after a lost executor gives the same result.
     """
     spark = df.sparkSession
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), df[id_col].alias("_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("_text"))
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    rows = df.select(F.xxhash64(df[id_col], text).alias("_row"), df[id_col].alias("_id"), text.alias("_text"))
     learn = training.select(F.coalesce(training[text_col].cast("string"), F.lit("")).alias("_text"))
     shard_bits = max(4, (max(1, input_bytes(learn) // SHARD_BYTES)).bit_length())
     counts = staged(gather_counts(spread(learn), shard_bits))
@@ -365,11 +374,12 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     together = scored[0]
     for more in scored[1:]:
         together = together.unionByName(more)
-    together = together.groupBy("_row").agg(F.max("n_tokens").alias("n_tokens"), F.sum("score").alias("score"))
+    times = F.count("*") / len(slices)  # a repeated row came as often as it is there
+    together = together.groupBy("_row").agg(F.max("n_tokens").alias("n_tokens"), (F.sum("score") / times).alias("score"), times.alias("_times"))
     base = base_scores(spread_rows, counts, shard_bits, total, types)
     return (
         rows.select("_row", F.col("_id").alias(id_col))
         .join(together, "_row")
         .join(base, "_row")
-        .select(id_col, "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+        .select(id_col, "n_tokens", F.round(F.col("n_known") / F.col("_times")).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base_score") / F.col("_times")).alias("base_score"), "score")
     )
