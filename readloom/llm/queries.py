@@ -79,6 +79,12 @@ def op7_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"), train())
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nn_descent import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wordpiece import build, byte_level_pieces, count_tokens
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_cnn": op5_byte_cnn,
     "op6_nbsvm": op6_nbsvm,
     "op7_html_lstm": op7_html_lstm,
+    "op8_nn_descent": op8_nn_descent,
     "op9_token_counts": op9_token_counts,
     "op10_bloom_lm": op10_bloom_lm,
 }
