@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -43,6 +44,12 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing holds any more; rounds would pile them up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold_of(column: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string")) % parts
@@ -53,7 +60,7 @@ def fold(value: int, parts: int) -> int:
 
 
 #: Rows and bytes of one Arrow batch at most, so that long texts don't pile up in a Python worker.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
