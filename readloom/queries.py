@@ -1,6 +1,487 @@
-"""The registered queries of the read-processing operators and their SQL."""
+"""The registered queries of the read-processing operators and their SQL.
+
+The driver's tables hold no sequencing reads, so reads are derived from whole
+``events`` by one rule, written once and used on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import sequences as S
+from .operators import catalog, counting, demultiplex, detection, extraction, quality, rounds
+from .sources import archive
+
+P5, P3 = "GGTAATACGACTCACTATAGGG", "CCATGCATGCATGCATGCAT"
+ROUNDS = ["round_00", "round_01", "round_02"]
+CODES = {"AAAAA": 0, "TTTTT": 1, "CCCCC": 2}
+
+#: Reads of three rounds, ever less diverse: one in ten with a mismatch in the 5' primer, one in 33 from an adapter, one
+#: in nine from the other strand, one in 50 with an odd letter, one in 200 without primers. STRING is a type of both engines.
+_INSERT = "translate(substr(md5(CAST(user_id % (CASE event_id % 3 WHEN 0 THEN 97 WHEN 1 THEN 31 ELSE 7 END) AS STRING)), 1, CASE WHEN event_id % 11 = 0 THEN 18 ELSE 20 END), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_FORWARD = f"concat(CASE WHEN event_id % 10 = 0 THEN 'GGTAATTCGACTCACTATAGGG' ELSE '{P5}' END, {_INSERT}, CASE WHEN event_id % 50 = 7 THEN 'X' ELSE '' END, CASE WHEN event_id % 33 = 5 THEN 'AGATCGGAAGAGC' ELSE '' END, '{P3}')"
+READS = f"""
+SELECT concat('round_0', CAST(event_id % 3 AS STRING)) AS round, 'R1' AS mate, CAST(event_id % 2 AS INTEGER) AS file_index, event_id AS read_index,
+       CASE WHEN event_id % 200 = 13 THEN {_INSERT}
+            WHEN event_id % 9 = 4 THEN reverse(translate({_FORWARD}, 'ACGT', 'TGCA'))
+            ELSE {_FORWARD} END AS sequence
+FROM events
+"""
+CODED = f"SELECT event_id AS read_index, 'R1' AS mate, concat(CASE event_id % 5 WHEN 0 THEN 'AAAAA' WHEN 1 THEN 'TTTTT' WHEN 2 THEN 'CCCCC' WHEN 3 THEN 'AAAAT' ELSE 'GGGGG' END, {_INSERT}) AS sequence FROM events"
+RUNS = """
+SELECT concat('RUN', CAST(p_partkey AS STRING)) AS run_accession,
+       concat('S', CAST(p_partkey % 400 AS STRING)) AS sample_accession,
+       CASE p_partkey % 6 WHEN 0 THEN concat(p_name, ' Round ', CAST(p_size AS STRING)) WHEN 1 THEN concat(p_name, ' R', CAST(p_size AS STRING)) WHEN 2 THEN concat('round', CAST(p_size AS STRING), ' cycle-', CAST(p_size % 9 AS STRING))
+            WHEN 3 THEN concat('SelexR', CAST(p_size AS STRING)) ELSE p_name END AS sample_title,
+       CASE WHEN p_partkey % 6 = 4 THEN concat('pool_', CAST(p_size AS STRING), ' x') ELSE p_type END AS library_name
+FROM part
+"""
+
+
+def _view(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
+    return spark.sql(sql.replace(f"FROM {table}", "FROM {t}"), t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, READS, "events")
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, CODED, "events")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, RUNS, "part")
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).groupBy("round", "sequence").agg(F.count("*").alias("reads"))
+
+
+def near_sql(text: str) -> str:
+    return "(" + S.near_pattern(text) + ")"
+
+
+WITH = f"WITH reads AS ({READS}), counts AS (SELECT round, sequence, count(*) AS reads FROM reads GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY reads DESC, sequence) AS rank FROM counts) "
+REVERSED = "reverse(translate({0}, 'ACGTUNacgtun', 'TGCAANtgcaan'))"
+STRAND = f"CASE WHEN length(sequence) >= 22 AND hamming(substr(sequence, 1, 22), '{P5}') <= 1 THEN 'forward' WHEN length(sequence) >= 20 AND hamming(substr(sequence, 1, 20), '{S.reverse_complement_text(P3)}') <= 1 THEN 'reverse' ELSE 'ambiguous' END"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def put(query: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[query.__name__] = query
+        if sql is not None:
+            ORACLE[query.__name__] = sql
+        return query
+
+    return put
+
+
+# counts
+
+
+@register(WITH + "SELECT round, sequence, reads::DOUBLE AS reads, rank::BIGINT AS rank, round(reads / sum(reads) OVER (PARTITION BY round) * 1e6, 6) AS rpm FROM ranked")
+def count_table(spark, sf_dir):
+    t = counting.count_sequences(reads(spark, sf_dir))
+    return t.select("round", "sequence", "reads", F.col("rank").cast("bigint").alias("rank"), F.round("rpm", 6).alias("rpm"))
+
+
+@register("SELECT source AS round, text AS sequence, count(*)::DOUBLE AS reads, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, text)::BIGINT AS rank FROM documents GROUP BY source, text")
+def count_table_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("round"), F.col("text").alias("sequence"))
+    return counting.count_sequences(docs).select("round", "sequence", "reads", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register(WITH + "SELECT sequence, round, reads::BIGINT AS reads FROM counts")
+def sparse_counts_long(spark, sf_dir):
+    return counting.experiment(counts(spark, sf_dir))
+
+
+@register(WITH + "SELECT sequence, " + ", ".join(f"sum(CASE WHEN round = '{r}' THEN reads ELSE 0 END)::BIGINT AS {r}" for r in ROUNDS) + " FROM counts GROUP BY sequence")
+def sparse_counts_wide(spark, sf_dir):
+    return counting.wide(counting.experiment(counts(spark, sf_dir)), ROUNDS)
+
+
+@register("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{e}')::BIGINT AS {e}" for e in ("click", "purchase", "view")) + " FROM events GROUP BY user_id")
+def sparse_event_matrix(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).agg(F.count(F.lit(1))).fillna(0)
+
+
+@register(WITH + "SELECT DISTINCT sequence FROM counts")
+def distinct_sequences(spark, sf_dir):
+    return counts(spark, sf_dir).select("sequence").distinct()
+
+
+# scalar functions
+
+
+@register(WITH + f"SELECT read_index, {REVERSED.format('sequence')} AS out FROM reads")
+def reverse_complement(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_index", S.reverse_complement("sequence").alias("out"))
+
+
+@register(WITH + f"SELECT read_index, regexp_replace({REVERSED.format('sequence')}, '[^ACGTNacgtn]', 'N', 'g') AS out FROM reads")
+def reverse_complement_read(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_index", S.reverse_complement_read("sequence").alias("out"))
+
+
+@register(WITH + "SELECT read_index, replace(upper(translate(sequence, 'T', 'u')), 'U', 'T') AS out FROM reads")
+def normalise_alphabet(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_index", S.normalised(F.translate("sequence", "T", "u")).alias("out"))
+
+
+@register(WITH + f"SELECT read_index, CASE WHEN length(sequence) >= 22 THEN hamming(substr(sequence, 1, 22), '{P5}') <= 1 ELSE false END AS hit FROM reads")
+def hamming_prefix(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_index", S.near_prefix("sequence", P5).alias("hit"))
+
+
+@register(WITH + "SELECT read_index, len(list_filter(range(1, length(sequence) + 1), lambda i: substr(sequence, i, 3) = 'ATA'))::BIGINT AS n FROM reads")
+def overlapping_occurrences(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_index", S.occurrences("sequence", "ATA").cast("bigint").alias("n"))
+
+
+@register(WITH + f"SELECT kmer, least(kmer, {REVERSED.format('kmer')}) AS canonical, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(sequence) - 4), lambda i: substr(sequence, i, 6))) AS kmer FROM counts) GROUP BY ALL")
+def canonical_kmers(spark, sf_dir):
+    each = counts(spark, sf_dir).select(F.explode(S.kmers("sequence", 6)).alias("kmer"))
+    return each.groupBy("kmer", S.canonical("kmer").alias("canonical")).agg(F.count("*").alias("n"))
+
+
+@register(WITH + "SELECT read_index, length(sequence)::BIGINT AS n, round((length(sequence) - length(replace(replace(sequence, 'G', ''), 'C', ''))) / length(sequence), 9) AS gc FROM reads")
+def gc_share(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_index", F.length("sequence").cast("bigint").alias("n"), F.round(S.gc_share("sequence"), 9).alias("gc"))
+
+
+# detection
+
+
+@register(WITH + f"SELECT round, round(avg((regexp_matches(sequence, '{near_sql(P5)}'))::INT), 9) AS rate FROM reads WHERE length(sequence) >= 22 GROUP BY round")
+def substring_match_rate(spark, sf_dir):
+    hit = S.contains_near(F.col("sequence"), P5).cast("int")
+    return reads(spark, sf_dir).filter(F.length("sequence") >= len(P5)).groupBy("round").agg(F.round(F.avg(hit), 9).alias("rate"))
+
+
+_PLACE = " OR ".join(f"(length(sequence) >= {22 + k} AND hamming(substr(sequence, {k + 1}, 22), '{P5}') <= 1)" for k in range(4))
+
+
+@register(WITH + f"SELECT round, round(avg(({_PLACE})::INT), 9) AS rate FROM reads WHERE length(sequence) >= 22 GROUP BY round")
+def position_consistency(spark, sf_dir):
+    hit = detection.at_position(P5, True, F.lit(0), [0]).cast("int")
+    return reads(spark, sf_dir).filter(F.length("sequence") >= len(P5)).groupBy("round").agg(F.round(F.avg(hit), 9).alias("rate"))
+
+
+def _consensus_sql(base: str) -> str:
+    return WITH + f"SELECT k::BIGINT AS \"offset\", base, count(*) AS n, min(read_index) AS first FROM (SELECT read_index, unnest(range(0, least(length(sequence), 60))) AS k, {base} AS base FROM reads) WHERE base IS NOT NULL GROUP BY ALL"
+
+
+@register(_consensus_sql("substr(sequence, k::INT + 1, 1)"))
+def positional_consensus_5p(spark, sf_dir):
+    c = detection.consensus_counts(reads(spark, sf_dir), True)
+    return c.select(F.col("offset").cast("bigint").alias("offset"), "base", "n", "first")
+
+
+@register(_consensus_sql("substr(reverse(sequence), k::INT + 1, 1)"))
+def positional_consensus_3p(spark, sf_dir):
+    c = detection.consensus_counts(reads(spark, sf_dir), False)
+    return c.select(F.col("offset").cast("bigint").alias("offset"), "base", "n", "first")
+
+
+@register(WITH + "SELECT v, n, first FROM (SELECT substr(sequence, 1, 22) AS v, count(*) AS n, min(read_index) AS first FROM reads WHERE length(sequence) >= 22 GROUP BY 1) ORDER BY n DESC, first LIMIT 3")
+def top_variants(spark, sf_dir):
+    return detection.variant_counts(reads(spark, sf_dir), 22, True).orderBy(F.desc("n"), "first").limit(3)
+
+
+@register(WITH + "SELECT greatest(0, length(sequence) - 42)::BIGINT AS length, count(*) AS n, min(read_index) AS first FROM reads GROUP BY 1")
+def insert_length_distribution(spark, sf_dir):
+    t = detection.insert_lengths(reads(spark, sf_dir), 42)
+    return t.select(F.col("length").cast("bigint").alias("length"), "n", "first")
+
+
+def _adapter_sql(name: str) -> str:
+    a = S.ADAPTERS[name]
+    return f"count(*) FILTER (contains(sequence, '{a[:13]}') OR contains(sequence, '{S.reverse_complement_text(a)[:13]}')) AS {name}"
+
+
+@register(WITH + f"SELECT round, {', '.join(map(_adapter_sql, S.ADAPTERS))} FROM reads GROUP BY round")
+def adapter_hits(spark, sf_dir):
+    return reads(spark, sf_dir).groupBy("round").agg(*[F.count_if(S.has_adapter(F.col("sequence"), n)).alias(n) for n in S.ADAPTERS])
+
+
+@register(WITH + f"SELECT {STRAND} AS strand, count(*) AS n FROM reads GROUP BY 1")
+def orientation_counts(spark, sf_dir):
+    return reads(spark, sf_dir).groupBy(detection.strand(P5, P3).alias("strand")).agg(F.count("*").alias("n"))
+
+
+@register(WITH + "SELECT read_index, list_filter(range(0, least(length(sequence), 34) - 11), lambda i: substr(sequence, i::INT + 1, 12) = 'CTCACTATAGGG') AS places FROM reads")
+def core_places(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_index", S.places(F.col("sequence"), P5[-12:], True, 34).cast("array<bigint>").alias("places"))
+
+
+@register()
+def detect_report(spark, sf_dir):
+    from .plans.report import to_json
+
+    report = detection.detect(reads(spark, sf_dir))
+    return spark.createDataFrame([(report.status, report.extraction_mode, to_json(report.payload()))], "status string, mode string, report string")
+
+
+@register(WITH + "SELECT round, count(*) AS n FROM (SELECT round, row_number() OVER (PARTITION BY round ORDER BY read_index) AS k FROM reads) WHERE k <= 700 GROUP BY round")
+def subsample_exact_n(spark, sf_dir):
+    return detection.sampled(reads(spark, sf_dir), 700, 42).groupBy("round").agg(F.count("*").alias("n"))
+
+
+# extraction
+
+_FIVE = f"strpos(sequence, '{P5}')"
+_REST = f"substr(sequence, {_FIVE} + 22)"
+_BOTH = f"SELECT round, file_index, read_index, substr({_REST}, 1, strpos({_REST}, '{P3}') - 1) AS sequence FROM reads WHERE {_FIVE} > 0 AND strpos({_REST}, '{P3}') > 0"
+
+
+@register(WITH + _BOTH.replace("file_index, ", ""))
+def extract_exact_both(spark, sf_dir):
+    return extraction.trimmed(reads(spark, sf_dir), "BOTH_PRIMERS_SINGLE_READ", P5, P3, approximate=False).select("round", "read_index", "sequence")
+
+
+@register(WITH + f"SELECT round, read_index, {_REST} AS sequence FROM reads WHERE {_FIVE} > 0")
+def extract_five_prime_only(spark, sf_dir):
+    return extraction.trimmed(reads(spark, sf_dir), "FIVE_PRIME_ONLY", P5, None, approximate=False).select("round", "read_index", "sequence")
+
+
+@register(WITH + f"SELECT round, read_index, substr(sequence, 1, strpos(sequence, '{P3}') - 1) AS sequence FROM reads WHERE strpos(sequence, '{P3}') > 0")
+def extract_three_prime_only(spark, sf_dir):
+    return extraction.trimmed(reads(spark, sf_dir), "THREE_PRIME_ONLY", None, P3, approximate=False).select("round", "read_index", "sequence")
+
+
+_TWO = f"{REVERSED.format('sequence')}"
+_R3 = S.reverse_complement_text(P3)
+
+
+@register(WITH + f"SELECT round, read_index, {_REST} AS r1, substr({_TWO}, strpos({_TWO}, '{_R3}') + 20) AS r2 FROM reads WHERE {_FIVE} > 0 AND strpos({_TWO}, '{_R3}') > 0")
+def extract_paired_split(spark, sf_dir):
+    """Mates made by turning each read around; a pair stays if both have their primer."""
+    r1 = reads(spark, sf_dir)
+    r2 = r1.withColumn("sequence", S.reverse_complement("sequence"))
+    left = extraction.trimmed(r1, "FIVE_PRIME_ONLY", P5, None, approximate=False).select("round", "read_index", F.col("sequence").alias("r1"))
+    right = extraction.trimmed(r2, "FIVE_PRIME_ONLY", _R3, None, approximate=False).select("round", "read_index", F.col("sequence").alias("r2"))
+    return left.join(right, ["round", "read_index"])
+
+
+_YIELD = "SELECT r.{k}, count(*) AS input_reads, count(e.read_index) AS output_reads, round(count(e.read_index) / count(*), 9) AS fraction_kept FROM reads r LEFT JOIN (" + _BOTH + ") e ON e.read_index = r.read_index GROUP BY r.{k}"
+
+
+def _yields(spark, sf_dir, key):
+    r = reads(spark, sf_dir)
+    return extraction.yields(r, extraction.trimmed(r, "BOTH_PRIMERS_SINGLE_READ", P5, P3, approximate=False), key)
+
+
+@register(WITH + _YIELD.format(k="round"))
+def extract_yields(spark, sf_dir):
+    return _yields(spark, sf_dir, "round").withColumn("fraction_kept", F.round("fraction_kept", 9))
+
+
+@register(WITH + _YIELD.format(k="file_index"))
+def file_yields(spark, sf_dir):
+    return _yields(spark, sf_dir, "file_index").withColumn("fraction_kept", F.round("fraction_kept", 9))
+
+
+@register("WITH y AS (SELECT event_type AS round, count(*) AS i, count(*) FILTER (event_type = 'view' OR value < 20) AS o FROM events GROUP BY 1) SELECT round, i AS input_reads, o AS output_reads, round(o / i, 9) AS fraction_kept FROM y WHERE o / i < 0.5 OR o / i < 0.5 * (SELECT max(o / i) FROM y)")
+def low_yield_rounds(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("round"), "value")
+    low = extraction.low_yields(extraction.yields(e, e.filter("round = 'view' or value < 20")))
+    return low.select("round", "input_reads", "output_reads", F.round("fraction_kept", 9).alias("fraction_kept"))
+
+
+@register(WITH + "SELECT round, " + ", ".join(f"count(*) FILTER ({STRAND} = '{k}') AS {k}" for k in ("forward", "reverse", "ambiguous")) + " FROM reads GROUP BY round")
+def strand_distribution(spark, sf_dir):
+    return extraction.strand_counts(reads(spark, sf_dir), P5, P3)
+
+
+@register()
+def extract_approximate(spark, sf_dir):
+    return extraction.trimmed(reads(spark, sf_dir), "BOTH_PRIMERS_SINGLE_READ", P5, P3).select("round", "read_index", "sequence")
+
+
+# demultiplexing
+
+_HITS = "list_filter([" + ", ".join(f"CASE WHEN hamming(substr(sequence, 1, 5), '{b}') <= 1 THEN {r} END" for b, r in CODES.items()) + "], lambda x: x IS NOT NULL)"
+_CODED = f"WITH coded AS ({CODED}), a AS (SELECT *, CASE WHEN len({_HITS}) = 1 THEN ({_HITS})[1] END AS r FROM coded) "
+
+
+@register(_CODED + "SELECT read_index, concat('round_0', r::STRING) AS round, substr(sequence, 6) AS sequence FROM a WHERE r IS NOT NULL")
+def demultiplex_assign(spark, sf_dir):
+    return demultiplex.demultiplex(coded(spark, sf_dir), CODES).reads.select("read_index", "round", "sequence")
+
+
+@register(_CODED + "SELECT 'round_0' || k AS round, k::INTEGER AS round_number, count(r) AS assigned_reads, round(count(r) / (SELECT count(*) FROM a), 9) AS assigned_fraction FROM (VALUES (0), (1), (2)) t(k) LEFT JOIN a ON r = k GROUP BY k")
+def demultiplex_summary(spark, sf_dir):
+    return demultiplex.demultiplex(coded(spark, sf_dir), CODES).summary.withColumn("assigned_fraction", F.round("assigned_fraction", 9))
+
+
+@register(_CODED + "SELECT read_index, sequence FROM a WHERE r IS NULL")
+def demultiplex_unassigned(spark, sf_dir):
+    return demultiplex.demultiplex(coded(spark, sf_dir), CODES).unassigned.select("read_index", "sequence")
+
+
+# quality
+
+
+@register(WITH + "SELECT round, round(-sum(p * log2(p)), 8) AS shannon_entropy_bits FROM (SELECT round, reads / sum(reads) OVER (PARTITION BY round) AS p FROM counts) GROUP BY round")
+def qc_shannon(spark, sf_dir):
+    return quality.basics(counts(spark, sf_dir)).select("round", F.round("shannon_entropy_bits", 8).alias("shannon_entropy_bits"))
+
+
+@register(WITH + "SELECT round, round(sum(CASE WHEN rank <= 1 THEN reads END) / sum(reads), 9) AS top_1_coverage, round(sum(CASE WHEN rank <= 100 THEN reads END) / sum(reads), 9) AS top_100_coverage FROM ranked GROUP BY round")
+def qc_top_coverage(spark, sf_dir):
+    return quality.basics(counts(spark, sf_dir)).select("round", F.round("top_1_coverage", 9).alias("top_1_coverage"), F.round("top_100_coverage", 9).alias("top_100_coverage"))
+
+
+@register(WITH + "SELECT round, count(*) AS n_unique, sum(reads)::DOUBLE AS n_reads, round(avg((reads = 1)::INT), 9) AS singleton_fraction FROM counts GROUP BY round")
+def qc_singletons(spark, sf_dir):
+    return quality.basics(counts(spark, sf_dir)).select("round", "n_unique", "n_reads", F.round("singleton_fraction", 9).alias("singleton_fraction"))
+
+
+_GC = "(length(sequence) - length(replace(replace(sequence, 'G', ''), 'C', ''))) / length(sequence)"
+
+
+@register(WITH + f"SELECT g.round, round(any_value(m), 9) AS mean_gc, round(sqrt(sum(reads * (g - m) * (g - m)) / sum(reads)), 8) AS gc_sd FROM (SELECT round, reads, {_GC} AS g FROM counts) g JOIN (SELECT round, sum({_GC} * reads) / sum(reads) AS m FROM counts GROUP BY round) h ON g.round = h.round GROUP BY g.round")
+def qc_gc(spark, sf_dir):
+    return quality.gc_content(counts(spark, sf_dir)).select("round", F.round("mean_gc", 9).alias("mean_gc"), F.round("gc_sd", 8).alias("gc_sd"))
+
+
+@register(WITH + "SELECT round, round(sum(CASE WHEN regexp_matches(upper(sequence), '[^ACGTUN]') THEN reads ELSE 0 END) / sum(reads), 9) AS nonstandard_alphabet_fraction FROM counts GROUP BY round")
+def qc_bad_alphabet(spark, sf_dir):
+    return quality.basics(counts(spark, sf_dir)).select("round", F.round("nonstandard_alphabet_fraction", 9).alias("nonstandard_alphabet_fraction"))
+
+
+@register(WITH + "SELECT round, round(sum(CASE WHEN contains(upper(sequence), 'AGATCGGAAGAGC') THEN reads ELSE 0 END) / sum(reads), 9) AS truseq_reads_fraction FROM counts GROUP BY round")
+def qc_truseq(spark, sf_dir):
+    return quality.basics(counts(spark, sf_dir)).select("round", F.round("truseq_reads_fraction", 9).alias("truseq_reads_fraction"))
+
+
+@register(WITH + "SELECT round, length::DOUBLE AS modal_sequence_length FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY n DESC, s) AS k FROM (SELECT round, length(sequence) AS length, sum(reads) AS n, min(sequence) AS s FROM counts GROUP BY ALL)) WHERE k = 1")
+def qc_modal_length(spark, sf_dir):
+    return quality.modal_length(counts(spark, sf_dir))
+
+
+_KMERS = "SELECT round, reads, unnest(list_transform(range(1, length(sequence) - 4), lambda i: substr(upper(sequence), i, 6))) AS kmer FROM ranked WHERE rank <= 10000"
+
+
+@register(WITH + f"SELECT round, round(max(n) / sum(n), 9) AS top_kmer_fraction FROM (SELECT round, kmer, sum(reads) AS n FROM ({_KMERS}) GROUP BY ALL) GROUP BY round")
+def qc_top_kmer(spark, sf_dir):
+    return quality.top_kmer(counts(spark, sf_dir)).select("round", F.round("top_kmer_fraction", 9).alias("top_kmer_fraction"))
+
+
+_SETS = WITH + f", sets AS (SELECT DISTINCT round, least(kmer, {REVERSED.format('kmer')}) AS kmer FROM ({_KMERS})), sizes AS (SELECT round, count(*) AS n FROM sets GROUP BY round), both_ AS (SELECT a.round AS f, b.round AS t, count(*) AS same FROM sets a JOIN sets b ON a.kmer = b.kmer AND a.round < b.round GROUP BY ALL), sim AS (SELECT x.round AS from_round, y.round AS to_round, 1 - coalesce(same, 0) / (x.n + y.n - coalesce(same, 0)) AS d FROM sizes x JOIN sizes y ON x.round < y.round LEFT JOIN both_ ON f = x.round AND t = y.round) "
+
+
+@register(_SETS + "SELECT from_round, to_round, round(d, 9) AS jaccard_distance FROM sim")
+def qc_kmer_jaccard(spark, sf_dir):
+    return quality.round_similarity(counts(spark, sf_dir), ROUNDS).withColumn("jaccard_distance", F.round("jaccard_distance", 9))
+
+
+@register(_SETS + "SELECT n.from_round, n.to_round AS neighbour_round, f.to_round AS distant_round FROM sim n JOIN sim f ON n.from_round = f.from_round WHERE n.from_round = 'round_00' AND n.to_round = 'round_01' AND f.to_round = 'round_02' AND n.d > f.d * 1.1")
+def qc_kmer_monotonicity(spark, sf_dir):
+    c = counts(spark, sf_dir)
+    return quality.nonmonotonic(quality.round_similarity(c, ROUNDS), ROUNDS).select("from_round", "neighbour_round", "distant_round")
+
+
+@register(WITH + "SELECT round, n_unique, n_unique - lag(n_unique) OVER (ORDER BY round) AS change FROM (SELECT round, count(*) AS n_unique FROM counts GROUP BY round)")
+def qc_diversity_delta(spark, sf_dir):
+    from pyspark.sql import Window
+
+    per = counts(spark, sf_dir).groupBy("round").agg(F.count("*").alias("n_unique"))
+    return per.select("round", "n_unique", (F.col("n_unique") - F.lag("n_unique").over(Window.partitionBy(F.lit(0)).orderBy(*S.round_order("round")))).alias("change"))
+
+
+@register()
+def rarefied_unique(spark, sf_dir):
+    return quality.rarefied_unique(counts(spark, sf_dir), 1000)[0]
+
+
+@register()
+def qc_per_round(spark, sf_dir):
+    return quality.per_round(counts(spark, sf_dir), 1000)
+
+
+@register()
+def qc_flags(spark, sf_dir):
+    return quality.qc(counts(spark, sf_dir), ROUNDS).flags_frame(spark)
+
+
+@register(WITH + ", l AS (SELECT round, length(sequence) AS length, sum(reads) AS n FROM counts GROUP BY ALL) SELECT r.round, x.length::BIGINT AS length, round(coalesce(n, 0) / (SELECT sum(n) FROM l WHERE l.round = r.round), 9) AS fraction FROM (SELECT DISTINCT round FROM l) r CROSS JOIN (SELECT DISTINCT length FROM l) x LEFT JOIN l ON l.round = r.round AND l.length = x.length")
+def plot_length_distribution(spark, sf_dir):
+    t = quality.length_distribution(counts(spark, sf_dir))
+    return t.select("round", F.col("length").cast("bigint").alias("length"), F.round("fraction", 9).alias("fraction"))
+
+
+@register(WITH + _YIELD.format(k="round").replace(", round(count(e.read_index) / count(*), 9) AS fraction_kept", ""))
+def plot_retention(spark, sf_dir):
+    return quality.retention(_yields(spark, sf_dir, "round"))
+
+
+# metadata
+
+_SEPARATED = "(SELECT *, regexp_replace(' ' || sample_title || ' ', '([\\s_\\-./])', '\\1\\1', 'g') AS t, regexp_replace(' ' || library_name || ' ', '([\\s_\\-./])', '\\1\\1', 'g') AS l FROM runs)"
+_B, _A = r"[\s_\-./]", r"[\s_\-./]"
+_RE2 = [rf"{_B}[Rr]ound[\s_\-]*(\d+){_A}", rf"{_B}[Cc]ycle[\s_\-]*(\d+){_A}", rf"{_B}[Ii]teration[\s_\-]*(\d+){_A}", rf"{_B}[Pp]ool[\s_\-]*(\d+){_A}", rf"{_B}[Rr](\d+){_A}", rf"{_B}[Cc](\d+){_A}", rf"{_B}(\d+)[Rr]{_A}", rf"[A-Z][A-Za-z]{{2,}}R(\d+){_A}", rf"(?i){_B}(\d+)[\s_\-]*cyc(?:les?)?{_A}"]
+
+
+def _found(column: str) -> str:
+    each = " || ".join(f"regexp_extract_all({column}, '{p}', 1)" for p in _RE2)
+    return f"list_transform({each}, lambda v: v::INTEGER)"
+
+
+@register(f"WITH runs AS ({RUNS}), f AS (SELECT run_accession, {_found('t')} AS a, {_found('l')} AS b FROM {_SEPARATED}) SELECT run_accession, CASE WHEN len(a) > 0 THEN a[1] WHEN len(b) > 0 THEN b[1] END AS round_number, CASE WHEN len(a) > 0 THEN CASE WHEN len(list_distinct(a)) = 1 THEN 'HIGH' ELSE 'MEDIUM' END WHEN len(b) > 0 THEN 'MEDIUM' ELSE 'NONE' END AS confidence, CASE WHEN len(a) > 0 THEN 'sample_title' WHEN len(b) > 0 THEN 'library_name' ELSE 'none' END AS source_field, (CASE WHEN len(a) > 0 THEN len(list_distinct(a)) WHEN len(b) > 0 THEN len(list_distinct(b)) ELSE 0 END)::BIGINT AS candidates FROM f")
+def round_inference(spark, sf_dir):
+    found = rounds.infer_rounds(runs(spark, sf_dir))
+    return found.select("run_accession", "round_number", "confidence", "source_field", F.size("round_candidates").cast("bigint").alias("candidates"))
+
+
+@register("SELECT key, CASE WHEN key = 'selex_round' OR key = 'Round' OR key = 'Characteristics [selection cycle]' THEN 'HIGH' WHEN key = 'pcr cycle' THEN 'MEDIUM' END AS level, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'selex_round' WHEN 1 THEN 'Round' WHEN 2 THEN 'Characteristics [selection cycle]' WHEN 3 THEN 'pcr cycle' WHEN 4 THEN 'round cycle' ELSE event_type END AS key FROM events) GROUP BY ALL")
+def attribute_key_confidence(spark, sf_dir):
+    sql = "SELECT CASE event_id % 6 WHEN 0 THEN 'selex_round' WHEN 1 THEN 'Round' WHEN 2 THEN 'Characteristics [selection cycle]' WHEN 3 THEN 'pcr cycle' WHEN 4 THEN 'round cycle' ELSE event_type END AS key FROM events"
+    return _view(spark, sf_dir, sql, "events").groupBy("key", rounds.key_confidence(F.col("key")).alias("level")).agg(F.count("*").alias("n"))
+
+
+FILES = "SELECT concat('RUN', CAST(p_partkey AS STRING)) AS run_accession, concat('ftp://host/', p_brand, '/', CAST(p_partkey AS STRING), '_1.fq.gz?x=1;host/', CAST(p_partkey AS STRING), '_2.fq.gz') AS fastq_ftp, md5(p_name) AS fastq_md5 FROM part"
+
+
+@register(f"WITH f AS ({FILES}), e AS (SELECT run_accession, fastq_md5, unnest(string_split(fastq_ftp, ';')) AS u, unnest([1, 2]) AS k FROM f) SELECT run_accession, parse_filename(regexp_replace(u, '\\?.*$', '')) AS file_name, 'https://' || regexp_replace(u, '^ftp://', '') AS url, CASE WHEN k = 1 THEN fastq_md5 END AS expected_md5 FROM e")
+def fetch_plan_explode(spark, sf_dir):
+    f = _view(spark, sf_dir, FILES, "part")
+    table = f.select("run_accession", archive.parts(F.col("fastq_ftp")).alias("fastq_urls"), archive.parts(F.col("fastq_md5")).alias("fastq_md5"), F.array().cast("array<double>").alias("fastq_bytes"))
+    return archive.plan_rows(table, rounds.infer_rounds(table)).select("run_accession", "file_name", "url", "expected_md5")
+
+
+@register(f"WITH runs AS ({RUNS}), f AS (SELECT run_accession, sample_accession, {_found('t')} AS a, {_found('l')} AS b FROM {_SEPARATED}), s AS (SELECT *, CASE WHEN len(list_distinct(a)) = 1 THEN a[1] WHEN len(a) = 0 AND len(list_distinct(b)) = 1 THEN b[1] END AS r FROM f) SELECT r AS round_number, count(DISTINCT sample_accession) AS n_samples, count(*) AS n_runs FROM s WHERE r IS NOT NULL GROUP BY r HAVING count(DISTINCT sample_accession) > 1")
+def rounds_with_several_samples(spark, sf_dir):
+    r = runs(spark, sf_dir)
+    return rounds.rounds_with_several_samples(r, rounds.infer_rounds(r)).select("round_number", "n_samples", F.size("runs").cast("bigint").alias("n_runs"))
+
+
+@register("SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_brand, p_name, p_type)), 'brand#1')")
+def catalog_search(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return catalog.search(part, "BRAND#1", ("p_brand", "p_name", "p_type")).select("p_partkey", "p_name")
+
+
+@register("SELECT page_id, url FROM pages WHERE contains(lower(url), '.example.org/en')")
+def catalog_search_pages(spark, sf_dir):
+    return catalog.search(spark.read.parquet(f"{sf_dir}/pages.parquet"), ".example.ORG/en", ("url",)).select("page_id", "url")
+
+
+@register()
+def run_pipeline(spark, sf_dir):
+    import warnings
+
+    from .plans.pipeline import run
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return run(reads(spark, sf_dir), primer_5p=P5, primer_3p=P3).counts
