@@ -6,10 +6,11 @@ shuffle of one row for each pair of buckets that have something to say.
 
 A round of descent joins neighbours of neighbours. Every node learns who lists
 it, pushes its vector to the buckets of its neighbours in both directions, and
-each node scores all pairs among the vectors it was sent; a pair goes back to
-either end that would list it. Search starts from a query's own neighbours (a
-query is a node), expands the best nodes it has not expanded through both
-directions of the graph, and scores what they name where those vectors live.
+each node scores the pairs among the vectors it was sent; the best of them go back
+to the ends that would list them. Search starts from a query's own neighbours (a
+query is a node), asks the best nodes it has not asked for their links in both
+directions of the graph, and has those scored where their vectors live. Vectors
+and links stay in staged tables of their own, so they move only where needed.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_staged, staged
+from .shared import drop_staged, release, staged
 from .textkit import mix
 
 NEIGHBOURS, SAMPLE, ROUNDS = 32, 40, 7
 #: Search: best nodes held, expanded in one step, steps, and links of a node followed.
-HELD, EXPAND, STEPS, FOLLOWED = 300, 100, 4, 64
+HELD, EXPAND, STEPS, FOLLOWED = 256, 80, 4, 64
+#: Best partners of a member that one pivot proposes.
+PROPOSALS = 8
 BUCKET_ROWS = 1024
 _MESSAGE = "bucket bigint, kind int, body binary"
 
@@ -82,7 +85,19 @@ def _top(owner: np.ndarray, other: np.ndarray, score: np.ndarray, flag: np.ndarr
     return owner[keep], other[keep], score[keep], flag[keep]
 
 
-STATE, LISTED, PUSHED, PROPOSED, ASKED, NAMED, SCORED = range(7)
+VECTORS, LISTS, LISTED, PUSHED, PROPOSED, LINKS, BEAM, ASKED, LINKED, NAMED, SCORED = range(11)
+
+
+def _one(got: list[tuple[int, dict]], kind: int) -> dict | None:
+    return next((m for k, m in got if k == kind), None)
+
+
+def _all(got: list[tuple[int, dict]], kind: int) -> list[dict]:
+    return [m for k, m in got if k == kind]
+
+
+def _cat(messages: list[dict], name: str, dtype) -> np.ndarray:
+    return np.concatenate([m[name] for m in messages] or [np.zeros(0, dtype)])
 
 
 def _reverse(ids, owner, other, fresh, buckets) -> list:
@@ -90,24 +105,26 @@ def _reverse(ids, owner, other, fresh, buckets) -> list:
 
 
 def _push(buckets: int):
+    """Vectors go to the buckets of their neighbours in both directions."""
+
     def work(bucket: int, got: list[tuple[int, dict]]) -> list:
-        s = next(m for k, m in got if k == STATE)
-        listed = [m for k, m in got if k == LISTED]
-        by, whom = (np.concatenate([m[x] for m in listed] or [np.zeros(0, np.int64)]) for x in ("by", "whom"))
-        fresh = np.concatenate([m["fresh"] for m in listed] or [np.zeros(0, bool)])
-        member = np.concatenate([s["owner"], _find(s["ids"], whom)])
-        pivot, new = np.concatenate([s["other"], by]), np.concatenate([s["fresh"], fresh])
+        v, s, listed = _one(got, VECTORS), _one(got, LISTS), _all(got, LISTED)
+        if v is None or s is None:
+            return []
+        ids = v["ids"]
+        member = np.concatenate([s["owner"], _find(ids, _cat(listed, "whom", np.int64))])
+        pivot, new = np.concatenate([s["other"], _cat(listed, "by", np.int64)]), np.concatenate([s["fresh"], _cat(listed, "fresh", bool)])
         ok = member >= 0
         member, pivot, new = member[ok], pivot[ok], new[ok]
-        least = np.full(len(s["ids"]), -np.inf, np.float32)
-        size = np.bincount(s["owner"], minlength=len(s["ids"]))
-        np.minimum.at(worst := np.full(len(s["ids"]), np.inf, np.float32), s["owner"], s["score"].astype(np.float32))
-        least[size >= NEIGHBOURS] = worst[size >= NEIGHBOURS]
-        out = [_row(bucket, STATE, **s)]
-        half = s["vectors"].astype(np.float16)
+        size = np.bincount(s["owner"], minlength=len(ids))
+        worst = np.full(len(ids), np.inf, np.float32)
+        np.minimum.at(worst, s["owner"], s["score"])
+        least = np.where(size >= NEIGHBOURS, worst, -np.inf).astype(np.float32)
+        half = v["vectors"].astype(np.float16)
+        out = []
         for b, p in _cut(pivot, buckets):
             own, back = np.unique(member[p], return_inverse=True)
-            out.append(_row(b, PUSHED, ids=s["ids"][own], vectors=half[own], least=least[own], pivot=pivot[p], member=back, fresh=new[p]))
+            out.append(_row(b, PUSHED, ids=ids[own], vectors=half[own], least=least[own], pivot=pivot[p], member=back.astype(np.int32), fresh=new[p]))
         return out
 
     return work
@@ -115,10 +132,7 @@ def _push(buckets: int):
 
 def _join(buckets: int, seed: int):
     def work(bucket: int, got: list[tuple[int, dict]]) -> list:
-        out = [_row(bucket, STATE, **m) for k, m in got if k == STATE]
-        pushed = [m for k, m in got if k == PUSHED]
-        if not pushed:
-            return out
+        pushed = _all(got, PUSHED)
         start = np.cumsum([0] + [len(m["ids"]) for m in pushed])
         ids = np.concatenate([m["ids"] for m in pushed])
         vectors = np.concatenate([m["vectors"] for m in pushed]).astype(np.float32)
@@ -144,38 +158,44 @@ def _join(buckets: int, seed: int):
             t, n = table[k : k + 128], new[k : k + 128]
             v = vectors[np.maximum(t, 0)]
             g = v @ v.transpose(0, 2, 1)
-            ok = (t[:, :, None] >= 0) & (t[:, None, :] >= 0) & (n[:, :, None] | n[:, None, :]) & (g > least[np.maximum(t, 0)][:, :, None])
+            who = np.where(t >= 0, ids[np.maximum(t, 0)], -1)
+            ok = (t[:, :, None] >= 0) & (t[:, None, :] >= 0) & (n[:, :, None] | n[:, None, :]) & (g > least[np.maximum(t, 0)][:, :, None]) & (who[:, :, None] != who[:, None, :])
+            g[~ok] = -np.inf
+            if SAMPLE > PROPOSALS:
+                low = np.partition(g, SAMPLE - PROPOSALS, axis=2)[:, :, SAMPLE - PROPOSALS]
+                ok &= g >= low[:, :, None]
             i, x, y = np.nonzero(ok)
-            x_at, y_at = t[i, x], t[i, y]
-            other = ids[x_at] != ids[y_at]
-            a.append(ids[x_at[other]])
-            b.append(ids[y_at[other]])
-            score.append(g[i, x, y][other])
+            a.append(who[i, x])
+            b.append(who[i, y])
+            score.append(g[i, x, y])
         a, b, score = np.concatenate(a), np.concatenate(b), np.concatenate(score)
         a, b, score, _ = _top(a, b, score, np.zeros(len(a), bool), NEIGHBOURS)
-        return out + [_row(to, PROPOSED, a=a[p], b=b[p], score=score[p]) for to, p in _cut(a, buckets)]
+        return [_row(to, PROPOSED, a=a[p], b=b[p], score=score[p].astype(np.float32)) for to, p in _cut(a, buckets)]
 
     return work
 
 
 def _update(buckets: int):
+    """Lists take in proposals; who lists whom is told again."""
+
     def work(bucket: int, got: list[tuple[int, dict]]) -> list:
-        s = next(m for k, m in got if k == STATE)
-        proposed = [m for k, m in got if k == PROPOSED]
-        owner = np.concatenate([s["owner"], *(_find(s["ids"], m["a"]) for m in proposed)])
-        other = np.concatenate([s["other"], *(m["b"] for m in proposed)])
-        score = np.concatenate([s["score"], *(m["score"].astype(np.float32) for m in proposed)])
-        fresh = np.concatenate([np.zeros(len(s["owner"]), bool), *(np.ones(len(m["a"]), bool) for m in proposed)])
+        s, proposed = _one(got, LISTS), _all(got, PROPOSED)
+        if s is None:
+            return []
+        a = _cat(proposed, "a", np.int64)
+        owner = np.concatenate([s["owner"], _find(s["ids"], a)])
+        other = np.concatenate([s["other"], _cat(proposed, "b", np.int64)])
+        score = np.concatenate([s["score"], _cat(proposed, "score", np.float32)])
+        fresh = np.concatenate([np.zeros(len(s["owner"]), bool), np.ones(len(a), bool)])
         ok = owner >= 0
         owner, other, score, fresh = _top(owner[ok], other[ok], score[ok], fresh[ok], NEIGHBOURS)
-        s = s | {"owner": owner, "other": other, "score": score, "fresh": fresh}
-        return [_row(bucket, STATE, **s), *_reverse(s["ids"], owner, other, fresh, buckets)]
+        return [_row(bucket, LISTS, ids=s["ids"], owner=owner, other=other, score=score, fresh=fresh), *_reverse(s["ids"], owner, other, fresh, buckets)]
 
     return work
 
 
 def _begin(nodes: DataFrame, buckets: int, dims: int, peers: np.ndarray) -> DataFrame:
-    """Buckets of nodes, each listing some of ``peers`` to begin with."""
+    """Buckets of vectors, and lists of some of ``peers`` and of the bucket to begin with."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_node")
@@ -183,138 +203,144 @@ def _begin(nodes: DataFrame, buckets: int, dims: int, peers: np.ndarray) -> Data
         vectors = np.zeros((len(ids), dims))
         for k, v in enumerate(pdf["_v"]):
             vectors[k, : len(v) // 8] = np.frombuffer(v, np.float64)
-        rng = np.random.default_rng(int(pdf["_bucket"].iloc[0]))
+        bucket = int(pdf["_bucket"].iloc[0])
+        rng = np.random.default_rng(bucket)
         pool = np.unique(np.concatenate([ids, peers]))
         owner = np.repeat(np.arange(len(ids)), NEIGHBOURS)
         other = pool[rng.integers(0, len(pool), len(owner))]
         ok = other != ids[owner]
         owner, other, score, fresh = _top(owner[ok], other[ok], np.full(int(ok.sum()), -np.inf, np.float32), np.ones(int(ok.sum()), bool), NEIGHBOURS)
-        bucket = int(pdf["_bucket"].iloc[0])
-        state = {"ids": ids, "vectors": vectors, "asks": pdf["_asks"].to_numpy(dtype=bool), "owner": owner, "other": other, "score": score, "fresh": fresh}
-        return pd.DataFrame([_row(bucket, STATE, **state), *_reverse(ids, owner, other, fresh, buckets)], columns=["bucket", "kind", "body"])
+        rows = [_row(bucket, VECTORS, ids=ids, vectors=vectors, asks=pdf["_asks"].to_numpy(dtype=bool)), _row(bucket, LISTS, ids=ids, owner=owner, other=other, score=score, fresh=fresh)]
+        return pd.DataFrame([*rows, *_reverse(ids, owner, other, fresh, buckets)], columns=["bucket", "kind", "body"])
 
     return nodes.groupBy("_bucket").applyInPandas(run, _MESSAGE)
 
 
-def _ask(s: dict, buckets: int) -> list:
-    """Messages of a bucket's queries to the nodes that they expand next; marks those as expanded."""
+def _name_rows(b: dict, who: np.ndarray, node: np.ndarray, buckets: int) -> list:
+    """Nodes that a bucket's queries want scored, with those queries' vectors."""
     out = []
-    b = s["beam"]
-    if not len(b["owner"]):
-        return out
-    order = np.lexsort((b["expanded"], b["owner"]))
-    waiting = order[~b["expanded"][order]]
-    nth = np.arange(len(waiting)) - np.searchsorted(b["owner"][waiting], b["owner"][waiting])
-    go = waiting[nth < EXPAND]
-    b["expanded"][go] = True
-    for to, p in _cut(b["node"][go], buckets):
-        own, back = np.unique(b["owner"][go[p]], return_inverse=True)
-        out.append(_row(to, ASKED, query=s["ids"][own], vectors=s["vectors"][own], least=s["least"][own], who=back, node=b["node"][go[p]]))
+    for to, p in _cut(node, buckets):
+        own, back = np.unique(who[p], return_inverse=True)
+        out.append(_row(to, NAMED, query=b["ids"][own], vectors=b["vectors"][own], least=b["least"][own], who=back.astype(np.int32), node=node[p]))
     return out
 
 
 def _search_begin(buckets: int):
-    """From the last state and who lists whom: links of both directions, beams of the queries, first questions."""
+    """Links of both directions of every node; the queries' beams; their own links to be scored."""
 
     def work(bucket: int, got: list[tuple[int, dict]]) -> list:
-        s = next(m for k, m in got if k == STATE)
-        listed = [m for k, m in got if k == LISTED]
-        owner = np.concatenate([s["owner"], *(_find(s["ids"], m["whom"]) for m in listed)])
-        other = np.concatenate([s["other"], *(m["by"] for m in listed)])
-        back = np.concatenate([np.zeros(len(s["owner"]), bool), *(np.ones(len(m["by"]), bool) for m in listed)])
+        v, s, listed = _one(got, VECTORS), _one(got, LISTS), _all(got, LISTED)
+        if v is None or s is None:
+            return []
+        by = _cat(listed, "by", np.int64)
+        owner = np.concatenate([s["owner"], _find(v["ids"], _cat(listed, "whom", np.int64))])
+        other = np.concatenate([s["other"], by])
+        back = np.concatenate([np.zeros(len(s["owner"]), bool), np.ones(len(by), bool)])
+        ok = owner >= 0
+        owner, other, back = owner[ok], other[ok], back[ok]
         lot = (mix(other.view(np.uint64)) >> np.uint64(40)).astype(np.float64)
         owner, other, _, _ = _top(owner, other, np.where(back, -lot, 1.0), back, FOLLOWED)
-        at = np.flatnonzero(s["asks"])
-        mine = np.isin(owner, at)
-        beam = {"owner": owner[mine], "node": other[mine], "score": np.full(int(mine.sum()), np.inf), "expanded": np.zeros(int(mine.sum()), bool)}
-        s = {"ids": s["ids"], "vectors": s["vectors"], "asks": s["asks"], "owner": owner, "other": other, "beam": beam, "least": np.full(len(s["ids"]), -np.inf)}
-        # the first step scores a query's own links, itself among them, and expands them all
-        beam = s["beam"] = {"owner": np.concatenate([beam["owner"], at]), "node": np.concatenate([beam["node"], s["ids"][at]]), "score": np.concatenate([beam["score"], np.full(len(at), np.inf)]), "expanded": np.zeros(len(at) + len(beam["owner"]), bool)}
-        asked = _ask(s, buckets)
-        s["beam"] = {k: v[:0] for k, v in beam.items()}
-        s["done"] = {"owner": beam["owner"], "node": beam["node"]}
-        return [_row(bucket, STATE, **s), *asked]
+        at = np.flatnonzero(v["asks"])
+        place = np.full(len(v["ids"]), -1)
+        place[at] = np.arange(len(at))
+        mine = place[owner] >= 0
+        none = np.zeros(0, np.int64)
+        b = {"ids": v["ids"][at], "vectors": v["vectors"][at], "least": np.full(len(at), -np.inf), "owner": none, "node": none, "score": np.zeros(0), "asked": np.zeros(0, bool)}
+        who, node = np.concatenate([place[owner[mine]], np.arange(len(at))]), np.concatenate([other[mine], b["ids"]])
+        return [_row(bucket, LINKS, ids=v["ids"], owner=owner.astype(np.int32), other=other), _row(bucket, BEAM, **b), *_name_rows(b, who, node, buckets)]
 
     return work
 
 
-def _name(buckets: int):
-    """Asked nodes name their links, and themselves, to the buckets where those live."""
+def _score(buckets: int):
+    """Named nodes are scored where their vectors live; scores from a query's least on go home."""
 
     def work(bucket: int, got: list[tuple[int, dict]]) -> list:
-        s = next(m for k, m in got if k == STATE)
-        out = [_row(bucket, STATE, **s)]
-        asked = [m for k, m in got if k == ASKED]
-        if not asked:
-            return out
-        start = np.searchsorted(s["owner"], np.arange(len(s["ids"]) + 1))
-        base = np.cumsum([0] + [len(m["query"]) for m in asked])
-        query, vectors, least = (np.concatenate([m[x] for m in asked]) for x in ("query", "vectors", "least"))
-        who = np.concatenate([m["who"] + a for m, a in zip(asked, base, strict=False)])
-        node = _find(s["ids"], np.concatenate([m["node"] for m in asked]))
+        v, named = _one(got, VECTORS), _all(got, NAMED)
+        if v is None or not named:
+            return []
+        base = np.cumsum([0] + [len(m["query"]) for m in named])
+        query, vectors, least = _cat(named, "query", np.int64), np.concatenate([m["vectors"] for m in named]), _cat(named, "least", float)
+        who = np.concatenate([m["who"] + a for m, a in zip(named, base, strict=False)])
+        node = _find(v["ids"], _cat(named, "node", np.int64))
         who, node = who[node >= 0], node[node >= 0]
-        size = start[node + 1] - start[node]
-        at = np.repeat(start[node] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        who, named = np.concatenate([np.repeat(who, size), who]), np.concatenate([s["other"][at], s["ids"][node]])
-        pairs = np.unique(np.stack([who, named]), axis=1) if len(who) else np.zeros((2, 0), np.int64)
-        who, named = pairs[0], pairs[1]
-        for to, p in _cut(named, buckets):
-            own, back = np.unique(who[p], return_inverse=True)
-            out.append(_row(to, NAMED, query=query[own], vectors=vectors[own], least=least[own], who=back, node=named[p]))
-        return out
+        parts = (slice(k, k + 20_000) for k in range(0, len(who), 20_000))
+        score = np.concatenate([np.einsum("ij,ij->i", vectors[who[p]], v["vectors"][node[p]]) for p in parts] or [np.zeros(0)])
+        ok = score >= least[who]
+        who, node, score = who[ok], node[ok], score[ok]
+        return [_row(to, SCORED, query=query[who[p]], node=v["ids"][node[p]], score=score[p]) for to, p in _cut(query[who], buckets)]
 
     return work
 
 
-def _score(buckets: int):
-    """Named nodes are scored where their vectors live; scores above a query's least go home."""
+def _gather(buckets: int):
+    """Queries take in scores, keep their best, and ask the best unasked nodes for their links."""
 
     def work(bucket: int, got: list[tuple[int, dict]]) -> list:
-        s = next(m for k, m in got if k == STATE)
-        out = [_row(bucket, STATE, **s)]
-        named = [m for k, m in got if k == NAMED]
-        if not named:
-            return out
-        base = np.cumsum([0] + [len(m["query"]) for m in named])
-        query, vectors, least = (np.concatenate([m[x] for m in named]) for x in ("query", "vectors", "least"))
-        who = np.concatenate([m["who"] + a for m, a in zip(named, base, strict=False)])
-        node = _find(s["ids"], np.concatenate([m["node"] for m in named]))
-        who, node = who[node >= 0], node[node >= 0]
-        one, first, back = np.unique(query, return_index=True, return_inverse=True)
-        pairs = np.unique(back[who] * len(s["ids"]) + node)
-        who, node = pairs // len(s["ids"]), pairs % len(s["ids"])
-        score = np.concatenate([np.einsum("ij,ij->i", vectors[first[who[k : k + 20_000]]], s["vectors"][node[k : k + 20_000]]) for k in range(0, len(who), 20_000)] or [np.zeros(0)])
-        ok = score >= least[first[who]]
-        who, node, score = who[ok], node[ok], score[ok]
-        for to, p in _cut(one[who], buckets):
-            out.append(_row(to, SCORED, query=one[who[p]], node=s["ids"][node[p]], score=score[p]))
+        b, scored = _one(got, BEAM), _all(got, SCORED)
+        if b is None:
+            return []
+        new = _cat(scored, "node", np.int64)
+        owner = np.concatenate([b["owner"], _find(b["ids"], _cat(scored, "query", np.int64))])
+        node, score = np.concatenate([b["node"], new]), np.concatenate([b["score"], _cat(scored, "score", float)])
+        asked = np.concatenate([b["asked"], np.zeros(len(new), bool)])
+        owner, node, score, asked = _top(owner, node, score, asked, HELD)
+        size = np.bincount(owner, minlength=len(b["ids"]))
+        worst = np.full(len(b["ids"]), np.inf)
+        np.minimum.at(worst, owner, score)
+        waiting = np.flatnonzero(~asked)
+        nth = np.arange(len(waiting)) - np.searchsorted(owner[waiting], owner[waiting])
+        go = waiting[nth < EXPAND]
+        asked[go] = True
+        b = b | {"least": np.where(size >= HELD, worst, -np.inf), "owner": owner, "node": node, "score": score, "asked": asked, "go_owner": owner[go], "go_node": node[go]}
+        return [_row(bucket, BEAM, **b), *(_row(to, ASKED, node=np.unique(node[go[p]]), home=np.array([bucket])) for to, p in _cut(node[go], buckets))]
+
+    return work
+
+
+def _answer(buckets: int):
+    """Asked nodes send their links to the buckets that asked."""
+
+    def work(bucket: int, got: list[tuple[int, dict]]) -> list:
+        s, asked = _one(got, LINKS), _all(got, ASKED)
+        if s is None:
+            return []
+        start = np.searchsorted(s["owner"], np.arange(len(s["ids"]) + 1))
+        out = []
+        for m in asked:
+            at = _find(s["ids"], m["node"])
+            at = at[at >= 0]
+            size = start[at + 1] - start[at]
+            links = s["other"][np.repeat(start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            out.append(_row(int(m["home"][0]), LINKED, node=s["ids"][at], size=size.astype(np.int32), links=links))
         return out
 
     return work
 
 
-def _gather(buckets: int):
-    """Queries take in scores, keep their best, and ask again."""
+def _request(buckets: int):
+    """Queries have the links that they do not hold yet scored."""
 
     def work(bucket: int, got: list[tuple[int, dict]]) -> list:
-        s = next(m for k, m in got if k == STATE)
-        scored = [m for k, m in got if k == SCORED]
-        b = s["beam"]
-        owner = np.concatenate([b["owner"], *(_find(s["ids"], m["query"]) for m in scored)])
-        node = np.concatenate([b["node"], *(m["node"] for m in scored)])
-        score = np.concatenate([b["score"], *(m["score"] for m in scored)])
-        expanded = np.concatenate([b["expanded"], np.zeros(len(owner) - len(b["owner"]), bool)])
-        if "done" in s:
-            done = s.pop("done")
-            seen = set(zip(done["owner"].tolist(), done["node"].tolist(), strict=True))
-            expanded |= np.array([(o, x) in seen for o, x in zip(owner.tolist(), node.tolist(), strict=True)], dtype=bool)
-        owner, node, score, expanded = _top(owner, node, score, expanded, HELD)
-        size = np.bincount(owner, minlength=len(s["ids"]))
-        np.minimum.at(worst := np.full(len(s["ids"]), np.inf), owner, score)
-        s["least"] = np.where(size >= HELD, worst, -np.inf)
-        s["beam"] = {"owner": owner, "node": node, "score": score, "expanded": expanded}
-        asked = _ask(s, buckets)
-        return [_row(bucket, STATE, **s), *asked]
+        b, linked = _one(got, BEAM), _all(got, LINKED)
+        if b is None:
+            return []
+        node, size, links = _cat(linked, "node", np.int64), _cat(linked, "size", np.int32).astype(np.int64), _cat(linked, "links", np.int64)
+        order = np.argsort(node, kind="stable")
+        begin = (np.cumsum(size) - size)[order]
+        at = _find(node[order], b["go_node"])
+        who, at = b["go_owner"][at >= 0], at[at >= 0]
+        n = size[order][at]
+        spots = np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        who, named = np.repeat(who, n), links[spots]
+        held = np.concatenate([np.zeros(len(who), bool), np.ones(len(b["owner"]), bool)])
+        who, named = np.concatenate([who, b["owner"]]), np.concatenate([named, b["node"]])
+        order = np.lexsort((~held, named, who))
+        who, named, held = who[order], named[order], held[order]
+        first = np.ones(len(who), bool)
+        first[1:] = (who[1:] != who[:-1]) | (named[1:] != named[:-1])
+        go = first & ~held
+        return [_row(bucket, BEAM, **{k: v for k, v in b.items() if not k.startswith("go_")}), *_name_rows(b, who[go], named[go], buckets)]
 
     return work
 
@@ -344,6 +370,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     groups = staged(rows.groupBy("_v").agg(F.min("_id").alias("_node"), F.max("_asks").alias("_asks")))
     own = rows.join(groups.select("_v", "_node"), "_v").select("_id", "_asks", "_node").distinct()
     same = staged(own.withColumn("_nth", F.row_number().over(Window.partitionBy("_node").orderBy("_id"))).filter(F.col("_nth") <= k + 1))
+    spark = df.sparkSession
     sizes = groups.agg(F.count("*").alias("n"), F.max(F.length("_v")).alias("bytes")).first()
     dims, buckets = int(sizes["bytes"] or 8) // 8, max(1, -(-sizes["n"] // BUCKET_ROWS))
     # a bounded sample of nodes that first lists draw on beside their own bucket
@@ -355,27 +382,41 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
             yield pa.RecordBatch.from_arrays([pa.array(_home(batch.column(0).to_numpy(), buckets)), *batch.columns], ["_bucket", "_node", "_v", "_asks"])
 
     placed = groups.select("_node", "_v", "_asks").mapInArrow(place, "_bucket bigint, _node bigint, _v binary, _asks boolean")
-    messages = staged(_begin(placed, buckets, dims, peers))
-    plan = [[_push(buckets), _join(buckets, 101 + r), _update(buckets)] for r in range(rounds)]
-    plan.append([_search_begin(buckets)])
-    plan += [[_name(buckets), _score(buckets), _gather(buckets)] for _ in range(steps)]
-    for works in plan:
-        new = messages
-        for work in works:
-            new = _exchange(new, work)
+    start = staged(_begin(placed, buckets, dims, peers))
+    only = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
+    fixed, lists = only(start, VECTORS), only(start, LISTS, LISTED)
+
+    def turn(new: DataFrame, *old: DataFrame) -> DataFrame:
+        """Finish a round: write its result, delete what it replaces and the shuffle files behind it."""
         new = staged(new)
-        drop_staged(messages)
-        messages = new
+        for df in old:
+            drop_staged(df)
+        release(spark)
+        return new
+
+    for r in range(rounds):
+        pushed = _exchange(fixed.unionByName(lists), _push(buckets))
+        proposed = _exchange(pushed, _join(buckets, 101 + r))
+        new = turn(_exchange(only(lists, LISTS).unionByName(proposed), _update(buckets)), *([lists] if r else []))
+        lists = new
+    begun = turn(_exchange(fixed.unionByName(lists), _search_begin(buckets)), *([lists] if rounds else []))
+    links, beams = only(begun, LINKS), begun
+    for step in range(steps + 1):
+        scored = _exchange(fixed.unionByName(only(beams, NAMED)), _score(buckets))
+        got = turn(_exchange(only(beams, BEAM).unionByName(scored), _gather(buckets)), *([beams] if step else []))
+        beams = got
+        if step < steps:
+            linked = _exchange(links.unionByName(only(got, ASKED)), _answer(buckets))
+            beams = turn(_exchange(only(got, BEAM).unionByName(linked), _request(buckets)), got)
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for body in pdf["body"]:
-                s = pickle.loads(body)
-                b = s["beam"]
-                owner, node, score, _ = _top(b["owner"], b["node"], b["score"], b["expanded"], k + 1)
-                yield pd.DataFrame({"_query": s["ids"][owner], "_node": node, "score": score})
+                b = pickle.loads(body)
+                owner, node, score, _ = _top(b["owner"], b["node"], b["score"], b["asked"], k + 1)
+                yield pd.DataFrame({"_query": b["ids"][owner], "_node": node, "score": score})
 
-    nodes = messages.filter(F.col("kind") == STATE).select("body").mapInPandas(found, "_query bigint, _node bigint, score double")
+    nodes = only(beams, BEAM).select("body").mapInPandas(found, "_query bigint, _node bigint, score double")
     askers = own.filter("_asks").select(F.col("_id").alias("query_id"), F.col("_node").alias("_query"))
     hits = nodes.join(askers, "_query").join(same.select(F.col("_id").alias("vec_id"), "_node"), "_node").filter(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
