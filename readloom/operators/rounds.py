@@ -51,7 +51,11 @@ def attribute_value(value: Column) -> Column:
 
 def matches(text: Column) -> Column:
     """All (pattern, value) found in a text: by pattern, then by place."""
-    each = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v, name=name: F.struct(F.lit(name).alias("pattern"), v.try_cast("int").alias("value"))) for name, p in PATTERNS.items()]
+
+    def named(name: str):
+        return lambda v: F.struct(F.lit(name).alias("pattern"), v.try_cast("int").alias("value"))
+
+    each = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), named(name)) for name, p in PATTERNS.items()]
     found = F.filter(F.concat(*each), lambda m: m["value"].isNotNull())
     return F.when(text.isNull() | (trimmed(text) == ""), F.slice(found, 1, 0)).otherwise(found)
 
@@ -87,7 +91,8 @@ def _text_record(text: Column, name: str, confidence: str) -> Column:
 def infer_rounds(runs: DataFrame, overrides: dict[str, int] | None = None) -> DataFrame:
     """One row for each run: round, confidence, source, pattern, candidates, notes and target.
 
-    A reviewed mapping comes first, then structured attributes, then the first text
+    ``sample_attributes`` is a map, or an array of (key, value) where their order
+    matters for conflicting rounds. A reviewed mapping comes first, then structured attributes, then the first text
     field with any indicator. Several candidates are all listed and make it unsafe.
     """
     if "run_accession" not in runs.columns:
@@ -97,11 +102,13 @@ def infer_rounds(runs: DataFrame, overrides: dict[str, int] | None = None) -> Da
         raise ValueError("`overrides` must map accessions to non-negative integers.")
     have = lambda n, d: F.coalesce(F.col(n), d) if n in runs.columns else d
     texts = {name: have(name, F.lit("")) for name, _ in TEXTS}
-    attributes = have("sample_attributes", F.lit(None).cast("map<string,string>"))
-    entries = F.transform(F.map_entries(attributes), lambda e: F.struct(e["key"].alias("key"), key_confidence(e["key"]).alias("level"), attribute_value(e["value"]).alias("value")))
+    attributes = have("sample_attributes", F.lit(None).cast("map<string,string>")) if "sample_attributes" not in runs.columns else F.col("sample_attributes")
+    ordered = "sample_attributes" in runs.columns and runs.schema["sample_attributes"].dataType.typeName() == "array"
+    pairs = F.col("sample_attributes") if ordered else F.map_entries(attributes)
+    entries = F.transform(pairs, lambda e: F.struct(e["key"].alias("key"), key_confidence(e["key"]).alias("level"), attribute_value(e["value"]).alias("value")))
     entries = F.filter(F.coalesce(entries, F.array().cast("array<struct<key:string,level:string,value:int>>")), lambda e: e["level"].isNotNull() & e["value"].isNotNull())
     base = runs.select("run_accession", *[t.alias(f"_{n}") for n, t in texts.items()], entries.alias("_entries"))
-    strong, weak = (F.filter("_entries", lambda e, level=level: e["level"] == level) for level in ("HIGH", "MEDIUM"))
+    strong, weak = F.filter("_entries", lambda e: e["level"] == "HIGH"), F.filter("_entries", lambda e: e["level"] == "MEDIUM")
     base = base.withColumns({"_strong": strong, "_weak": weak}).withColumns({"_s": _values(F.col("_strong")), "_w": _values(F.col("_weak"))})
     text = F.coalesce(*[_text_record(F.col(f"_{n}"), n, c) for n, c in TEXTS])
     base = base.select("*", F.inline(F.array(F.struct(text.alias("_text")))))
