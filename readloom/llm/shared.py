@@ -71,8 +71,16 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_MOVES = re.compile(r"^[\s:+|-]*(Join|Aggregate|Sort|Window|Repartition|RebalancePartitions|Deduplicate|Distinct|FlatMapGroups|GlobalLimit|Generate)", re.M)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows evenly when the scan alone gives fewer partitions than there are cores."""
+    """Deal rows evenly when a scan alone gives fewer partitions than there are cores.
+
+    A plan with a shuffle in it stays as it is: asking for its partitions would run it.
+    """
     small_batches(df.sparkSession)
+    if _MOVES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
