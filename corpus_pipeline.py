@@ -15,7 +15,7 @@ from readloom.llm import byte_cnn, near_dup, nbsvm, packing
 from readloom.llm.shared import fold_of, staged, table
 
 #: A document stays if its quality score is at least the first, and its language's mean probability the second.
-QUALITY, CERTAIN = 0.7, 0.5
+QUALITY, CERTAIN = 0.7, 0.35
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
