@@ -30,7 +30,7 @@ from .shared import spread, staged
 from .textkit import chunks, mix, words
 
 #: Bits of filter for one entry, and how many of a 64-bit word's bits one membership test looks at.
-BITS, PROBES = 20, 5
+BITS, PROBES = 16, 5
 #: Most bytes broadcast at once, for words and for pairs. A larger filter of pairs is broadcast in slices, one
 #: scan each; of words, those below a count that makes the rest fit stand as unseen (in ``score``; ``base_score`` is exact).
 MOST_BROADCAST = 128 << 20
@@ -240,7 +240,7 @@ def base_scores(rows: DataFrame, counts: DataFrame, shard_bits: int, total: int,
     one place, so that a text gets few partial sums.
     """
     scale = total + 0.5 * (types + 1)
-    own_bits = min(shard_bits, max(4, (types // OWNED).bit_length()))
+    own_bits = min(shard_bits, max(5, (types // OWNED).bit_length()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
