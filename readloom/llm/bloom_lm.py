@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread, staged
+from .shared import spread, staged, trim
 from .textkit import chunks, mix, words
 
 #: Bits of filter for one entry, and how many of a 64-bit word's bits one membership test looks at.
@@ -34,6 +34,8 @@ BITS, PROBES = 16, 5
 #: Most bytes broadcast at once, for words and for pairs. A larger filter of pairs is broadcast in slices, one
 #: scan each; of words, those below a count that makes the rest fit stand as unseen (in ``score``; ``base_score`` is exact).
 MOST_BROADCAST = 128 << 20
+#: Bytes of text handled at once.
+CHUNK = 1 << 19
 #: Words whose counts one task of the base score holds.
 OWNED = 1 << 20
 #: Input bytes for one shard of the counts.
@@ -177,6 +179,7 @@ def gather_counts(texts: DataFrame, shard_bits: int) -> DataFrame:
     """Counts of words and pairs of a column ``_text``: a row for each kind and shard with packed keys and counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        trim()
         held: dict[int, list] = {WORD: [], PAIR: []}
 
         def flush() -> pd.DataFrame:
@@ -191,19 +194,20 @@ def gather_counts(texts: DataFrame, shard_bits: int) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for _, _, raw, offsets in chunks(batch.column(0)):
+            for _, _, raw, offsets in chunks(batch.column(0), CHUNK):
                 tokens, _, before = _tokens(raw, offsets)
                 for kind, keys in ((WORD, tokens), (PAIR, pair_keys(before, tokens))):
                     k, c = np.unique(keys, return_counts=True)
                     held[kind].append((k, c.astype(np.uint32)))
                     size += len(k)
-                if size > 2_000_000:
+                if size > 1_500_000:
                     yield flush()
                     size = 0
         if size:
             yield flush()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        trim()
         keys, counts = _runs(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.uint64))
         reach = level(counts)
         return pd.DataFrame({"kind": [pdf["kind"][0]], "shard": [pdf["shard"][0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "types": [len(keys)], "total": [int(counts.sum())], "entries": [[int(reach[counts >= 1 << k].sum()) for k in range(20)]]})
@@ -219,6 +223,7 @@ def filter_pieces(counts: DataFrame, min_word: int, min_pair: int) -> DataFrame:
     """A row for each kind and shard with its piece of the filter; history totals stand with their pairs."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for pdf in batches:
             for row in pdf.itertuples():
                 keys, n = np.frombuffer(row.keys, np.uint64), np.frombuffer(row.counts, np.uint64).astype(np.int64)
@@ -243,9 +248,10 @@ def base_scores(rows: DataFrame, counts: DataFrame, shard_bits: int, total: int,
     own_bits = min(shard_bits, max(5, (types // OWNED).bit_length()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for first, last, raw, offsets in chunks(batch.column(1)):
+            for first, last, raw, offsets in chunks(batch.column(1), CHUNK):
                 tokens, text, _ = _tokens(raw, offsets)
                 order = np.argsort(tokens, kind="stable")
                 keys, text = tokens[order], text[order].astype(np.uint16 if last - first < 65536 else np.uint32)
@@ -310,9 +316,10 @@ def pair_scores(rows: DataFrame, shared_words, shared_pairs, total: int, types:
     scale = total + 0.5 * (types + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         unigrams, pairs = shared_words.value, shared_pairs.value
         for batch in batches:
-            for first, last, raw, offsets in chunks(batch.column(1), 1 << 20):
+            for first, last, raw, offsets in chunks(batch.column(1), CHUNK):
                 tokens, text, before = _tokens(raw, offsets)
                 n = last - first
                 lengths = np.bincount(text, minlength=n)

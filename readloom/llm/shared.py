@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -50,6 +51,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system, where the C library can; workers live on between stages."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
 def fold_of(column: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string")) % parts
