@@ -6,8 +6,8 @@ shuffle of one row for each pair of buckets that have something to say.
 
 A round of descent joins neighbours of neighbours. Every node learns who lists
 it, pushes its vector to the buckets of its neighbours in both directions, and
-each node scores the pairs among the vectors it was sent; the best of them go back
-to the ends that would list them. Search starts from a query's own neighbours (a
+each node scores the pairs among the vectors it was sent of which one is new; those
+that an end would list go back to it. Rounds go on until few links change. Search starts from a query's own neighbours (a
 query is a node), asks the best nodes it has not asked for their links in both
 directions of the graph, and has those scored where their vectors live. Vectors
 and links stay in staged tables of their own, so they move only where needed.
@@ -27,11 +27,15 @@ from pyspark.sql import functions as F
 from .shared import drop_staged, release, staged
 from .textkit import mix
 
-NEIGHBOURS, SAMPLE, ROUNDS = 32, 40, 7
+NEIGHBOURS, FIRST = 32, 8
+#: Rounds of descent run until no more than this share of the links is new.
+CHANGED = 0.01
+#: Members that one comparison around a pivot holds at most; the members of a larger pivot are dealt anew in every round.
+GROUP = 256
+#: Buckets whose nodes the first lists of a bucket draw on; every bucket draws on others.
+DRAWN = 32
 #: Search: best nodes held, expanded in one step, steps, and links of a node followed.
 HELD, EXPAND, STEPS, FOLLOWED = 256, 80, 4, 64
-#: Best partners of a member that one pivot proposes.
-PROPOSALS = 8
 BUCKET_ROWS = 1024
 _MESSAGE = "bucket bigint, kind int, body binary"
 
@@ -85,7 +89,7 @@ def _top(owner: np.ndarray, other: np.ndarray, score: np.ndarray, flag: np.ndarr
     return owner[keep], other[keep], score[keep], flag[keep]
 
 
-VECTORS, LISTS, LISTED, PUSHED, PROPOSED, LINKS, BEAM, ASKED, LINKED, NAMED, SCORED = range(11)
+VECTORS, LISTS, LISTED, PUSHED, PROPOSED, LINKS, BEAM, ASKED, LINKED, NAMED, SCORED, OFFERED, NEW = range(13)
 
 
 def _one(got: list[tuple[int, dict]], kind: int) -> dict | None:
@@ -139,35 +143,43 @@ def _join(buckets: int, seed: int):
         least = np.concatenate([m["least"] for m in pushed])
         pivot, fresh = (np.concatenate([m[x] for m in pushed]) for x in ("pivot", "fresh"))
         member = np.concatenate([m["member"] + a for m, a in zip(pushed, start, strict=False)])
-        # of each pivot's members in both directions, new ones first, a sample
+        # each pivot's members in both directions, once each, new if either link is
         lot = mix(ids[member].view(np.uint64) * np.uint64(31) + pivot.view(np.uint64) + np.uint64(seed))
-        order = np.lexsort((ids[member], lot, ~fresh, pivot))
+        order = np.lexsort((~fresh, ids[member], lot, pivot))
         pivot, member, fresh = pivot[order], member[order], fresh[order]
         again = np.zeros(len(pivot), bool)
         again[1:] = (pivot[1:] == pivot[:-1]) & (ids[member[1:]] == ids[member[:-1]])
         pivot, member, fresh = pivot[~again], member[~again], fresh[~again]
+        # all of them take part: the many of a hub are dealt into groups
+        _, which, count = np.unique(pivot, return_inverse=True, return_counts=True)
+        groups = -(-count // GROUP)
         nth = np.arange(len(pivot)) - np.searchsorted(pivot, pivot)
-        keep = nth < SAMPLE
-        pivot, member, fresh, nth = pivot[keep], member[keep], fresh[keep], nth[keep]
-        _, which = np.unique(pivot, return_inverse=True)
-        count = int(which.max()) + 1
-        table, new = np.full((count, SAMPLE), -1), np.zeros((count, SAMPLE), bool)
-        table[which, nth], new[which, nth] = member, fresh
-        a, b, score = [], [], []
-        for k in range(0, count, 128):
-            t, n = table[k : k + 128], new[k : k + 128]
-            v = vectors[np.maximum(t, 0)]
-            g = v @ v.transpose(0, 2, 1)
-            who = np.where(t >= 0, ids[np.maximum(t, 0)], -1)
-            ok = (t[:, :, None] >= 0) & (t[:, None, :] >= 0) & (n[:, :, None] | n[:, None, :]) & (g > least[np.maximum(t, 0)][:, :, None]) & (who[:, :, None] != who[:, None, :])
-            g[~ok] = -np.inf
-            if SAMPLE > PROPOSALS:
-                low = np.partition(g, SAMPLE - PROPOSALS, axis=2)[:, :, SAMPLE - PROPOSALS]
-                ok &= g >= low[:, :, None]
-            i, x, y = np.nonzero(ok)
-            a.append(who[i, x])
-            b.append(who[i, y])
-            score.append(g[i, x, y])
+        unit = (np.cumsum(groups) - groups)[which] + nth % groups[which]
+        order = np.lexsort((~fresh, unit))
+        unit, member, fresh = unit[order], member[order], fresh[order]
+        size, new = np.bincount(unit), np.bincount(unit, fresh).astype(np.int64)
+        begin = np.cumsum(size) - size
+        queue = np.lexsort((new, -(-size // 16)))
+        queue = queue[(new[queue] > 0) & (size[queue] > 1)]
+        a, b, score, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], 0
+        while at < len(queue):
+            # new members against all of their unit; units of like size together
+            step = max(1, 400_000 // int(size[queue[at]] + 16) ** 2)
+            own = queue[at : at + step]
+            at += step
+            wide, high = int(size[own].max()), int(new[own].max())
+            place = np.arange(wide)
+            held = place < size[own][:, None]
+            t = member[np.where(held, begin[own][:, None] + place, 0)]
+            v, least_of = vectors[t], least[t]
+            g = v[:, :high] @ v.transpose(0, 2, 1)
+            ok = held[:, None, :] & (place[:high] < new[own][:, None])[:, :, None] & (place[:high, None] != place)
+            old = place >= new[own][:, None]
+            for i, x, y, turned in ((*np.nonzero(ok & (g > least_of[:, :high, None])), False), (*np.nonzero(ok & old[:, None, :] & (g > least_of[:, None, :])), True)):
+                one, two = ids[t[i, x]], ids[t[i, y]]
+                a.append(two if turned else one)
+                b.append(one if turned else two)
+                score.append(g[i, x, y])
         a, b, score = np.concatenate(a), np.concatenate(b), np.concatenate(score)
         a, b, score, _ = _top(a, b, score, np.zeros(len(a), bool), NEIGHBOURS)
         return [_row(to, PROPOSED, a=a[p], b=b[p], score=score[p].astype(np.float32)) for to, p in _cut(a, buckets)]
@@ -189,13 +201,14 @@ def _update(buckets: int):
         fresh = np.concatenate([np.zeros(len(s["owner"]), bool), np.ones(len(a), bool)])
         ok = owner >= 0
         owner, other, score, fresh = _top(owner[ok], other[ok], score[ok], fresh[ok], NEIGHBOURS)
-        return [_row(bucket, LISTS, ids=s["ids"], owner=owner, other=other, score=score, fresh=fresh), *_reverse(s["ids"], owner, other, fresh, buckets)]
+        return [_row(bucket, LISTS, ids=s["ids"], owner=owner, other=other, score=score, fresh=fresh), (bucket, NEW, b"%d %d" % (fresh.sum(), len(fresh))), *_reverse(s["ids"], owner, other, fresh, buckets)]
 
     return work
 
 
-def _begin(nodes: DataFrame, buckets: int, dims: int, peers: np.ndarray) -> DataFrame:
-    """Buckets of vectors, and lists of some of ``peers`` and of the bucket to begin with."""
+def _begin(nodes: DataFrame, buckets: int, dims: int) -> DataFrame:
+    """Buckets of vectors, and each bucket's ids offered to those that draw on it."""
+    steps = np.unique(np.concatenate([[0], np.random.default_rng(buckets).choice(buckets, min(buckets, DRAWN), replace=False)]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_node")
@@ -204,16 +217,28 @@ def _begin(nodes: DataFrame, buckets: int, dims: int, peers: np.ndarray) -> Data
         for k, v in enumerate(pdf["_v"]):
             vectors[k, : len(v) // 8] = np.frombuffer(v, np.float64)
         bucket = int(pdf["_bucket"].iloc[0])
-        rng = np.random.default_rng(bucket)
-        pool = np.unique(np.concatenate([ids, peers]))
-        owner = np.repeat(np.arange(len(ids)), NEIGHBOURS)
-        other = pool[rng.integers(0, len(pool), len(owner))]
+        rows = [_row(bucket, VECTORS, ids=ids, vectors=vectors, asks=pdf["_asks"].to_numpy(dtype=bool))]
+        return pd.DataFrame([*rows, *(_row((bucket + s) % buckets, OFFERED, by=bucket, ids=ids) for s in steps)], columns=["bucket", "kind", "body"])
+
+    return nodes.groupBy("_bucket").applyInPandas(run, _MESSAGE)
+
+
+def _first(buckets: int):
+    """Lists to begin with: some of the nodes that other buckets and the own one offered."""
+
+    def work(bucket: int, got: list[tuple[int, dict]]) -> list:
+        offered = _all(got, OFFERED)
+        own = [m["ids"] for m in offered if m["by"] == bucket]
+        if not own:
+            return []
+        ids, pool = own[0], np.sort(np.concatenate([m["ids"] for m in offered]))
+        owner = np.repeat(np.arange(len(ids)), FIRST)
+        other = pool[np.random.default_rng(bucket).integers(0, len(pool), len(owner))]
         ok = other != ids[owner]
         owner, other, score, fresh = _top(owner[ok], other[ok], np.full(int(ok.sum()), -np.inf, np.float32), np.ones(int(ok.sum()), bool), NEIGHBOURS)
-        rows = [_row(bucket, VECTORS, ids=ids, vectors=vectors, asks=pdf["_asks"].to_numpy(dtype=bool)), _row(bucket, LISTS, ids=ids, owner=owner, other=other, score=score, fresh=fresh)]
-        return pd.DataFrame([*rows, *_reverse(ids, owner, other, fresh, buckets)], columns=["bucket", "kind", "body"])
+        return [_row(bucket, LISTS, ids=ids, owner=owner, other=other, score=score, fresh=fresh), *_reverse(ids, owner, other, fresh, buckets)]
 
-    return nodes.groupBy("_bucket").applyInPandas(run, _MESSAGE)
+    return work
 
 
 def _name_rows(b: dict, who: np.ndarray, node: np.ndarray, buckets: int) -> list:
@@ -345,7 +370,7 @@ def _request(buckets: int):
     return work
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int = ROUNDS, steps: int = STEPS) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int | None = None, steps: int = STEPS) -> DataFrame:
     """The k nearest rows found for every query row, nearest first: query_id, rank, vec_id, score.
 
     Every row is in the graph. ``score`` is the inner product in double precision
@@ -353,7 +378,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     and zero vectors and those with a null or non-finite component take no part,
     nor do rows with a null id. Rows with equal vectors share one graph node and
     are told apart again at the end, smaller ids first; a query never finds a row
-    with its own id.
+    with its own id. Rounds run until few links change, or as many as ``rounds``.
     """
     valid = df.select(df[id_col].cast("long").alias(id_col), df[vector_col].cast("array<double>").alias("_a")).filter(
         F.col(id_col).isNotNull() & F.col("_a").isNotNull() & (F.size("_a") > 0) & ~F.exists("_a", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("_a", lambda x: x != 0)
@@ -373,18 +398,15 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     spark = df.sparkSession
     sizes = groups.agg(F.count("*").alias("n"), F.max(F.length("_v")).alias("bytes")).first()
     dims, buckets = int(sizes["bytes"] or 8) // 8, max(1, -(-sizes["n"] // BUCKET_ROWS))
-    # a bounded sample of nodes that first lists draw on beside their own bucket
-    share = min(1.0, 4096 / max(1, sizes["n"]))
-    peers = np.array(sorted(r["_node"] for r in groups.filter(F.pmod(F.xxhash64("_node"), F.lit(1 << 20)) < int(share * (1 << 20))).select("_node").collect()), dtype=np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_home(batch.column(0).to_numpy(), buckets)), *batch.columns], ["_bucket", "_node", "_v", "_asks"])
 
     placed = groups.select("_node", "_v", "_asks").mapInArrow(place, "_bucket bigint, _node bigint, _v binary, _asks boolean")
-    start = staged(_begin(placed, buckets, dims, peers))
+    start = staged(_begin(placed, buckets, dims))
     only = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
-    fixed, lists = only(start, VECTORS), only(start, LISTS, LISTED)
+    fixed, lists = only(start, VECTORS), staged(_exchange(only(start, OFFERED), _first(buckets)))
 
     def turn(new: DataFrame, *old: DataFrame) -> DataFrame:
         """Finish a round: write its result, delete what it replaces and the shuffle files behind it."""
@@ -394,12 +416,16 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
         release(spark)
         return new
 
-    for r in range(rounds):
+    r, moving = 0, True
+    while moving if rounds is None else r < rounds:
         pushed = _exchange(fixed.unionByName(lists), _push(buckets))
         proposed = _exchange(pushed, _join(buckets, 101 + r))
-        new = turn(_exchange(only(lists, LISTS).unionByName(proposed), _update(buckets)), *([lists] if r else []))
-        lists = new
-    begun = turn(_exchange(fixed.unionByName(lists), _search_begin(buckets)), *([lists] if rounds else []))
+        lists = turn(_exchange(only(lists, LISTS).unionByName(proposed), _update(buckets)), lists)
+        part = F.split(F.col("body").cast("string"), " ")
+        told = only(lists, NEW).agg(F.sum(part[0].cast("bigint")).alias("new"), F.sum(part[1].cast("bigint")).alias("all")).first()
+        r, moving = r + 1, (told["new"] or 0) > CHANGED * (told["all"] or 0)
+        lists = only(lists, LISTS, LISTED)
+    begun = turn(_exchange(fixed.unionByName(lists), _search_begin(buckets)), lists)
     links, beams = only(begun, LINKS), begun
     for step in range(steps + 1):
         scored = _exchange(fixed.unionByName(only(beams, NAMED)), _score(buckets))

@@ -1,6 +1,9 @@
+import pickle
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from readloom.llm import nn_descent
 from readloom.llm.nn_descent import nearest
 from readloom.llm.queries import QUERIES
 
@@ -37,3 +40,25 @@ def test_odd_rows(spark):
     assert sorted(got[20])[1:] == [(2, 0, 1.0), (3, 1, 1.0), (4, 2, 1.0), (5, 3, 1.0)]
     assert [x[1] for x in sorted(got[100])] == [0, 1, 2, 3, 4]
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0, rounds=1, steps=1).collect() == []
+
+
+def test_every_new_link_of_a_pivot_is_joined():
+    rng = np.random.default_rng(5)
+    ids, vectors = np.arange(1, 121), rng.normal(size=(120, 16)).astype(np.float16)
+    pushed = {"ids": ids, "vectors": vectors, "least": np.full(120, -np.inf, np.float32), "pivot": np.full(120, 999), "member": np.arange(120, dtype=np.int32), "fresh": np.ones(120, bool)}
+    rows = [pickle.loads(body) for _, kind, body in nn_descent._join(1, 101)(0, [(nn_descent.PUSHED, pushed)]) if kind == nn_descent.PROPOSED]
+    got = {}
+    for m in rows:
+        for a, b in zip(m["a"].tolist(), m["b"].tolist(), strict=True):
+            got.setdefault(a, set()).add(b)
+    g = vectors.astype(np.float32) @ vectors.astype(np.float32).T
+    np.fill_diagonal(g, -np.inf)
+    for k in range(120):
+        assert got[k + 1] == set((np.argsort(-g[k], kind="stable")[: nn_descent.NEIGHBOURS] + 1).tolist())
+
+
+def test_old_links_meet_new_ones_only():
+    vectors = np.eye(4, dtype=np.float16) + np.float16(0.5)
+    pushed = {"ids": np.arange(4), "vectors": vectors, "least": np.full(4, -np.inf, np.float32), "pivot": np.full(4, 9), "member": np.arange(4, dtype=np.int32), "fresh": np.array([False, False, True, False])}
+    rows = [pickle.loads(body) for _, kind, body in nn_descent._join(1, 101)(0, [(nn_descent.PUSHED, pushed)])]
+    assert sorted((a, b) for m in rows for a, b in zip(m["a"].tolist(), m["b"].tolist(), strict=True)) == [(0, 2), (1, 2), (2, 0), (2, 1), (2, 3), (3, 2)]
