@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread, staged, trim
+from .shared import drop_staged, spread, staged, trim
 from .textkit import chunks, mix, words
 
 #: Bits of filter for one entry, and how many of a 64-bit word's bits one membership test looks at.
 BITS, PROBES = 16, 5
-#: Most bytes broadcast at once, for words and for pairs. A larger filter of pairs is broadcast in slices, one
-#: scan each; of words, those below a count that makes the rest fit stand as unseen (in ``score``; ``base_score`` is exact).
+#: Most bytes broadcast at once, for words and for pairs. A larger filter is broadcast in slices, one scan each.
 MOST_BROADCAST = 128 << 20
 #: Bytes of text handled at once.
 CHUNK = 1 << 19
@@ -209,17 +208,16 @@ def gather_counts(texts: DataFrame, shard_bits: int) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         trim()
         keys, counts = _runs(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.uint64))
-        reach = level(counts)
-        return pd.DataFrame({"kind": [pdf["kind"][0]], "shard": [pdf["shard"][0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "types": [len(keys)], "total": [int(counts.sum())], "entries": [[int(reach[counts >= 1 << k].sum()) for k in range(20)]]})
+        return pd.DataFrame({"kind": [pdf["kind"][0]], "shard": [pdf["shard"][0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "types": [len(keys)], "total": [int(counts.sum())]})
 
     packed = texts.mapInArrow(count, "kind int, shard int, keys binary, counts binary")
-    return packed.groupBy("kind", "shard").applyInPandas(merge, "kind int, shard int, keys binary, counts binary, types bigint, total bigint, entries array<bigint>")
+    return packed.groupBy("kind", "shard").applyInPandas(merge, "kind int, shard int, keys binary, counts binary, types bigint, total bigint")
 
 
 _PACKED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def filter_pieces(counts: DataFrame, min_word: int, min_pair: int) -> DataFrame:
+def filter_pieces(counts: DataFrame, min_pair: int) -> DataFrame:
     """A row for each kind and shard with its piece of the filter; history totals stand with their pairs."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,7 +226,7 @@ def filter_pieces(counts: DataFrame, min_word: int, min_pair: int) -> DataFrame:
             for row in pdf.itertuples():
                 keys, n = np.frombuffer(row.keys, np.uint64), np.frombuffer(row.counts, np.uint64).astype(np.int64)
                 if row.kind == WORD:
-                    entries = [(WORD, keys[n >= min_word], n[n >= min_word])]
+                    entries = [(WORD, keys, n)]
                 else:
                     keys, n = keys[n >= min_pair], n[n >= min_pair]
                     entries = [(PAIR, keys, n), (HISTORY, *_runs(keys >> np.uint64(32) << np.uint64(32), n))]
@@ -311,23 +309,51 @@ def _cogroup(sent: DataFrame, owned: DataFrame, look_up) -> DataFrame:
     return sorted_.mapInPandas(run, "_row bigint, base_score double, n_known bigint")
 
 
+def word_levels(rows: DataFrame, shared_words) -> DataFrame:
+    """``rows`` with the level of each token whose word this slice of the filter holds; other tokens keep theirs."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        unigrams = shared_words.value
+        for batch in batches:
+            for first, last, raw, offsets in chunks(batch.column(1), CHUNK):
+                tokens, text, _ = _tokens(raw, offsets)
+                w, at = np.unique(tokens, return_inverse=True)
+                found = unigrams.levels(w, WORD).astype(np.uint16)[at]
+                part = batch.slice(first, last - first)
+                before = b"".join(x.as_py() or b"" for x in part.column(2))
+                if before:
+                    found = np.maximum(found, np.frombuffer(before, np.uint16))
+                ends = np.cumsum(np.bincount(text, minlength=last - first))
+                packed = [x.tobytes() for x in np.split(found, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["_row", "_text", "_levels"])
+
+    return rows.select("_row", "_text", "_levels").mapInArrow(find, "_row bigint, _text string, _levels binary")
+
+
 def pair_scores(rows: DataFrame, shared_words, shared_pairs, total: int, types: int, mu: float, lowest: int) -> DataFrame:
-    """Log10 probability of each ``_row`` over the tokens whose history this slice of the filter holds."""
+    """Log10 probability of each ``_row`` over the tokens whose history this slice of the filter holds.
+
+    Levels of words come from their filter, or with ``rows`` where it has slices.
+    """
     scale = total + 0.5 * (types + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        unigrams, pairs = shared_words.value, shared_pairs.value
+        unigrams, pairs = shared_words and shared_words.value, shared_pairs.value
         for batch in batches:
             for first, last, raw, offsets in chunks(batch.column(1), CHUNK):
                 tokens, text, before = _tokens(raw, offsets)
                 n = last - first
                 lengths = np.bincount(text, minlength=n)
                 on = pairs.holds(before)
+                known = None if unigrams else np.frombuffer(b"".join(x.as_py() for x in batch.column(2).slice(first, n)), np.uint16)[on]
                 if not on.all():
                     tokens, text, before = tokens[on], text[on], before[on]
-                w, at = np.unique(tokens, return_inverse=True)
-                single = ((VALUES[unigrams.levels(w, WORD)] + 0.5) / scale)[at]
+                if unigrams:
+                    w, at = np.unique(tokens, return_inverse=True)
+                    known = unigrams.levels(w, WORD)[at]
+                single = (VALUES[known] + 0.5) / scale
                 b, at = np.unique(pair_keys(before, tokens), return_inverse=True)
                 pair = VALUES[pairs.levels(b, PAIR, lowest)][at]
                 h, at = np.unique(before >> np.uint64(32) << np.uint64(32), return_inverse=True)
@@ -335,7 +361,7 @@ def pair_scores(rows: DataFrame, shared_words, shared_pairs, total: int, types:
                 p = (np.minimum(pair, rest) + mu * single) / (rest + mu)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(lengths.astype(np.int64)), pa.array(np.bincount(text, np.log10(p), n).astype(float))], ["_row", "n_tokens", "score"])
 
-    return rows.select("_row", "_text").mapInArrow(score, "_row bigint, n_tokens bigint, score double")
+    return rows.select("_row", "_text", *([] if shared_words else ["_levels"])).mapInArrow(score, "_row bigint, n_tokens bigint, score double")
 
 
 def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pair: int = 2, mu: float = 20.0, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -356,9 +382,7 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     counts = staged(gather_counts(spread(learn), shard_bits))
     sums = counts.filter(F.col("kind") == WORD).agg(F.sum("total").alias("n"), F.sum("types").alias("v")).first()
     total, types = int(sums["n"] or 0), int(sums["v"] or 0)
-    reach = counts.filter(F.col("kind") == WORD).select(F.posexplode("entries").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
-    fitting = [r["k"] for r in reach if r["n"] * BITS // 8 <= most_broadcast]
-    pieces = staged(filter_pieces(counts, 1 << min(fitting, default=19), min_pair))
+    pieces = staged(filter_pieces(counts, min_pair))
     sizes = {(r["kind"], r["shard"]): r["size"] // 8 for r in pieces.select("kind", "shard", F.length("piece").alias("size")).collect()}
 
     def slice_of(kind: int, shards: list[int]):
@@ -367,17 +391,32 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
         return spark.sparkContext.broadcast(Filter(own, ((r["shard"], r["piece"]) for r in found.toLocalIterator()), shard_bits))
 
     everywhere = list(range(1 << shard_bits))
-    shared_words = slice_of(WORD, everywhere)
-    slices, size = [[]], 0
-    for s in everywhere:
-        own = 8 * sizes.get((PAIR, s), 1)
-        if slices[-1] and size + own > most_broadcast:
-            slices.append([])
-            size = 0
-        slices[-1].append(s)
-        size += own
-    spread_rows = spread(rows)
-    scored = [pair_scores(spread_rows, shared_words, slice_of(PAIR, shards), total, types, mu, int(level(np.array([min_pair]))[0])) for shards in slices]
+
+    def cut(kind: int) -> list[list[int]]:
+        slices, size = [[]], 0
+        for s in everywhere:
+            own = 8 * sizes.get((kind, s), 1)
+            if slices[-1] and size + own > most_broadcast:
+                slices.append([])
+                size = 0
+            slices[-1].append(s)
+            size += own
+        return slices
+
+    spread_rows, parts, slices = spread(rows), cut(WORD), cut(PAIR)
+    with_words, shared_words = spread_rows, None
+    if len(parts) == 1:
+        shared_words = slice_of(WORD, parts[0])
+    else:
+        with_words = spread_rows.select("_row", "_text", F.lit(None).cast("binary").alias("_levels"))
+        for k, shards in enumerate(parts):
+            held = slice_of(WORD, shards)
+            new = staged(word_levels(with_words, held))
+            held.destroy()
+            if k:
+                drop_staged(with_words)
+            with_words = new
+    scored = [pair_scores(with_words, shared_words, slice_of(PAIR, shards), total, types, mu, int(level(np.array([min_pair]))[0])) for shards in slices]
     together = scored[0]
     for more in scored[1:]:
         together = together.unionByName(more)

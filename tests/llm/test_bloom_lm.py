@@ -63,3 +63,11 @@ def test_nulls_repeats_clashes_and_slices(spark):
     assert B.score_texts(df.limit(0), df.limit(0)).collect() == []
     cold = B.score_texts(df, df.filter(F.lit(False))).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in cold)
+
+
+def test_rare_words_stay_in_a_sliced_filter(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(i, i + 40))) for i in range(0, 400, 20)] + [(1000, "w1 w2 never w399"), (1001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    whole = {r.doc_id: r.score for r in B.score_texts(df, df).collect()}
+    parts = {r.doc_id: r.score for r in B.score_texts(df, df, most_broadcast=256).collect()}
+    assert whole.keys() == parts.keys() and all(abs(parts[i] - whole[i]) < 1e-9 for i in whole)
