@@ -5,7 +5,8 @@ shards of the key space (packed sorted keys and counts, so the shuffle moves few
 rows). Each shard then builds its own piece of one Bloom filter: an n-gram whose
 count has quantised level L is entered L times, as (n-gram, 1) to (n-gram, L).
 The pieces are broadcast; a worker finds a level again by repeated probes. Pairs
-enter from ``min_pair`` occurrences on, so their lowest level is that count's.
+enter from ``min_pair`` occurrences on (all of them by default), so their lowest
+level is that count's.
 
     P(w | h) = (c(h w) + mu * P(w)) / (r(h) + mu)
 
@@ -364,7 +365,7 @@ def pair_scores(rows: DataFrame, shared_words, shared_pairs, total: int, types:
     return rows.select("_row", "_text", *([] if shared_words else ["_levels"])).mapInArrow(score, "_row bigint, n_tokens bigint, score double")
 
 
-def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pair: int = 2, mu: float = 20.0, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pair: int = 1, mu: float = 20.0, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Log10 probabilities of whole texts under a model of all ``training`` texts.
 
     Returns id, n_tokens, n_known, train_tokens, base_score and score for every

@@ -71,3 +71,11 @@ def test_rare_words_stay_in_a_sliced_filter(spark):
     whole = {r.doc_id: r.score for r in B.score_texts(df, df).collect()}
     parts = {r.doc_id: r.score for r in B.score_texts(df, df, most_broadcast=256).collect()}
     assert whole.keys() == parts.keys() and all(abs(parts[i] - whole[i]) < 1e-9 for i in whole)
+
+
+def test_a_pair_seen_once_counts(spark):
+    rows = [(k, f"left{k} right{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "left7 right7"), (2, "left7 right8")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in B.score_texts(asked, df).collect()}
+    assert got[1] > got[2] + 0.5
