@@ -107,7 +107,7 @@ def blocks(html: str) -> list[Block]:
                     break
                 if stack[k][0] in SCOPES:
                     break
-            names = tuple(f".{p.lower()}" for found in _NAMES.findall(attributes or "") for p in _PART.findall(" ".join(found)))[:6] if attributes else ()
+            names = tuple(f".{p.lower()}" for found in _NAMES.findall(attributes or "") for p in _PART.findall(" ".join(found))) if attributes else ()
             stack.append((name, names))
             links = 0
     flush()
@@ -115,18 +115,18 @@ def blocks(html: str) -> list[Block]:
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    """One row for each block: hashed path elements, hashed words and a few numbers."""
+    """One row for each block: its whole path and all its words (an average in a long block) hashed, and a few numbers."""
     x = np.zeros((len(page), WIDTH), dtype=np.float32)
     for k, b in enumerate(page):
-        for p in b.path[-14:]:
+        for p in b.path:
             x[k, crc32(p.encode()) % PATH_BITS] = 1
         if b.path:
             x[k, crc32(b"^" + b.path[-1].encode()) % PATH_BITS] = 1
         found = b.text.lower().split()
-        for w in (*found[:8], *found[-4:]):
-            x[k, PATH_BITS + crc32(w.strip(".,;:!?").encode()) % WORD_BITS] = 0.5
+        bag = np.bincount([crc32(w.strip(".,;:!?").encode()) % WORD_BITS for w in found], minlength=WORD_BITS)
+        x[k, PATH_BITS : PATH_BITS + WORD_BITS] = np.minimum(bag, 1) * 0.5 if len(found) <= 12 else bag * (6 / len(found))
         n = len(b.text)
-        x[k, -NUMBERS:] = (math.log1p(n) / 5, b.linked / n, math.log1p(len(found)) / 4, b.text[-1] in ".!?…", len(b.path) / 16, k / len(page), min(1.0, 5 / len(page)), b.text[0] in "©®#|»>")
+        x[k, -NUMBERS:] = (math.log1p(n) / 5, b.linked / n, math.log1p(len(found)) / 4, b.text[-1] in ".!?…", min(1.0, len(b.path) / 16), k / len(page), min(1.0, 5 / len(page)), b.text[0] in "©®#|»>")
     return x
 
 

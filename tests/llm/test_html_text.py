@@ -59,3 +59,14 @@ def test_odd_rows(spark, labeller):
     assert all(r.n_blocks == 6000 for r in got if r.page_id == 2)
     assert [r.n_chars for r in got if r.page_id == 2] == [6000 * len("One more line of the long text.\n") - 1] * 2
     assert html_text.extract(df.limit(0), labeller).collect() == []
+
+
+def test_deep_paths_and_long_blocks_are_read_whole():
+    inner = "".join(f'<div class="{" ".join(f"{c}{d}" for c in ("one", "two", "three", "four", "five", "six", "seven", "eight"))}">' for d in "xyz")
+    rows = [html_text.vectors(html_text.blocks(f"<{tag}>{inner}<p>The same text.</p>"))[0] for tag in ("article", "aside")]
+    assert (rows[0] != rows[1]).any()
+    last = [html_text.blocks(f'<div class="a b c d e f {name}"><p>x</p></div>')[0].path for name in ("comments", "story")]
+    assert last[0] != last[1]
+    words = [f"w{k}" for k in range(60)]
+    one, two = (html_text.vectors(html_text.blocks(f"<p>{' '.join([*words[:30], w, *words[30:]])}</p>"))[0] for w in ("abcd", "efgh"))
+    assert (one != two).any()
