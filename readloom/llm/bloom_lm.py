@@ -14,12 +14,14 @@ with P(w) from the quantised word counts and r(h) the entered pair total of h.
 
 The unsmoothed base score needs exact word counts. It never holds the vocabulary
 in one place: words travel to the shard that owns them, and each shard returns
-partial sums for each document.
+partial sums for each document. Shards follow the vocabulary, and salts of a
+shard, each with the shard's counts, follow the texts, so a look-up stays small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,19 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_staged, spread, staged, trim
+from .shared import drop_staged, release, row_name, spread, staged, trim
 from .textkit import chunks, mix, words
 
 #: Bits of filter for one entry, and how many of a 64-bit word's bits one membership test looks at.
 BITS, PROBES = 16, 5
-#: Most bytes broadcast at once, for words and for pairs. A larger filter is broadcast in slices, one scan each.
-MOST_BROADCAST = 128 << 20
-#: Bytes of text handled at once.
-CHUNK = 1 << 19
-#: Words whose counts one task of the base score holds.
-OWNED = 1 << 20
-#: Input bytes for one shard of the counts.
-SHARD_BYTES = 2 << 20
+#: Most bytes broadcast at once, for words and for pairs. A larger filter is broadcast in slices, and texts are routed to them.
+MOST_BROADCAST = 64 << 20
+#: Bytes of text handled at once; more, up to the second, where a look-up has so many shards that pieces would get tiny.
+CHUNK, MOST_CHUNK = 1 << 19, 8 << 20
+#: Words whose counts one look-up of the base score holds, and input bytes whose words it takes.
+OWNED, LOOK_UP_BYTES = 1 << 20, 24 << 20
+#: Input bytes for one shard of the counts, and distinct keys a task holds before it passes them on.
+SHARD_BYTES, FLUSH = 2 << 20, 1_000_000
 
 _END = np.uint64(0x5EED0FE11D0C0DE5)
 _BEGIN = np.uint64(0xB0B0CAFE12345677)
@@ -200,7 +202,7 @@ def gather_counts(texts: DataFrame, shard_bits: int) -> DataFrame:
                     k, c = np.unique(keys, return_counts=True)
                     held[kind].append((k, c.astype(np.uint32)))
                     size += len(k)
-                if size > 1_500_000:
+                if size > FLUSH:
                     yield flush()
                     size = 0
         if size:
@@ -237,77 +239,86 @@ def filter_pieces(counts: DataFrame, min_pair: int) -> DataFrame:
     return counts.select("kind", "shard", "keys", "counts").mapInPandas(build, "kind int, shard int, piece binary")
 
 
-def base_scores(rows: DataFrame, counts: DataFrame, shard_bits: int, total: int, types: int) -> DataFrame:
-    """Exact base score and known tokens of each ``_row``: words go to the shard of their counts, partial sums come back.
+def _twins(batch: pa.RecordBatch) -> np.ndarray:
+    """The two halves of each row's name, n x 2."""
+    return np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
 
-    Neighbouring shards of the counts are looked up together, about OWNED words in
-    one place, so that a text gets few partial sums.
+
+def _named(names: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), *map(pa.array, columns.values())], ["_row", "_twin", *columns])
+
+
+def base_scores(rows: DataFrame, counts: DataFrame, shard_bits: int, total: int, types: int, most_words: int = OWNED, most_bytes: int = LOOK_UP_BYTES) -> DataFrame:
+    """Exact base score and known tokens of each row: words go to the shard of their counts, partial sums come back.
+
+    A look-up holds the counts of about ``most_words`` words at most and the words
+    of about ``most_bytes`` of input: shards follow the vocabulary, salts the input.
     """
     scale = total + 0.5 * (types + 1)
-    own_bits = min(shard_bits, max(5, (types // OWNED).bit_length()))
+    own_bits = min(shard_bits, max(5, (types // most_words).bit_length()))
+    salts = max(1, -(-input_bytes(rows) // (most_bytes << own_bits)))
+    chunk = min(MOST_CHUNK, max(CHUNK, 1024 << own_bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, last, raw, offsets in chunks(batch.column(1), CHUNK):
+            names = _twins(batch)
+            for first, last, raw, offsets in chunks(batch.column(2), chunk):
                 tokens, text, _ = _tokens(raw, offsets)
                 order = np.argsort(tokens, kind="stable")
-                keys, text = tokens[order], text[order].astype(np.uint16 if last - first < 65536 else np.uint32)
+                keys, text = tokens[order], text[order]
                 starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                keys, runs = keys[starts], np.diff(np.append(starts, len(text))).astype(np.uint32)
-                cut, own = _cut(keys, own_bits), ids[first:last].tobytes()
-                at = np.append(starts, len(text))
-                yield pa.RecordBatch.from_pylist(
-                    [{"shard": s, "ids": own, "wide": text.itemsize, "keys": keys[a:b].tobytes(), "runs": runs[a:b].tobytes(), "texts": text[at[a] : at[b]].tobytes()} for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a],
-                    schema=pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("wide", pa.int32()), ("keys", pa.binary()), ("runs", pa.binary()), ("texts", pa.binary())]),
-                )
-
-    def look_up(key, left: Iterator[pd.DataFrame], right: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owned = list(right)
-        known = np.concatenate([np.frombuffer(x, np.uint64) for p in owned for x in p["keys"]] or [np.zeros(0, np.uint64)])
-        n = np.concatenate([np.frombuffer(x, np.uint64) for p in owned for x in p["counts"]] or [np.zeros(0, np.uint64)])
-        for pdf in left:
-            for row in pdf.itertuples():
-                keys = np.frombuffer(row.keys, np.uint64)
-                c = np.zeros(len(keys))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    c = np.where(known[at] == keys, n[at], 0).astype(float)
-                ids, runs = np.frombuffer(row.ids, np.int64), np.frombuffer(row.runs, np.uint32)
-                texts = np.frombuffer(row.texts, np.uint16 if row.wide == 2 else np.uint32)
-                logs = np.bincount(texts, np.repeat(np.log10((c + 0.5) / scale), runs), len(ids))
-                seen = np.bincount(texts, np.repeat(c > 0, runs), len(ids)).astype(np.int64)
-                some = np.bincount(texts, minlength=len(ids)) > 0
-                yield pd.DataFrame({"_row": ids[some], "base_score": logs[some], "n_known": seen[some]})
-
-    sent = rows.select("_row", "_text").mapInArrow(send, "shard int, ids binary, wide int, keys binary, runs binary, texts binary")
-    owned = counts.filter(F.col("kind") == WORD).select(F.shiftright("shard", shard_bits - own_bits).alias("shard"), F.col("shard").alias("place"), "keys", "counts")
-    partial = _cogroup(sent, owned, look_up)
-    return partial.groupBy("_row").agg(F.sum("base_score").alias("base_score"), F.sum("n_known").alias("n_known"))
-
-
-def _cogroup(sent: DataFrame, owned: DataFrame, look_up) -> DataFrame:
-    """Pieces of texts against the counts of their shard; counts are attached to the first rows of a shard only."""
-    marked = sent.withColumns({"counts": F.lit(None).cast("binary"), "place": F.lit(None).cast("int")}).unionByName(
-        owned.select("shard", "place", F.lit(None).cast("binary").alias("ids"), F.lit(0).alias("wide"), "keys", F.lit(None).cast("binary").alias("runs"), F.lit(None).cast("binary").alias("texts"), "counts")
-    )
-    parts = max(1, int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = marked.repartition(parts, "shard").sortWithinPartitions("shard", F.col("place").asc_nulls_last()).drop("place")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, own = None, None
-        for pdf in batches:
-            for s, group in pdf.groupby("shard", sort=False):
-                if s != shard:
-                    shard, own = s, []
-                has = group["counts"].notna()
-                if has.any():
-                    own.append(group.loc[has, ["keys", "counts"]])
-                if not has.all():
-                    yield from look_up(s, iter([group[~has]]), iter(own))
-
-    return sorted_.mapInPandas(run, "_row bigint, base_score double, n_known bigint")
+                keys, at = keys[starts], np.append(starts, len(text))
+                times, cut = np.diff(at).astype(np.uint32), _cut(keys, own_bits)
+                salt = int(names[first, 0]) % salts
+                pieces = []
+                for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                    if b > a:
+                        own, which = np.unique(text[at[a] : at[b]], return_inverse=True)
+                        which = which.astype(np.uint16 if len(own) < 65536 else np.uint32)
+                        pieces.append({"unit": s * salts + salt, "names": names[first + own].tobytes(), "wide": which.itemsize, "keys": keys[a:b].tobytes(), "runs": times[a:b].tobytes(), "texts": which.tobytes()})
+                yield pa.RecordBatch.from_pylist(pieces, schema=_SENT)
+
+    def look_up(known: np.ndarray, n: np.ndarray, row) -> pa.RecordBatch:
+        keys = np.frombuffer(row["keys"], np.uint64)
+        c = np.zeros(len(keys))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            c = np.where(known[at] == keys, n[at], 0).astype(float)
+        names, runs = np.frombuffer(row["names"], np.int64).reshape(-1, 2), np.frombuffer(row["runs"], np.uint32)
+        texts = np.frombuffer(row["texts"], np.uint16 if row["wide"] == 2 else np.uint32)
+        logs = np.bincount(texts, np.repeat(np.log10((c + 0.5) / scale), runs), len(names))
+        return _named(names, {"base_score": logs, "n_known": np.bincount(texts, np.repeat(c > 0, runs), len(names)).astype(np.int64)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by unit, the counts of its shard before its texts; counts are put together once."""
+        trim()
+        unit, owned, known, n = None, [], None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
+                if row["unit"] != unit:
+                    unit, owned, known = row["unit"], [], None
+                if row["counts"] is not None:
+                    owned.append((np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.uint64)))
+                    continue
+                if known is None:
+                    known, n = (np.concatenate([o[i] for o in owned] or [np.zeros(0, np.uint64)]) for i in (0, 1))
+                    owned = []
+                yield look_up(known, n, row)
+
+    sent = rows.select("_row", "_twin", "_text").mapInArrow(send, "unit int, names binary, wide int, keys binary, runs binary, texts binary")
+    shard = F.shiftright("shard", shard_bits - own_bits)
+    owned = counts.filter(F.col("kind") == WORD).select(F.explode(F.sequence(shard * salts, shard * salts + salts - 1)).alias("unit"), F.col("shard").alias("place"), "keys", "counts")
+    none = F.lit(None).cast("binary")
+    together = sent.withColumns({"counts": none, "place": F.lit(None).cast("int")}).unionByName(owned.withColumns({"names": none, "wide": F.lit(0), "runs": none, "texts": none}))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (salts << own_bits) // 2)
+    dealt = together.repartition(parts, "unit").sortWithinPartitions("unit", F.col("place").asc_nulls_last()).drop("place")
+    partial = dealt.mapInArrow(run, "_row bigint, _twin bigint, base_score double, n_known bigint")
+    return partial.groupBy("_row", "_twin").agg(F.sum("base_score").alias("base_score"), F.sum("n_known").alias("n_known"))
+
+
+_SENT = pa.schema([("unit", pa.int32()), ("names", pa.binary()), ("wide", pa.int32()), ("keys", pa.binary()), ("runs", pa.binary()), ("texts", pa.binary())])
 
 
 def word_levels(rows: DataFrame, shared_words) -> DataFrame:
@@ -317,52 +328,106 @@ def word_levels(rows: DataFrame, shared_words) -> DataFrame:
         trim()
         unigrams = shared_words.value
         for batch in batches:
-            for first, last, raw, offsets in chunks(batch.column(1), CHUNK):
+            for first, last, raw, offsets in chunks(batch.column(2), CHUNK):
                 tokens, text, _ = _tokens(raw, offsets)
                 w, at = np.unique(tokens, return_inverse=True)
                 found = unigrams.levels(w, WORD).astype(np.uint16)[at]
                 part = batch.slice(first, last - first)
-                before = b"".join(x.as_py() or b"" for x in part.column(2))
+                before = b"".join(x.as_py() or b"" for x in part.column(3))
                 if before:
                     found = np.maximum(found, np.frombuffer(before, np.uint16))
                 ends = np.cumsum(np.bincount(text, minlength=last - first))
                 packed = [x.tobytes() for x in np.split(found, ends[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["_row", "_text", "_levels"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(packed, pa.binary())], ["_row", "_twin", "_text", "_levels"])
 
-    return rows.select("_row", "_text", "_levels").mapInArrow(find, "_row bigint, _text string, _levels binary")
+    return rows.select("_row", "_twin", "_text", "_levels").mapInArrow(find, "_row bigint, _twin bigint, _text string, _levels binary")
 
 
-def pair_scores(rows: DataFrame, shared_words, shared_pairs, total: int, types: int, mu: float, lowest: int) -> DataFrame:
-    """Log10 probability of each ``_row`` over the tokens whose history this slice of the filter holds.
+_SCORED = "_row bigint, _twin bigint, n_tokens bigint, times bigint, score double"
+
+
+def _scored(pairs: Filter, names: np.ndarray, text: np.ndarray, keys: np.ndarray, first: np.ndarray, known: np.ndarray, scale: float, mu: float, lowest: int) -> pa.RecordBatch:
+    """Sums for each text over some of its tokens, given by pair key, whether they begin the text, and word level."""
+    single = (VALUES[known] + 0.5) / scale
+    b, at = np.unique(keys, return_inverse=True)
+    pair = VALUES[pairs.levels(b, PAIR, lowest)][at]
+    h, at = np.unique(keys >> np.uint64(32) << np.uint64(32), return_inverse=True)
+    rest = VALUES[pairs.levels(h, HISTORY, lowest)][at]
+    p = (np.minimum(pair, rest) + mu * single) / (rest + mu)
+    n = len(names)
+    return _named(names, {"n_tokens": np.bincount(text, minlength=n).astype(np.int64), "times": np.bincount(text[first], minlength=n).astype(np.int64), "score": np.bincount(text, np.log10(p), n).astype(float)})
 
-    Levels of words come from their filter, or with ``rows`` where it has slices.
-    """
-    scale = total + 0.5 * (types + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _levelled(shared_words, use):
+    """A mapInArrow function: ``use(names, text, tokens, histories, word levels)`` on each chunk of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        unigrams, pairs = shared_words and shared_words.value, shared_pairs.value
         for batch in batches:
-            for first, last, raw, offsets in chunks(batch.column(1), CHUNK):
+            names = _twins(batch)
+            for first, last, raw, offsets in chunks(batch.column(2), CHUNK):
                 tokens, text, before = _tokens(raw, offsets)
-                n = last - first
-                lengths = np.bincount(text, minlength=n)
-                on = pairs.holds(before)
-                known = None if unigrams else np.frombuffer(b"".join(x.as_py() for x in batch.column(2).slice(first, n)), np.uint16)[on]
-                if not on.all():
-                    tokens, text, before = tokens[on], text[on], before[on]
-                if unigrams:
+                if shared_words:
                     w, at = np.unique(tokens, return_inverse=True)
-                    known = unigrams.levels(w, WORD)[at]
-                single = (VALUES[known] + 0.5) / scale
-                b, at = np.unique(pair_keys(before, tokens), return_inverse=True)
-                pair = VALUES[pairs.levels(b, PAIR, lowest)][at]
-                h, at = np.unique(before >> np.uint64(32) << np.uint64(32), return_inverse=True)
-                rest = VALUES[pairs.levels(h, HISTORY, lowest)][at]
-                p = (np.minimum(pair, rest) + mu * single) / (rest + mu)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(lengths.astype(np.int64)), pa.array(np.bincount(text, np.log10(p), n).astype(float))], ["_row", "n_tokens", "score"])
+                    known = shared_words.value.levels(w, WORD)[at]
+                else:
+                    known = np.frombuffer(b"".join(x.as_py() for x in batch.column(3).slice(first, last - first)), np.uint16)
+                yield from use(names[first:last], text, tokens, before, known)
+
+    return run
+
+
+def pair_scores(rows: DataFrame, shared_words, shared_pairs, scale: float, mu: float, lowest: int) -> DataFrame:
+    """Tokens and log10 probability of each row, with all pairs in one broadcast."""
 
-    return rows.select("_row", "_text", *([] if shared_words else ["_levels"])).mapInArrow(score, "_row bigint, n_tokens bigint, score double")
+    def use(names, text, tokens, before, known):
+        yield _scored(shared_pairs.value, names, text, pair_keys(before, tokens), before == _BEGIN, known, scale, mu, lowest)
+
+    columns = ["_row", "_twin", "_text", *([] if shared_words else ["_levels"])]
+    return rows.select(*columns).mapInArrow(_levelled(shared_words, use), _SCORED)
+
+
+_ROUTED = {"names": np.int64, "texts": None, "begins": bool, "words": np.uint64, "levels": np.uint16, "word": None, "histories": np.uint32, "history": None}
+
+
+def _narrow(index: np.ndarray, size: int) -> np.ndarray:
+    return index.astype(np.uint16 if size <= 65536 else np.uint32)
+
+
+def routed(rows: DataFrame, shared_words, slice_of_shard: np.ndarray, shard_bits: int) -> DataFrame:
+    """The tokens of all texts dealt to the slice of the pair filter that holds them, so that no slice needs another's.
+
+    Words and histories of a chunk stand there once, tokens point to them.
+    """
+
+    def use(names, text, tokens, before, known):
+        to = slice_of_shard[(before >> np.uint64(64 - shard_bits)).astype(np.int64)]
+        order = np.argsort(to, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+            own, which = np.unique(text[part], return_inverse=True)
+            words_, first, word = np.unique(tokens[part], return_index=True, return_inverse=True)
+            left, history = np.unique((before[part] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
+            packed = [names[own], _narrow(which, len(own)), before[part] == _BEGIN, words_, known[part][first].astype(np.uint16), _narrow(word, len(words_)), left, _narrow(history, len(left))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[part[0]])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["slice", *_ROUTED])
+
+    columns = ["_row", "_twin", "_text", *([] if shared_words else ["_levels"])]
+    return rows.select(*columns).mapInArrow(_levelled(shared_words, use), "slice int, " + ", ".join(f"{c} binary" for c in _ROUTED))
+
+
+def routed_scores(tokens: DataFrame, shared_pairs, scale: float, mu: float, lowest: int) -> DataFrame:
+    """pair_scores() of tokens that came to their slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(i)[k].as_py() for i, c in enumerate(_ROUTED)}
+                n = len(row["begins"])
+                got = {c: np.frombuffer(row[c], t or (np.uint16 if len(row[c]) == 2 * n else np.uint32)) for c, t in _ROUTED.items()}
+                tokens, before = got["words"][got["word"]], got["histories"][got["history"]].astype(np.uint64) << np.uint64(32)
+                yield _scored(shared_pairs.value, got["names"].reshape(-1, 2), got["texts"], pair_keys(before, tokens), got["begins"], got["levels"][got["word"]], scale, mu, lowest)
+
+    return tokens.select(*_ROUTED).mapInArrow(run, _SCORED)
 
 
 def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pair: int = 1, mu: float = 20.0, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -372,18 +437,22 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     row. A null or empty text is its end token alone. Repeated rows and rows with
     a null id are scored like any other; only the two named columns are read, so
     other columns cannot clash. With no training text every count is 0.
-    Rows are told apart by a hash of id and text, so a scan that is dealt anew
-    after a lost executor gives the same result.
+    Rows are told apart by 128 bits of hash of id and text, so a scan that is dealt
+    anew after a lost executor gives the same result.
     """
     spark = df.sparkSession
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    rows = df.select(F.xxhash64(df[id_col], text).alias("_row"), df[id_col].alias("_id"), text.alias("_text"))
+    rows = df.select(*row_name(df[id_col], text), df[id_col].alias("_id"), text.alias("_text"))
     learn = training.select(F.coalesce(training[text_col].cast("string"), F.lit("")).alias("_text"))
     shard_bits = max(4, (max(1, input_bytes(learn) // SHARD_BYTES)).bit_length())
     counts = staged(gather_counts(spread(learn), shard_bits))
     sums = counts.filter(F.col("kind") == WORD).agg(F.sum("total").alias("n"), F.sum("types").alias("v")).first()
     total, types = int(sums["n"] or 0), int(sums["v"] or 0)
-    pieces = staged(filter_pieces(counts, min_pair))
+    scale, lowest = total + 0.5 * (types + 1), int(level(np.array([min_pair]))[0])
+    pieces, pairs_too = staged(filter_pieces(counts, min_pair)), counts
+    counts = staged(pairs_too.filter(F.col("kind") == WORD))
+    drop_staged(pairs_too)
+    release(spark)
     sizes = {(r["kind"], r["shard"]): r["size"] // 8 for r in pieces.select("kind", "shard", F.length("piece").alias("size")).collect()}
 
     def slice_of(kind: int, shards: list[int]):
@@ -391,11 +460,9 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
         own = {s: sizes.get((kind, s), 1) for s in shards}
         return spark.sparkContext.broadcast(Filter(own, ((r["shard"], r["piece"]) for r in found.toLocalIterator()), shard_bits))
 
-    everywhere = list(range(1 << shard_bits))
-
     def cut(kind: int) -> list[list[int]]:
         slices, size = [[]], 0
-        for s in everywhere:
+        for s in range(1 << shard_bits):
             own = 8 * sizes.get((kind, s), 1)
             if slices[-1] and size + own > most_broadcast:
                 slices.append([])
@@ -409,7 +476,7 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     if len(parts) == 1:
         shared_words = slice_of(WORD, parts[0])
     else:
-        with_words = spread_rows.select("_row", "_text", F.lit(None).cast("binary").alias("_levels"))
+        with_words = spread_rows.select("_row", "_twin", "_text", F.lit(None).cast("binary").alias("_levels"))
         for k, shards in enumerate(parts):
             held = slice_of(WORD, shards)
             new = staged(word_levels(with_words, held))
@@ -417,16 +484,35 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
             if k:
                 drop_staged(with_words)
             with_words = new
-    scored = [pair_scores(with_words, shared_words, slice_of(PAIR, shards), total, types, mu, int(level(np.array([min_pair]))[0])) for shards in slices]
-    together = scored[0]
-    for more in scored[1:]:
-        together = together.unionByName(more)
-    times = F.count("*") / len(slices)  # a repeated row came as often as it is there
-    together = together.groupBy("_row").agg(F.max("n_tokens").alias("n_tokens"), (F.sum("score") / times).alias("score"), times.alias("_times"))
-    base = base_scores(spread_rows, counts, shard_bits, total, types)
+    summed = [F.sum("n_tokens").alias("n_tokens"), F.sum("times").alias("times"), F.sum("score").alias("score")]
+    if len(slices) == 1:
+        held = slice_of(PAIR, slices[0])
+        together = staged(pair_scores(with_words, shared_words, held, scale, mu, lowest).groupBy("_row", "_twin").agg(*summed))
+        held.destroy()
+    else:
+        where = np.repeat(np.arange(len(slices)), [len(x) for x in slices])
+        tokens, found = staged(routed(with_words, shared_words, where, shard_bits), by="slice"), []
+        for k, shards in enumerate(slices):
+            held = slice_of(PAIR, shards)
+            found.append(staged(routed_scores(tokens.filter(F.col("slice") == k), held, scale, mu, lowest).groupBy("_row", "_twin").agg(*summed)))
+            held.destroy()
+        drop_staged(tokens)
+        release(spark)
+        together = reduce(DataFrame.unionByName, found).groupBy("_row", "_twin").agg(*summed)
+    if shared_words:
+        shared_words.destroy()
+    base = staged(base_scores(spread_rows, counts, shard_bits, total, types))
+    for done in (counts, pieces, *([with_words] if len(parts) > 1 else [])):
+        drop_staged(done)
     return (
-        rows.select("_row", F.col("_id").alias(id_col))
-        .join(together, "_row")
-        .join(base, "_row")
-        .select(id_col, "n_tokens", F.round(F.col("n_known") / F.col("_times")).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base_score") / F.col("_times")).alias("base_score"), "score")
+        rows.select("_row", "_twin", F.col("_id").alias(id_col))
+        .join(together, ["_row", "_twin"])
+        .join(base, ["_row", "_twin"])
+        .select(
+            id_col,
+            # a repeated row came as often as it is there
+            *[F.round(F.col(c) / F.col("times")).cast("bigint").alias(c) for c in ("n_tokens", "n_known")],
+            F.lit(total).cast("bigint").alias("train_tokens"),
+            *[(F.col(c) / F.col("times")).alias(c) for c in ("base_score", "score")],
+        )
     )

@@ -19,19 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``; only a local master may do without one, in a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share.")
         root = tempfile.mkdtemp(prefix="readloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/readloom-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, survives lost executors."""
+def staged(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, survives lost executors.
+
+    With ``by``, a folder for each value of that column, so that a filter on it reads no other.
+    """
     spark = df.sparkSession
     path = stage_dir(spark)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,10 +44,27 @@ def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/readloom-" in file:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {m[0] for f in df.inputFiles() if (m := re.match(r".*/readloom-[0-9a-f]{32}(?=/)", f))}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_name(*columns: Column) -> list[Column]:
+    """128 bits that tell rows apart by their values, as two columns ``_row`` and ``_twin``."""
+    return [F.xxhash64(*columns).alias("_row"), F.xxhash64(F.lit(0x7EA1), *columns).alias("_twin")]
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or it with as many underscores before it as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def quoted(name: str) -> str:
+    """A column name as it is, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def release(spark: SparkSession) -> None:
