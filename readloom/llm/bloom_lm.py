@@ -14,8 +14,8 @@ with P(w) from the quantised word counts and r(h) the entered pair total of h.
 
 The unsmoothed base score needs exact word counts. It never holds the vocabulary
 in one place: words travel to the shard that owns them, and each shard returns
-partial sums for each document. Shards follow the vocabulary, and salts of a
-shard, each with the shard's counts, follow the texts, so a look-up stays small.
+partial sums for each document. Shards, and salts of a shard that each have its
+counts, follow the vocabulary and the texts, so a look-up stays small.
 """
 
 from __future__ import annotations
@@ -36,12 +36,12 @@ from .textkit import chunks, mix, words
 BITS, PROBES = 16, 5
 #: Most bytes broadcast at once, for words and for pairs. A larger filter is broadcast in slices, and texts are routed to them.
 MOST_BROADCAST = 64 << 20
-#: Bytes of text handled at once; more, up to the second, where a look-up has so many shards that pieces would get tiny.
+#: Bytes of text handled at once; more, up to the second, where look-ups have so many shards that pieces would get tiny.
 CHUNK, MOST_CHUNK = 1 << 19, 8 << 20
 #: Words whose counts one look-up of the base score holds, and input bytes whose words it takes.
-OWNED, LOOK_UP_BYTES = 1 << 20, 24 << 20
+OWNED, LOOK_UP_BYTES = 1 << 20, 4 << 20
 #: Input bytes for one shard of the counts, and distinct keys a task holds before it passes them on.
-SHARD_BYTES, FLUSH = 2 << 20, 1_000_000
+SHARD_BYTES, FLUSH = 2 << 20, 1_500_000
 
 _END = np.uint64(0x5EED0FE11D0C0DE5)
 _BEGIN = np.uint64(0xB0B0CAFE12345677)
@@ -252,11 +252,14 @@ def base_scores(rows: DataFrame, counts: DataFrame, shard_bits: int, total: int,
     """Exact base score and known tokens of each row: words go to the shard of their counts, partial sums come back.
 
     A look-up holds the counts of about ``most_words`` words at most and the words
-    of about ``most_bytes`` of input: shards follow the vocabulary, salts the input.
+    of about ``most_bytes`` of input: shards follow both until they cut chunks too
+    fine, then salts of each shard, which all get its counts, follow the input.
     """
     scale = total + 0.5 * (types + 1)
-    own_bits = min(shard_bits, max(5, (types // most_words).bit_length()))
-    salts = max(1, -(-input_bytes(rows) // (most_bytes << own_bits)))
+    size = input_bytes(rows)
+    most_bits = (MOST_CHUNK // 1024).bit_length() - 1
+    own_bits = min(shard_bits, max(5, (types // most_words).bit_length(), min(most_bits, (size // most_bytes).bit_length())))
+    salts = max(1, -(-size // (most_bytes << own_bits)))
     chunk = min(MOST_CHUNK, max(CHUNK, 1024 << own_bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,8 +315,7 @@ def base_scores(rows: DataFrame, counts: DataFrame, shard_bits: int, total: int,
     owned = counts.filter(F.col("kind") == WORD).select(F.explode(F.sequence(shard * salts, shard * salts + salts - 1)).alias("unit"), F.col("shard").alias("place"), "keys", "counts")
     none = F.lit(None).cast("binary")
     together = sent.withColumns({"counts": none, "place": F.lit(None).cast("int")}).unionByName(owned.withColumns({"names": none, "wide": F.lit(0), "runs": none, "texts": none}))
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (salts << own_bits) // 2)
-    dealt = together.repartition(parts, "unit").sortWithinPartitions("unit", F.col("place").asc_nulls_last()).drop("place")
+    dealt = together.repartitionById(salts << own_bits, F.col("unit")).sortWithinPartitions("unit", F.col("place").asc_nulls_last()).drop("place")
     partial = dealt.mapInArrow(run, "_row bigint, _twin bigint, base_score double, n_known bigint")
     return partial.groupBy("_row", "_twin").agg(F.sum("base_score").alias("base_score"), F.sum("n_known").alias("n_known"))
 

@@ -36,7 +36,8 @@ def staged(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_dir(spark)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
