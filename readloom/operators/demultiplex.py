@@ -34,12 +34,22 @@ def mismatches(c: Column, text: str) -> Column:
 
 
 def assigned(reads: DataFrame, barcodes: dict[str, int], max_mismatches: int = 1) -> DataFrame:
-    """``reads`` with ``_to``, the round of the one barcode that the read begins with; null if none or several do."""
-    s = S.normalised("sequence")
+    """``reads`` with ``_to``, the round of the barcode that the read begins with; null without one.
+
+    Checked barcodes are so far apart that no read is near two. The read's head is
+    bound once, and inline() keeps filters on the result from evaluating it again.
+    """
     width = len(next(iter(barcodes)))
-    head = F.substring(s, 1, width)
-    hits = F.filter(F.array(*[F.when(mismatches(head, b) <= max_mismatches, F.lit(r)) for b, r in barcodes.items()]), lambda x: x.isNotNull())
-    return reads.withColumn("_to", F.when((F.length(s) >= width) & (F.size(hits) == 1), hits[0]))
+    headed = reads.withColumn("_head", F.substring(S.normalised("sequence"), 1, width))
+    head = F.col("_head")
+
+    def close(code: str) -> Column:
+        if max_mismatches == 0:
+            return head == code
+        return S.near(head, code) if max_mismatches == 1 else (F.length(head) == width) & (mismatches(head, code) <= max_mismatches)
+
+    to = F.coalesce(*[F.when(close(code), F.lit(r)) for code, r in barcodes.items()])
+    return headed.select(*reads.columns, F.inline(F.array(F.struct(to.alias("_to")))))
 
 
 @dataclass
@@ -53,21 +63,40 @@ class Demultiplexed:
 
 
 def demultiplex(reads: DataFrame, barcodes: dict[str, int], max_mismatches: int = 1, trim_barcode: bool = True) -> Demultiplexed:
-    """Reads by the round of their barcode, one pass and no shuffle; mates follow their first read by (file_index, read_index)."""
+    """Reads by the round of their barcode; first mates need one pass and no shuffle.
+
+    Second mates follow their first read by ``pair_index`` (of their pool, where
+    reads name one), in one join, and stay untrimmed. Pools must have as many of them.
+    """
     codes = checked_barcodes(barcodes, max_mismatches)
     width = len(next(iter(codes)))
     name = F.format_string("round_%02d", F.col("_to"))
     first = assigned(reads.filter("mate = 'R1'"), codes, max_mismatches)
     good = first.filter("_to is not null").withColumn("sequence", F.expr(f"substring(sequence, {width + 1})") if trim_barcode else F.col("sequence"))
-    keys = [k for k in ("file_index", "read_index") if k in reads.columns][-1:]
-    mates = reads.filter("mate = 'R2'").join(first.select(*keys, "_to"), keys)
-    out = good.unionByName(mates.filter("_to is not null").select(*good.columns)).withColumn("round", name)
-    rest = first.filter("_to is null").drop("_to").unionByName(mates.filter("_to is null").drop("_to").select(*reads.columns))
+    rest = first.filter("_to is null").drop("_to")
+    second = reads.filter("mate = 'R2'")
+    if not second.isEmpty():
+        keys = pair_keys(reads)
+        mates = second.join(first.select(*keys, "_to"), keys)
+        good = good.unionByName(mates.filter("_to is not null").select(*good.columns))
+        rest = rest.unionByName(mates.filter("_to is null").select(*reads.columns))
+    out = good.withColumn("round", name)
     spark = reads.sparkSession
     rounds = spark.createDataFrame([(f"round_{r:02d}", r) for r in sorted(set(codes.values()))], "round string, round_number int")
     return Demultiplexed(out.drop("_to"), rest, summary(first, rounds), codes, max_mismatches, trim_barcode)
 
 
+def pair_keys(reads: DataFrame) -> list[str]:
+    """The columns that a pair's mates share, after a check that every pool has as many second mates as first ones."""
+    if "pair_index" not in reads.columns:
+        raise ValueError("Paired reads need `pair_index`; with_pairs() gives it.")
+    pool = [c for c in ("round",) if c in reads.columns]
+    counts = reads.groupBy(*pool).agg(F.count_if(F.col("mate") == "R1").alias("a"), F.count_if(F.col("mate") == "R2").alias("b"))
+    for r in counts.filter("a <> b").limit(1).collect():
+        raise ValueError(f"Mates differ in number{f' in {r[0]}' if pool else ''}: {r['a']} first and {r['b']} second ones.")
+    return [*pool, "pair_index"]
+
+
 def summary(first: DataFrame, rounds: DataFrame) -> DataFrame:
     """Assigned reads and their share of all reads for each round, rounds without reads too."""
     counts = first.groupBy("_to").agg(F.count("*").alias("n"))

@@ -11,12 +11,12 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 from statistics import mean, median, stdev
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..plans.report import UNABLE, LibraryReport
-from .counting import round_key
+from .counting import round_key, top_rows
 
 #: Fixed values of the procedure.
 FLOOR_READS, MOST_OFFSETS, LEAST_FLANK, CALLED, CORE = 500, 60, 14, 0.75, 12
@@ -288,6 +288,7 @@ def status(mode: str, confidence: float, several_rounds: bool) -> str:
 def classify(rate_5p: float, rate_3p: float, length_confidence: float, split: bool, several_rounds: bool, confidence: float) -> dict:
     """Mode, action, status and reason from the rates."""
 
+    # fixed values: reasons stand in reports, byte for byte
     def able(mode: str, action: str = "NONE") -> dict:
         return {"extraction_mode": mode, "full_insert_recovered": mode == "BOTH_PRIMERS_SINGLE_READ", "required_action": action, "status": status(mode, confidence, several_rounds), "failure_reason": None}
 
@@ -313,8 +314,8 @@ def sampled(reads: DataFrame, most: int | None, seed: int) -> DataFrame:
     """Exactly ``most`` reads of each round and mate, drawn by a seeded hash; all where it is None, not positive or not reached."""
     if most is None or most <= 0:
         return reads
-    lot = Window.partitionBy("round", "mate").orderBy(F.xxhash64(F.lit(int(seed)), "file_index", "read_index"), "file_index", "read_index")
-    return reads.withColumn("_lot", F.row_number().over(lot)).filter(F.col("_lot") <= most).drop("_lot")
+    lot = F.xxhash64(F.lit(int(seed)), "file_index", "read_index")
+    return top_rows(reads, ["round", "mate"], [lot, F.col("file_index"), F.col("read_index")], F.xxhash64("read_index", "file_index"), most, "_lot").drop("_lot")
 
 
 def detect(reads: DataFrame, read_source: str = "R1", sampling_seed: int = 42, max_reads_per_round: int | None = None) -> LibraryReport:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..plans.report import UNABLE, LibraryReport, corrected
 from .counting import round_key
+from .demultiplex import pair_keys
 from .detection import strand
 
 
@@ -98,32 +99,46 @@ def trimmed(reads: DataFrame, mode: str, primer_5p: str | None, primer_3p: str |
     An exact occurrence always wins over an approximate one and the leftmost exact
     one wins among those, so reads that have their primers exactly need no alignment.
     """
-    s = S.normalised("sequence")
+    plain, sequence = F.col("_plain"), F.col("sequence")
     p5, p3 = ((p or "").upper().replace("U", "T") for p in (primer_5p, primer_3p))
-    five = F.locate(p5, s) if mode != "THREE_PRIME_ONLY" else F.lit(1)
-    begin = five + len(p5) if mode != "THREE_PRIME_ONLY" else F.lit(1)
-    marked = reads.withColumn("_ok", five > 0).withColumn("_begin", begin)
-    if mode != "FIVE_PRIME_ONLY":
-        rest = F.substring(s, F.col("_begin"), F.length(s))
-        marked = marked.withColumn("_three", F.locate(p3, rest)).withColumn("_ok", F.col("_ok") & (F.col("_three") > 0))
-        insert = F.substring(F.col("sequence"), F.col("_begin"), F.col("_three") - 1)
+    # each step is bound once: inline() keeps what follows from copying expressions into itself
+    bind = lambda df, **new: df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in new.items()]))))
+    marked = bind(reads, _plain=S.normalised("sequence"))
+    marked = bind(marked, _begin=F.lit(1) if mode == "THREE_PRIME_ONLY" else F.locate(p5, plain) + len(p5))
+    found = F.col("_begin") > (0 if mode == "THREE_PRIME_ONLY" else len(p5))
+    if mode == "FIVE_PRIME_ONLY":
+        marked = bind(marked, _ok=found, _size=F.length(sequence))
     else:
-        insert = F.substring(F.col("sequence"), F.col("_begin"), F.length("sequence"))
-    exact = marked.filter("_ok").withColumn("sequence", insert).select(*reads.columns)
+        marked = bind(marked, _three=F.locate(p3, F.substring(plain, F.col("_begin"), F.length(plain))))
+        marked = bind(marked, _ok=found & (F.col("_three") > 0), _size=F.col("_three") - 1)
+    names = reads.columns
+    exact = marked.filter("_ok").withColumn("sequence", F.substring(sequence, F.col("_begin"), F.col("_size"))).select(*names)
     if not approximate:
         return exact
-    names = reads.columns
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), 2000):
-                part = pdf.iloc[a : a + 2000].copy()
-                part["sequence"] = cut_reads(part["sequence"].tolist(), mode, primer_5p, primer_3p)
-                yield part[part["sequence"].notna()][names]
+            sizes = pdf["sequence"].str.len().to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            for part in alike(sizes[order]):
+                rows = pdf.iloc[order[part]].copy()
+                rows["sequence"] = cut_reads(rows["sequence"].tolist(), mode, primer_5p, primer_3p)
+                yield rows[rows["sequence"].notna()][names]
 
     return exact.unionByName(marked.filter("not coalesce(_ok, false)").select(*names).mapInPandas(align, reads.schema))
 
 
+def alike(sizes: np.ndarray, most: int = 400_000) -> Iterator[slice]:
+    """Runs of ascending read lengths with at most ``most`` cells when padded, or one read."""
+    a = 0
+    while a < len(sizes):
+        b = a + 1
+        while b < len(sizes) and (b + 1 - a) * sizes[b] <= most and b - a < 2000:
+            b += 1
+        yield slice(a, b)
+        a = b
+
+
 def strand_counts(reads: DataFrame, primer_5p: str | None, primer_3p: str | None) -> DataFrame:
     """forward, reverse and ambiguous reads of each round."""
     kind = strand(primer_5p, primer_3p)
@@ -167,32 +182,29 @@ class Extraction:
         """Warn of rounds whose primers may not fit."""
         low = self.low_yield_rounds()
         if low:
-            warnings.warn(f"Extraction: {len(low)} round(s) kept under half of their reads or under half the best round's yield; the primers may not fit: " + "; ".join(low[k] for k in sorted(low, key=round_key)), stacklevel=2)
+            warnings.warn(f"{len(low)} round(s) lost most reads, or far more than the best round, when inserts were cut; check the primers: " + "; ".join(low[k] for k in sorted(low, key=round_key)), stacklevel=2)
 
 
 def extract(reads: DataFrame, report: LibraryReport, primer_5p: str | None = None, primer_3p: str | None = None, extraction_mode: str | None = None, approximate: bool = True) -> Extraction:
     """Inserts of all rounds under a report, or under reviewed primers.
 
     REVERSE libraries are turned around first (the first mate only); reads of MIXED
-    ones are taken as they are. Strands are counted before turning.
+    ones are taken as they are. Strands are counted before turning. Pairs are kept
+    by ``pair_index`` where both mates have their primer.
     """
     report = corrected(report, primer_5p, primer_3p, extraction_mode)
     mode = report.extraction_mode
     if report.status == "UNABLE_TO_INFER" or mode == UNABLE:
-        raise ValueError("The library report does not permit extraction; provide explicit corrected primers.")
+        raise ValueError("Nothing can be extracted under this report: it found no usable primers. Pass reviewed ones.")
     r1, r2 = reads.filter("mate = 'R1'"), reads.filter("mate = 'R2'")
     strands = strand_counts(r1, report.primer_5p, report.primer_3p)
     turned = r1.withColumn("sequence", S.reverse_complement_read("sequence")) if report.orientation == "REVERSE" else r1
     if mode == "PAIRED_END_SPLIT_PRIMERS":
-        counts = reads.groupBy("round").agg(F.count_if(F.col("mate") == "R1").alias("a"), F.count_if(F.col("mate") == "R2").alias("b")).collect()
-        if not any(r["b"] for r in counts):
-            raise ValueError("PAIRED_END_SPLIT_PRIMERS extraction requires paired mates.")
-        for r in counts:
-            if r["a"] != r["b"]:
-                raise ValueError(f"Paired streams have different read counts in {r['round']}.")
+        if r2.isEmpty():
+            raise ValueError("Split primers stand on both mates; these reads have first mates only.")
+        keys = pair_keys(reads)
         left = trimmed(turned, "FIVE_PRIME_ONLY", report.primer_5p, None, approximate)
         right = trimmed(r2, "FIVE_PRIME_ONLY", S.reverse_complement_text(report.primer_3p), None, approximate)
-        keys = ["round", "pair_index"] if "pair_index" in reads.columns else ["round", "read_index"]
         both = left.select(*keys).join(right.select(*keys), keys)
         inserts = left.join(both, keys, "left_semi").unionByName(right.join(both, keys, "left_semi"))
         kept = inserts.filter("mate = 'R1'")

@@ -7,6 +7,7 @@ one aggregation of it; windows run over distinct sequences.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,36 +17,42 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..plans.report import LibraryReport
-from .counting import round_key
+from .counting import round_key, top_rows
 
 #: Thresholds of the flags.
 LIMITS = {"nonstandard": 0.001, "truseq": 0.01, "tolerance": 1.1, "strand": 0.2, "primer": 0.4, "adapter": 0.05, "modes": 2}
 TRUSEQ = "AGATCGGAAGAGC"
 
 
-def ranked(counts: DataFrame) -> DataFrame:
-    """Positive counts with their rank in the round; equal counts by sequence."""
-    order = Window.partitionBy("round").orderBy(F.desc("reads"), F.asc("sequence"))
-    return counts.filter("reads > 0").select("round", "sequence", F.col("reads").cast("double").alias("reads")).withColumn("rank", F.row_number().over(order))
+def top_sequences(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most abundant sequences of each round with their rank; equal counts by sequence."""
+    rows = counts.filter("reads > 0").select("round", "sequence", F.col("reads").cast("double").alias("reads"))
+    return top_rows(rows, ["round"], [F.desc("reads"), F.asc("sequence")], F.xxhash64("sequence"), n)
 
 
 def basics(counts: DataFrame) -> DataFrame:
-    """Totals, entropy, coverage, singletons, alphabet and residue shares of each round."""
-    n = F.col("reads")
-    rows = ranked(counts).withColumn("total", F.sum("reads").over(Window.partitionBy("round")))
-    p = n / F.col("total")
+    """Totals, entropy, coverage, singletons, alphabet and residue shares of each round, by partial sums."""
+    n, total = F.col("reads"), F.col("n_reads")
+    rows = counts.filter("reads > 0").select("round", "sequence", n.cast("double").alias("reads"))
     bad = F.upper("sequence").rlike("[^ACGTUN]")
     per = rows.groupBy("round").agg(
-        F.first("total").alias("n_reads"),
+        F.sum(n).alias("n_reads"),
         F.count("*").alias("n_unique"),
-        (-F.sum(p * F.log2(p))).alias("shannon_entropy_bits"),
+        F.sum(n * F.log2(n)).alias("_logs"),
         F.avg((n == 1).cast("int")).alias("singleton_fraction"),
-        (F.sum(F.when(F.col("rank") <= 1, n).otherwise(0.0)) / F.sum(n)).alias("top_1_coverage"),
-        (F.sum(F.when(F.col("rank") <= 100, n).otherwise(0.0)) / F.sum(n)).alias("top_100_coverage"),
-        (F.sum(F.when(bad, n).otherwise(0.0)) / F.sum(n)).alias("nonstandard_alphabet_fraction"),
-        (F.sum(F.when(F.upper("sequence").contains(TRUSEQ), n).otherwise(0.0)) / F.sum(n)).alias("truseq_reads_fraction"),
+        F.max(n).alias("_top"),
+        F.sum(F.when(bad, n).otherwise(0.0)).alias("_bad"),
+        F.sum(F.when(F.upper("sequence").contains(TRUSEQ), n).otherwise(0.0)).alias("_truseq"),
+    )
+    best = top_sequences(counts, 100).groupBy("round").agg(F.sum("reads").alias("_best"))
+    return per.join(F.broadcast(best), "round").select(
+        "round",
+        "n_reads",
+        "n_unique",
+        F.greatest(F.log2(total) - F.col("_logs") / total, F.lit(0.0)).alias("shannon_entropy_bits"),
+        "singleton_fraction",
+        *[(F.col(c) / total).alias(name) for c, name in (("_top", "top_1_coverage"), ("_best", "top_100_coverage"), ("_bad", "nonstandard_alphabet_fraction"), ("_truseq", "truseq_reads_fraction"))],
     )
-    return per.withColumn("shannon_entropy_bits", F.greatest(F.col("shannon_entropy_bits"), F.lit(0.0)))
 
 
 def gc_content(counts: DataFrame) -> DataFrame:
@@ -65,14 +72,14 @@ def modal_length(counts: DataFrame) -> DataFrame:
 
 def top_kmer(counts: DataFrame, k: int = 6, most: int = 10_000) -> DataFrame:
     """Share of the most frequent k-mer among the k-mers of the most abundant sequences, weighted by reads."""
-    each = ranked(counts).filter(F.col("rank") <= most).select("round", "reads", F.explode(S.kmers(F.upper("sequence"), k)).alias("kmer"))
+    each = top_sequences(counts, most).select("round", "reads", F.explode(S.kmers(F.upper("sequence"), k)).alias("kmer"))
     per = each.groupBy("round", "kmer").agg(F.sum("reads").alias("n"))
     return per.groupBy("round").agg((F.max("n") / F.sum("n")).alias("top_kmer_fraction"))
 
 
 def kmer_sets(counts: DataFrame, k: int = 6, most: int = 10_000) -> DataFrame:
     """Distinct canonical k-mers of each round's most abundant sequences."""
-    each = ranked(counts).filter(F.col("rank") <= most).select("round", F.explode(S.kmers(S.normalised("sequence"), k)).alias("kmer"))
+    each = top_sequences(counts, most).select("round", F.explode(S.kmers(S.normalised("sequence"), k)).alias("kmer"))
     return each.select("round", S.canonical("kmer").alias("kmer")).distinct()
 
 
@@ -101,16 +108,39 @@ def nonmonotonic(similarity: DataFrame, rounds: list[str]) -> DataFrame:
     return near.join(far, "from_round").filter(F.col("consecutive_distance") > F.col("distant_distance") * LIMITS["tolerance"])
 
 
+#: Reads of one sequence that are drawn one by one; more are drawn as a binomial.
+ONE_BY_ONE = 256
+
+
 def rarefied(counts: DataFrame, depth: int, seed: int = 42) -> DataFrame:
     """A sample of ``depth`` reads of each round without replacement, as counts; shallower rounds stay whole.
 
-    Reads are drawn by the order of a seeded hash of (sequence, copy), so no task
-    holds a round and the same seed gives the same sample.
+    Every read is drawn with a chance a little above what is needed (nine standard
+    deviations), for a sequence of many reads by one binomial; of those, the first
+    ``depth`` in the order of a seeded hash stay. So no task holds a round's reads or
+    expands a hot sequence, and the same seed gives the same sample.
     """
-    copies = counts.filter("reads > 0").select("round", "sequence", F.explode(F.sequence(F.lit(1), F.col("reads").cast("bigint"))).alias("copy"))
-    lot = Window.partitionBy("round").orderBy(F.xxhash64(F.lit(int(seed)), "sequence", "copy"), "sequence", "copy")
-    kept = copies.withColumn("lot", F.row_number().over(lot)).filter(F.col("lot") <= int(depth))
-    return kept.groupBy("round", "sequence").agg(F.count("*").alias("reads"))
+    rows = counts.filter("reads > 0").select("round", "sequence", F.col("reads").cast("bigint").alias("reads"))
+    depth, seed = int(depth), int(seed)
+    wanted = depth + 9 * depth**0.5 + 30
+    totals = rows.groupBy("round").agg(F.sum("reads").alias("_total"))
+    rows = rows.join(F.broadcast(totals), "round").select("round", "sequence", "reads", F.least(F.lit(1.0), wanted / F.col("_total")).alias("_chance"))
+    lot = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("sequence"), k), F.lit(1 << 53)) / float(1 << 53)
+    whole = rows.filter("_chance = 1.0").select("round", "sequence", "reads")
+    partly = rows.filter("_chance < 1.0")
+    few = partly.filter(F.col("reads") <= ONE_BY_ONE)
+    few = few.select("round", "sequence", F.size(F.filter(F.sequence(F.lit(1).cast("bigint"), F.col("reads")), lambda k: lot(k) < F.col("_chance"))).cast("bigint").alias("reads"))
+    many = partly.filter(F.col("reads") > ONE_BY_ONE).withColumn("_seed", F.xxhash64(F.lit(seed), "round", "sequence"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            drawn = [np.random.default_rng(s & (1 << 63) - 1).binomial(n, p) for s, n, p in zip(pdf["_seed"], pdf["reads"], pdf["_chance"], strict=True)]
+            yield pdf[["round", "sequence"]].assign(reads=np.array(drawn, dtype=np.int64))
+
+    drawn = whole.unionByName(few).unionByName(many.mapInPandas(draw, rows.select("round", "sequence", "reads").schema)).filter("reads > 0")
+    copies = drawn.select("round", "sequence", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("reads"))).alias("copy"))
+    order = [F.xxhash64(F.lit(seed + 1), "sequence", "copy"), F.col("sequence"), F.col("copy")]
+    return top_rows(copies, ["round"], order, F.xxhash64("copy", "sequence"), depth, "lot").groupBy("round", "sequence").agg(F.count("*").alias("reads"))
 
 
 def hypergeometric(counts: np.ndarray, depth: int, seed: int = 42) -> np.ndarray:
@@ -228,6 +258,64 @@ def _report_flags(report: LibraryReport, rounds: list[str], input_reads: dict[st
             add("adapter_contamination_high", {"max_fraction": LIMITS["adapter"], "denominator": base, "adapters_above_threshold": over})
 
 
+PANELS = ("retention", "primer_match", "length", "diversity")
+
+
+def provenance(rates: DataFrame | None, rounds: list[str]) -> dict[str, tuple[float, float]] | None:
+    """Reads before and after extraction of every one of ``rounds``; None unless all of them have both."""
+    if rates is None:
+        return None
+    found = {r["round"]: (r["input_reads"], r["output_reads"]) for r in rates.select("round", "input_reads", "output_reads").collect()}
+    whole = all(r in found and None not in found[r] for r in rounds)
+    return {r: found[r] for r in rounds} if whole else None
+
+
+def layout(panels: int) -> tuple[int, int]:
+    """Rows and columns of a grid for so many panels: one row up to three, two beyond."""
+    rows = 1 if panels <= 3 else 2
+    return rows, max(1, -(-panels // rows))
+
+
+@dataclass
+class Panel:
+    """Data of one plot; without data, ``message`` says what is missing."""
+
+    name: str
+    data: DataFrame | None
+    message: str | None = None
+
+    @property
+    def available(self) -> bool:
+        return self.data is not None
+
+
+def panels(found: Quality, counts: DataFrame | None = None, rates: DataFrame | None = None, report: LibraryReport | None = None, which: tuple[str, ...] = PANELS) -> tuple[list[Panel], tuple[int, int]]:
+    """The wanted plots' data and their grid; diversity is three panels of one table.
+
+    Without the reads before extraction, retention shows counted reads and says
+    so, and the primers' yield is unavailable; without counts, lengths are.
+    """
+    if not which or set(which) - set(PANELS):
+        raise ValueError(f"`which` must name some of {', '.join(PANELS)}.")
+    rounds = [r["round"] for r in found.per_round.select("round").collect()]
+    if not rounds:
+        raise ValueError("There is no round to plot.")
+    known = provenance(rates, rounds)
+
+    def panel(name: str) -> Panel:
+        if name == "retention":
+            if known:
+                return Panel(name, retention(rates))
+            return Panel(name, found.per_round.select("round", F.col("n_reads").alias("output_reads")), "Reads before extraction are not known.")
+        if name == "primer_match":
+            return Panel(name, primer_match(rates, report)) if known else Panel(name, None, "Yields need the reads before extraction.")
+        if name == "length":
+            return Panel(name, length_distribution(counts)) if counts is not None else Panel(name, None, "Lengths need the counts.")
+        return Panel(name, diversity(found.per_round))
+
+    return [panel(name) for name in which], layout(len(which) + 2 * which.count("diversity"))
+
+
 def retention(rates: DataFrame) -> DataFrame:
     """Plot data: reads before and after extraction."""
     return rates.select("round", "input_reads", "output_reads")

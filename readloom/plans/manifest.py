@@ -10,6 +10,7 @@ from .. import __version__
 from ..sources.fastq import hash_paths
 from .report import LibraryReport, report_from, to_json, write_text
 
+#: Names and order of the fields.
 VERSION = "readloom_manifest_v2"
 _COMMON = "accession bioproject_id runs input_sha256 output_sha256 library_report extraction_mode read_source required_action full_insert_recovered parameters runtime_seconds_per_stage flags sampling_seed".split()
 MAPS = ("input_sha256", "output_sha256", "parameters", "runtime_seconds_per_stage")

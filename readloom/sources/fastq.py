@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import os
 import re
 from collections.abc import Iterator
@@ -11,64 +12,126 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file_index int, read_index bigint, sequence string"
-_ARROW = pa.schema([("file_index", pa.int32()), ("read_index", pa.int64()), ("sequence", pa.string())])
+SCHEMA = "file_index int, split int, read_index bigint, sequence string"
+_ARROW = pa.schema([("file_index", pa.int32()), ("split", pa.int32()), ("read_index", pa.int64()), ("sequence", pa.string())])
 FILES = "file_index int, path string, round_number int, mate string, run_accession string"
+#: Bytes of one split of a plain text file.
+SPLIT_BYTES = 128 << 20
+
+
+def store_of(path: str):
+    """(file system, path in it) of an address such as s3://, gs://, hdfs:// or file://; None for a local path."""
+    if not re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://", path):
+        return None
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path)
+
+
+def opened(path: str) -> io.BufferedReader:
+    """A file's bytes, from a local disk or from a store that all workers reach; can seek."""
+    store = store_of(path)
+    return open(path, "rb") if store is None else io.BufferedReader(store[0].open_input_file(store[1]), 1 << 20)
+
+
+def size_of(path: str) -> int | None:
+    """Bytes of a file, None if there is none."""
+    store = store_of(path)
+    if store is None:
+        return os.path.getsize(path) if os.path.isfile(path) else None
+    info = store[0].get_file_info(store[1])
+    return info.size if info.is_file else None
+
+
+def zipped(path: str) -> bool:
+    """Gzip is told by its first bytes."""
+    with opened(path) as f:
+        return f.read(2) == b"\x1f\x8b"
 
 
 class Part(InputPartition):
-    def __init__(self, index: int, path: str):
-        self.index, self.path = index, path
+    def __init__(self, index: int, path: str, split: int, begin: int, end: int | None):
+        self.index, self.path, self.split, self.begin, self.end = index, path, split, begin, end
 
 
 class FastqReader(DataSourceReader):
-    """One partition for each file: a gzip stream cannot be split."""
+    """One partition for each gzip file, which cannot be split, and for each split of a plain one.
+
+    ``read_index`` counts the records of a split. A cap on reads needs their order, so it keeps files whole.
+    """
 
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split("\n") if p]
         most = options.get("maxreads")
         self.most = int(most) if most not in (None, "", "None") else None
+        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
 
     def partitions(self) -> list[Part]:
-        return [Part(k, p) for k, p in enumerate(self.paths)]
+        out = []
+        for k, p in enumerate(self.paths):
+            size = size_of(p) or 0
+            if self.most is not None or size <= self.split_bytes or zipped(p):
+                out.append(Part(k, p, 0, 0, None))
+            else:
+                out += [Part(k, p, n, at, min(size, at + self.split_bytes)) for n, at in enumerate(range(0, size, self.split_bytes))]
+        return out
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         found: list[str] = []
         at = 0
-        for sequence in records(partition.path, self.most):
+        for sequence in records(partition.path, self.most, partition.begin, partition.end):
             found.append(sequence)
             if len(found) == 8192:
-                yield batch(partition.index, at, found)
+                yield batch(partition, at, found)
                 at += len(found)
                 found = []
         if found:
-            yield batch(partition.index, at, found)
-
-
-def batch(index: int, at: int, found: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([index] * len(found), pa.int32()), pa.array(range(at, at + len(found)), pa.int64()), pa.array(found, pa.string())], schema=_ARROW)
-
-
-def records(path: str, most: int | None = None) -> Iterator[str]:
-    """Sequences of a four-line FASTQ file, in order; gzip is told by its first bytes."""
-    with open(path, "rb") as raw:
-        zipped = raw.read(2) == b"\x1f\x8b"
-    n = 0
-    with gzip.open(path, "rt", encoding="latin-1") if zipped else open(path, encoding="latin-1") as f:
-        while most is None or n < most:
-            name = f.readline()
-            if not name.strip():
-                if name:
+            yield batch(partition, at, found)
+
+
+def batch(part: Part, at: int, found: list[str]) -> pa.RecordBatch:
+    n = len(found)
+    return pa.RecordBatch.from_arrays([pa.array([part.index] * n, pa.int32()), pa.array([part.split] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), pa.array(found, pa.string())], schema=_ARROW)
+
+
+def first_record(f: io.BufferedReader, begin: int) -> int:
+    """Where the first record from ``begin`` on starts: a line of @ whose next but one is of +, as no sequence line is."""
+    f.seek(max(0, begin - 1))
+    if begin:
+        f.readline()
+    lines = [(f.tell(), f.readline()) for _ in range(3)]
+    while lines[0][1]:
+        if lines[0][1][:1] == b"@" and lines[2][1][:1] == b"+":
+            return lines[0][0]
+        at = lines[2][0] + len(lines[2][1])
+        lines = [*lines[1:], (at, f.readline())]
+    return lines[0][0]
+
+
+def records(path: str, most: int | None = None, begin: int = 0, end: int | None = None) -> Iterator[str]:
+    """Sequences of the four-line records that start in the given bytes, in order."""
+    n, packed = 0, zipped(path)
+    with opened(path) as raw:
+        at = first_record(raw, begin) if begin else 0
+        raw.seek(at)
+        f = gzip.open(raw, "rb") if packed else raw
+        while (most is None or n < most) and (end is None or at < end):
+            lines = [f.readline()]
+            if not lines[0].strip():
+                if lines[0]:
+                    at += len(lines[0])
                     continue
                 return
-            sequence, plus, quality = f.readline(), f.readline(), f.readline()
-            if name[0] != "@" or plus[:1] != "+" or len(quality.rstrip("\r\n")) != len(sequence.rstrip("\r\n")):
+            lines += [f.readline() for _ in range(3)]
+            at += sum(map(len, lines))
+            name, sequence, plus, quality = (x.rstrip(b"\r\n") for x in lines)
+            if name[:1] != b"@" or plus[:1] != b"+" or len(quality) != len(sequence):
                 raise ValueError(f"Malformed FASTQ record {n + 1} in {path}.")
-            yield sequence.rstrip("\r\n")
+            yield sequence.decode("latin-1")
             n += 1
 
 
@@ -84,17 +147,27 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str], max_reads: int | None = None) -> DataFrame:
-    """file_index, read_index and sequence of the files' records; ``max_reads`` is a cap for each file."""
+def read_fastq(spark: SparkSession, paths: str | list[str], max_reads: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """file_index, read_index and sequence of the files' records; ``max_reads`` is a cap for each file.
+
+    Paths are local, or addresses of a store that all workers reach. Large plain
+    files are read in splits, whose records are counted first.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    for p in paths:
-        if not os.path.isfile(p):
-            raise FileNotFoundError(f"FASTQ file not found: {p}")
+    sizes = [size_of(p) for p in paths]
+    for p, n in zip(paths, sizes, strict=True):
+        if n is None:
+            raise FileNotFoundError(f"No FASTQ file at {p}")
     if max_reads is not None and (not isinstance(max_reads, int) or max_reads < 1):
         raise ValueError("`max_reads` must be one positive integer.")
     spark.dataSource.register(FastqSource)
-    options = {"paths": "\n".join(paths)} | ({} if max_reads is None else {"maxreads": str(max_reads)})
-    return spark.read.format("fastq").options(**options).load()
+    options = {"paths": "\n".join(paths), "splitbytes": str(split_bytes)} | ({} if max_reads is None else {"maxreads": str(max_reads)})
+    found = spark.read.format("fastq").options(**options).load()
+    if max_reads is not None or all(n <= split_bytes or zipped(p) for p, n in zip(paths, sizes, strict=True)):
+        return found.drop("split")
+    before = Window.partitionBy("file_index").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = found.groupBy("file_index", "split").agg(F.count("*").alias("n")).select("file_index", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return found.join(F.broadcast(starts), ["file_index", "split"]).select("file_index", (F.col("start") + F.col("read_index")).alias("read_index"), "sequence")
 
 
 def mate_of(path: str) -> str | None:
@@ -150,9 +223,9 @@ def read_inputs(spark: SparkSession, files: list[dict] | dict[str, str] | list[s
         n = r.get("round_number")
         if isinstance(n, bool) or not isinstance(n, int) or n < 0:
             raise ValueError("`round` must give a non-negative integer for every file.")
-        if not os.path.isfile(r.get("path") or ""):
-            raise FileNotFoundError(f"FASTQ file not found: {r.get('path')}")
-    paths = [os.path.realpath(r["path"]) for r in rows]
+        if not r.get("path") or size_of(r["path"]) is None:
+            raise FileNotFoundError(f"No FASTQ file at {r.get('path')}")
+    paths = [r["path"] if store_of(r["path"]) else os.path.realpath(r["path"]) for r in rows]
     if len(set(paths)) < len(paths):
         raise ValueError("FASTQ paths must be unique.")
     mates = checked_mates([r.get("mate") for r in rows], paths)
@@ -179,8 +252,6 @@ def read_inputs(spark: SparkSession, files: list[dict] | dict[str, str] | list[s
 def with_pairs(reads: DataFrame) -> DataFrame:
     """``pair_index``: the place of a read among its round's reads of one mate, in the order of files."""
     sizes = reads.groupBy("round", "mate", "file_index").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("round", "mate").orderBy("file_index").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("round", "mate", "file_index", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return reads.join(F.broadcast(starts), ["round", "mate", "file_index"]).withColumn("pair_index", F.col("start") + F.col("read_index")).drop("start")
@@ -194,11 +265,13 @@ def hashes(files: DataFrame) -> DataFrame:
             rows = []
             for index, path in zip(pdf["file_index"], pdf["path"], strict=True):
                 md5, sha = hashlib.md5(usedforsecurity=False), hashlib.sha256()
-                with open(path, "rb") as f:
+                size = 0
+                with opened(path) as f:
                     while block := f.read(1 << 20):
                         md5.update(block)
                         sha.update(block)
-                rows.append((index, os.path.getsize(path), md5.hexdigest(), sha.hexdigest()))
+                        size += len(block)
+                rows.append((index, size, md5.hexdigest(), sha.hexdigest()))
             yield pd.DataFrame(rows, columns=["file_index", "file_size", "md5", "sha256"])
 
     return files.select("file_index", "path").mapInPandas(run, "file_index int, file_size bigint, md5 string, sha256 string")

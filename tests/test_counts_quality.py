@@ -64,6 +64,50 @@ def test_rarefaction(spark):
     assert quality.rarefied_unique(c.limit(0))[1] is None
 
 
+def test_hot_sequences_are_rarefied_without_being_expanded(spark):
+    c = counts_of(spark, {"round_00": {"HOT": 3_000_000_000, **{f"S{k}": 1 + k % 9 for k in range(500)}, "WARM": 1_000_000_000}})
+    got = {r.sequence: r.reads for r in quality.rarefied(c, 10_000, 3).collect()}
+    assert sum(got.values()) == 10_000 and abs(got["HOT"] - 7500) < 300
+    even = counts_of(spark, {"round_00": {f"S{k}": 200 + 200 * (k % 2) for k in range(200)}})
+    drawn = [r.reads for r in quality.rarefied(even, 30_000, 5).collect()]
+    assert sum(drawn) == 30_000 and max(drawn) <= 400
+    many = sum(r.reads for r in quality.rarefied(even, 30_000, 5).collect() if int(r.sequence[1:]) % 2)
+    assert abs(many - 20_000) < 400
+
+
+def test_ranks_over_many_ranges(spark):
+    rows = [("a", f"s{k:05d}", 1 + k % 3) for k in range(6000)] + [("b", "x" * 70 + str(k), 1) for k in range(300)] + [(None, "n", 2), ("c", "", 5)]
+    got = counting.with_ranks(spark.createDataFrame(rows, "round string, sequence string, reads long")).collect()
+    want, totals = {}, {}
+    for name in ("a", "b", None, "c"):
+        own = sorted((-n, s) for r, s, n in rows if r == name)
+        totals[name] = -sum(n for n, _ in own)
+        want |= {(name, s): k + 1 for k, (_, s) in enumerate(own)}
+    assert {(r["round"], r.sequence): r["rank"] for r in got} == want and len(got) == len(rows)
+    assert all(math.isclose(r.rpm, r.reads / totals[r["round"]] * 1e6) for r in got)
+
+
+def test_top_rows_in_two_steps(spark):
+    df = spark.range(20_000).selectExpr("id % 2 as g", "id * 7919 % 20011 as v", "id")
+    got = counting.top_rows(df, ["g"], [df["v"].desc()], df["id"], 2500).collect()
+    for g in (0, 1):
+        best = sorted((k * 7919 % 20011 for k in range(g, 20_000, 2)), reverse=True)[:2500]
+        assert sorted((r["rank"], r.v) for r in got if r.g == g) == list(enumerate(best, 1))
+
+
+def test_panels(spark):
+    c = counts_of(spark, {"round_00": {"AAAA": 3, "CC": 1}, "round_01": {"CC": 2}})
+    found = quality.qc(c, low_total_reads=0)
+    bare, grid = quality.panels(found)
+    assert grid == (2, 3) and [(p.name, p.available, p.message is None) for p in bare] == [("retention", True, False), ("primer_match", False, False), ("length", False, False), ("diversity", True, True)]
+    rates = spark.createDataFrame([("round_00", 8, 4, 0.5), ("round_01", 4, 2, 0.5)], "round string, input_reads long, output_reads long, fraction_kept double")
+    full, _ = quality.panels(found, c, rates)
+    assert all(p.available and p.message is None for p in full) and quality.provenance(rates, ["round_00", "round_07"]) is None
+    assert [quality.layout(n) for n in (1, 2, 3, 4, 5, 6)] == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (2, 3)]
+    with pytest.raises(ValueError, match="which"):
+        quality.panels(found, which=("other",))
+
+
 def test_similarity_and_flags(spark):
     c = counts_of(spark, {"round_00": {"AAAAAAAA": 5}, "round_01": {"CCCCCCCCA": 5}, "round_02": {"AAAAAAAA": 4, "AAAAAAAC": 1}})
     sim = {(r.from_round, r.to_round): r.jaccard_distance for r in quality.round_similarity(c, ["round_00", "round_01", "round_02"]).collect()}

@@ -7,6 +7,7 @@ from readloom.operators.demultiplex import checked_barcodes, demultiplex
 from readloom.operators.extraction import best_matches, cut_reads, extract, low_yields
 from readloom.plans.pipeline import reads_from
 from readloom.plans.report import LibraryReport
+from readloom.sources.fastq import with_pairs
 
 P5, P3 = "GGTAATACGACTCACTATAGGG", "CCATGCATGCATGCATGCAT"
 
@@ -51,21 +52,36 @@ def test_alphabet_case_sides_and_strand(spark):
     assert found == ["AA"] and tuple(got.strands.first())[1:] == (1, 1, 0)
 
 
+def two_files(spark, streams):
+    """Reads of one round from two pairs of files."""
+    rows, file_index = [], 0
+    for mate, files in streams.items():
+        for reads in files:
+            rows += [("round_00", mate, file_index, k, s) for k, s in enumerate(reads)]
+            file_index += 1
+    return spark.createDataFrame(rows, "round string, mate string, file_index int, read_index bigint, sequence string")
+
+
 def test_pairs_need_both_primers(spark):
     r1 = [P5 + "AAA", P5 + "CCC", "TTT"]
     r2 = [rc(P3) + "GGG", "GGG", rc(P3) + "TTT"]
     rep = report("PAIRED_END_SPLIT_PRIMERS")
     assert inserts(spark, {"round_00": r1}, rep, {"round_00": r2})[0] == ["AAA"]
     assert inserts(spark, {"round_00": r1}, rep, {"round_00": r2}, mate="R2")[0] == ["GGG"]
-    with pytest.raises(ValueError, match="different read counts"):
+    two = with_pairs(two_files(spark, {"R1": [r1, r1[::-1]], "R2": [r2, r2[::-1]]}))
+    kept = extract(two, rep).inserts
+    assert sorted((r.file_index, r.mate, r.sequence) for r in kept.collect()) == [(0, "R1", "AAA"), (1, "R1", "AAA"), (2, "R2", "GGG"), (3, "R2", "GGG")]
+    with pytest.raises(ValueError, match="pair_index"):
+        extract(two.drop("pair_index"), rep)
+    with pytest.raises(ValueError, match="Mates differ"):
         extract(reads_from(spark, {"round_00": r1}, {"round_00": r2[:2]}), rep)
-    with pytest.raises(ValueError, match="requires paired"):
+    with pytest.raises(ValueError, match="first mates only"):
         extract(reads_from(spark, {"round_00": r1}), rep)
 
 
 def test_refusal_and_overrides(spark):
     reads = reads_from(spark, {"round_00": [P5 + "ACGT" + P3]})
-    with pytest.raises(ValueError, match="does not permit"):
+    with pytest.raises(ValueError, match="Nothing can be extracted"):
         extract(reads, LibraryReport())
     assert [r.sequence for r in extract(reads, LibraryReport(), primer_5p=P5, primer_3p=P3).inserts.collect()] == ["ACGT"]
 
@@ -77,7 +93,7 @@ def test_low_yields(spark):
     with warnings.catch_warnings(record=True) as said:
         warnings.simplefilter("always")
         got.warn()
-    assert any("1 round(s) kept under half" in str(w.message) for w in said)
+    assert any("1 round(s) lost most reads" in str(w.message) for w in said)
 
 
 def slow_best(read, primer):
@@ -121,6 +137,16 @@ def test_demultiplex(spark):
     paired = demultiplex(reads_from(spark, {"p": ["AAAAACCCCC", "TTTTTGGGGG", "CCCCCAAAAA"]}, {"p": ["R2_A", "R2_B", "R2_C"]}), {"AAAAA": 0, "UUUUU": 1})
     assert [(r.round, r.sequence) for r in paired.reads.filter("mate = 'R2'").orderBy("round").collect()] == [("round_00", "R2_A"), ("round_01", "R2_B")]
     assert [r.sequence for r in paired.unassigned.filter("mate = 'R2'").collect()] == ["R2_C"]
+    streams = {"R1": [["AAAAAC", "TTTTTC", "GGGGGC"], ["TTTTTG", "GGGGGG", "AAAAAG"]], "R2": [["m0", "m1", "m2"], ["m3", "m4", "m5"]]}
+    got = demultiplex(with_pairs(two_files(spark, streams)), {"AAAAA": 0, "TTTTT": 1})
+    assert sorted((r.round, r.mate, r.sequence) for r in got.reads.collect()) == [(f"round_0{k}", m, s) for k, m, s in ((0, "R1", "C"), (0, "R1", "G"), (0, "R2", "m0"), (0, "R2", "m5"), (1, "R1", "C"), (1, "R1", "G"), (1, "R2", "m1"), (1, "R2", "m3"))]
+    assert sorted(r.sequence for r in got.unassigned.filter("mate = 'R2'").collect()) == ["m2", "m4"]
+    with pytest.raises(ValueError, match="Mates differ"):
+        demultiplex(with_pairs(two_files(spark, {"R1": [["AAAAAC"]], "R2": [["m", "n"]]})), {"AAAAA": 0})
+    with pytest.raises(ValueError, match="pair_index"):
+        demultiplex(two_files(spark, streams), {"AAAAA": 0, "TTTTT": 1})
+    far = demultiplex(reads_from(spark, {"p": ["AAAACCG", "AAAAAAG", "CCCCGGG", "AACCAA"]}), {"AAAAAA": 0, "CCCCCC": 1}, max_mismatches=2)
+    assert [(r.round, r.sequence) for r in far.reads.orderBy("read_index").collect()] == [("round_00", "G"), ("round_00", "G"), ("round_01", "G"), ("round_00", "")]
     for bad in ({"AAAAA": 0, "AAAAT": 1}, {}, {"AAAA": 0, "CCCCC": 1}, {"AANAA": 0}, {"AAAAA": -1}):
         with pytest.raises(ValueError):
             checked_barcodes(bad)

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from readloom.operators.catalog import search
+from readloom.operators.catalog import load, search
 from readloom.operators.rounds import infer_rounds, key_confidence, rounds_with_several_samples
 from readloom.plans import manifest as manifests
 from readloom.plans.pipeline import reads_from, run, run_files
@@ -113,12 +113,20 @@ def test_archive(spark, tmp_path):
         archive.fetch(found, str(tmp_path), dry_run=False, overwrite=True, transport=lambda url, t: (200, b"other"))
     with pytest.raises(RuntimeError, match="HTTP status 500"):
         archive.report_text("X", transport=lambda url, t: (500, b""))
-    with pytest.raises(RuntimeError, match="4 attempts"):
+    with pytest.raises(RuntimeError, match="busy 4 times"):
         archive.report_text("X", transport=lambda url, t: (200, b"ERROR occurred"), sleep=waits.append)
+    bodies = {"RUN1": b"hello", "RUN2": b"hello"}
+    for name, body in bodies.items():
+        (tmp_path / f"{name}_far.gz").write_bytes(body)
+    local = lambda url, timeout, path: archive.save(f"file://{tmp_path}/{url.split('/')[-1][:4]}_far.gz", timeout, path)
+    assert len(archive.fetch(found, str(tmp_path / "streamed"), dry_run=False, download=local).downloaded) == 2
+    with pytest.raises(RuntimeError, match="HTTP status 404"):
+        archive.fetch(found, str(tmp_path / "none"), dry_run=False, transport=lambda url, t: (404, b""))
+    assert list((tmp_path / "none").iterdir()) == []
     unsafe = archive.parse_report(spark, REPORT.replace("sel R1", "none"), "PRJ1")
-    with pytest.raises(ValueError, match="Refusing download"):
+    with pytest.raises(ValueError, match="Nothing was downloaded"):
         archive.fetch(unsafe, str(tmp_path))
-    with pytest.warns(UserWarning, match="could not be fetched"):
+    with pytest.warns(UserWarning, match="no sample attributes"):
         archive.enriched(archive.parse_report(spark, REPORT, "PRJ1"), transport=lambda url, t: (500, b""))
 
 
@@ -129,6 +137,34 @@ def test_several_samples_and_catalog(spark):
     assert [r.bioproject_id for r in search(table, "0%_M").collect()] == ["P1"] and search(table).count() == 2 and search(table, "THROMB").count() == 1
 
 
+def test_catalog_files(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('bioproject_id,study_title,target\nP1,"a, ""b""",FGF-9\nP2,x,\n')
+    table = load(spark, str(tmp_path / "c.csv"))
+    assert [r.study_title for r in search(table, "fgf-9").collect()] == ['a, "b"'] and load(spark, str(tmp_path / "c.csv")) is table
+    table.write.parquet(str(tmp_path / "c.parquet"))
+    assert search(load(spark, str(tmp_path / "c.parquet"))).count() == 2
+    (tmp_path / "d.tsv").write_text("bioproject_id\ttarget\nP1\tx\n")
+    with pytest.raises(ValueError, match="study_title"):
+        load(spark, str(tmp_path / "d.tsv"))
+    with pytest.raises(ValueError, match="query"):
+        search(table, "")
+
+
+def test_fastq_splits_and_stores(spark, tmp_path):
+    reads = ["ACGT" * (1 + k % 5) for k in range(400)]
+    plain, packed = fastq(tmp_path / "a.fastq", reads), fastq(tmp_path / "b.fastq.gz", reads[:50])
+    want = sorted([(0, k, s) for k, s in enumerate(reads)] + [(1, k, s) for k, s in enumerate(reads[:50])])
+    for size in (1 << 20, 1000, 333):
+        got = read_fastq(spark, [f"file://{plain}", packed], split_bytes=size)
+        assert sorted(map(tuple, got.select("file_index", "read_index", "sequence").collect())) == want
+    assert read_fastq(spark, plain, split_bytes=333).rdd.getNumPartitions() > 1
+    assert read_fastq(spark, f"file://{plain}", max_reads=7, split_bytes=100).count() == 7
+    got = read_inputs(spark, {"r1": f"file://{plain}"}).files.first()
+    assert (got.reads_loaded, got.sha256) == (400, hashlib.sha256(open(plain, "rb").read()).hexdigest())
+    with pytest.raises(FileNotFoundError):
+        read_fastq(spark, "file:///nowhere.fastq")
+
+
 def test_streaming_counts(spark, tmp_path):
     from readloom.streaming.counts import running_counts, start
 
