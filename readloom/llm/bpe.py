@@ -119,6 +119,9 @@ def compile_automaton(tokenizer_json: str) -> Automaton:
     with open(tokenizer_json, encoding="utf-8") as f:
         spec = json.load(f)
     vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
+    for x in spec.get("added_tokens", ()):
+        if any(x.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"The added token {x['content']!r} takes in what stands beside it, which is not supported.")
     added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
     size = max([*vocab.values(), *added.values()]) + 1
     labels = [b""] * size

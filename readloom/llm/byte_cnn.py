@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import spread
+from .shared import numbered, quoted, spread
 from .textkit import chunks
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 16, 8, 256
@@ -170,14 +171,14 @@ def identify(df: DataFrame, net: Network, text_col: str = "text", keep: list[str
     """``df`` (or its columns ``keep``) with ``lang_pred`` and ``score`` (its mean probability) of every whole text.
 
     A null text, or one without a letter, gets ``und`` and 0.0. Columns of these
-    two names that ``df`` has are replaced; repeated rows get the same answer.
+    two names that ``df`` has are replaced, all others pass through whatever their
+    names; repeated rows get the same answer, an empty table an empty one.
     """
     shared = df.sparkSession.sparkContext.broadcast(net)
     names = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    asked = df.withColumn("_text", df[text_col].cast("string"))
-    asked = asked.withColumn("_letter", F.coalesce(F.col("_text").rlike(r"\p{L}"), F.lit(False)))
-    kept = asked.select(*names)
-    asked = asked.select(*names, "_letter", "_text")
+    text = F.col(quoted(text_col)).cast("string")
+    kept = df.select(*map(quoted, names))
+    asked = df.select(*numbered(names), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -191,5 +192,4 @@ def identify(df: DataFrame, net: Network, text_col: str = "text", keep: list[str
             lang = pa.array([model.classes[b] if k else UNDETERMINED for b, k in zip(best, ok, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], lang, pa.array(np.where(ok, np.clip(score, 0, 1), 0.0))], [*names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return spread(asked).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return spread(asked).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import spread
+from .shared import numbered, quoted, spread
 from .textkit import chunks, mix, runs
 
 BUCKETS = 1 << 18
@@ -160,13 +161,13 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", threshold: flo
     """``df`` (or its columns ``keep``) with ``score`` and ``predicted`` of every whole text.
 
     Null and empty texts have no features and get the score of the bias. Columns
-    of these two names that ``df`` has are replaced. Repeated rows score alike.
+    of these two names that ``df`` has are replaced, all others pass through
+    whatever their names. Repeated rows score alike, an empty table gives none.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    asked = df.withColumn("_text", df[text_col].cast("string"))
     names = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted")]
-    kept = asked.select(*names)
-    asked = asked.select(*names, "_text")
+    kept = df.select(*map(quoted, names))
+    asked = df.select(*numbered(names), F.col(quoted(text_col)).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,5 +176,4 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", threshold: flo
                 score[first:last] = shared.value.scores(*features(raw, offsets), last - first)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return spread(asked).mapInArrow(run, f"{fields}, score double, predicted int")
+    return spread(asked).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

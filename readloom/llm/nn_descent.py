@@ -32,6 +32,8 @@ NEIGHBOURS, FIRST = 32, 8
 CHANGED = 0.01
 #: Members that one comparison around a pivot holds at most; the members of a larger pivot are dealt anew in every round.
 GROUP = 256
+#: Most nodes of a bucket that tell one node in a round that they list it, or push their vectors for it; others do so in later rounds.
+TOLD = 16
 #: Buckets whose nodes the first lists of a bucket draw on; every bucket draws on others.
 DRAWN = 32
 #: Search: best nodes held, expanded in one step, steps, and links of a node followed.
@@ -104,31 +106,52 @@ def _cat(messages: list[dict], name: str, dtype) -> np.ndarray:
     return np.concatenate([m[name] for m in messages] or [np.zeros(0, dtype)])
 
 
-def _reverse(ids, owner, other, fresh, buckets) -> list:
-    return [_row(b, LISTED, by=ids[owner[p]], whom=other[p], fresh=fresh[p]) for b, p in _cut(other, buckets)]
+def _turn(owner: np.ndarray, other: np.ndarray, fresh: np.ndarray, seed: int) -> np.ndarray:
+    """Whether each link takes part in this round: all but those to hubs, of which each bucket sends TOLD, new ones first."""
+    lot = mix(owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + other.view(np.uint64) + np.uint64(seed))
+    order = np.lexsort((lot, ~fresh, other))
+    sent = np.zeros(len(other), bool)
+    sorted_ = other[order]
+    sent[order] = np.arange(len(order)) - np.searchsorted(sorted_, sorted_) < TOLD
+    return sent
+
+
+def _lists(bucket: int, ids, owner, other, score, fresh, buckets: int, seed: int) -> list:
+    """A bucket's lists with the links that take part in the next round, and these told to whom they name."""
+    sent = _turn(owner, other, fresh, seed)
+    told = [_row(b, LISTED, by=ids[owner[sent][p]], whom=other[sent][p], fresh=fresh[sent][p]) for b, p in _cut(other[sent], buckets)]
+    return [_row(bucket, LISTS, ids=ids, owner=owner, other=other, score=score, fresh=fresh, sent=sent), *told]
 
 
 def _push(buckets: int):
-    """Vectors go to the buckets of their neighbours in both directions."""
+    """Vectors go to the buckets of their neighbours in both directions.
+
+    A hub's listers come in shares, by their bucket, so that no bucket takes them all.
+    """
+    shares = max(1, TOLD * buckets // 4096)
 
     def work(bucket: int, got: list[tuple[int, dict]]) -> list:
         v, s, listed = _one(got, VECTORS), _one(got, LISTS), _all(got, LISTED)
         if v is None or s is None:
             return []
-        ids = v["ids"]
-        member = np.concatenate([s["owner"], _find(ids, _cat(listed, "whom", np.int64))])
-        pivot, new = np.concatenate([s["other"], _cat(listed, "by", np.int64)]), np.concatenate([s["fresh"], _cat(listed, "fresh", bool)])
+        ids, sent = v["ids"], s["sent"]
+        to, back, times = np.unique(s["other"][sent], return_inverse=True, return_counts=True)
+        share = mix(to.view(np.uint64) + np.uint64(1 + bucket % shares)).view(np.int64)
+        to = np.where((times >= TOLD) & (shares > 1), share, to)[back]
+        member = np.concatenate([s["owner"][sent], _find(ids, _cat(listed, "whom", np.int64))])
+        pivot, new = np.concatenate([to, _cat(listed, "by", np.int64)]), np.concatenate([s["fresh"][sent], _cat(listed, "fresh", bool)])
         ok = member >= 0
         member, pivot, new = member[ok], pivot[ok], new[ok]
         size = np.bincount(s["owner"], minlength=len(ids))
         worst = np.full(len(ids), np.inf, np.float32)
         np.minimum.at(worst, s["owner"], s["score"])
         least = np.where(size >= NEIGHBOURS, worst, -np.inf).astype(np.float32)
-        half = v["vectors"].astype(np.float16)
+        # half floats of vectors scaled to 1, and their scales beside the largest
+        half, scale = (v["vectors"] / v["peaks"][:, None]).astype(np.float16), (v["peaks"] / v["most"]).astype(np.float32)
         out = []
         for b, p in _cut(pivot, buckets):
             own, back = np.unique(member[p], return_inverse=True)
-            out.append(_row(b, PUSHED, ids=ids[own], vectors=half[own], least=least[own], pivot=pivot[p], member=back.astype(np.int32), fresh=new[p]))
+            out.append(_row(b, PUSHED, ids=ids[own], vectors=half[own], scale=scale[own], least=least[own], pivot=pivot[p], member=back.astype(np.int32), fresh=new[p]))
         return out
 
     return work
@@ -139,7 +162,7 @@ def _join(buckets: int, seed: int):
         pushed = _all(got, PUSHED)
         start = np.cumsum([0] + [len(m["ids"]) for m in pushed])
         ids = np.concatenate([m["ids"] for m in pushed])
-        vectors = np.concatenate([m["vectors"] for m in pushed]).astype(np.float32)
+        vectors = np.concatenate([m["vectors"] for m in pushed]).astype(np.float32) * np.concatenate([m["scale"] for m in pushed])[:, None]
         least = np.concatenate([m["least"] for m in pushed])
         pivot, fresh = (np.concatenate([m[x] for m in pushed]) for x in ("pivot", "fresh"))
         member = np.concatenate([m["member"] + a for m, a in zip(pushed, start, strict=False)])
@@ -187,8 +210,8 @@ def _join(buckets: int, seed: int):
     return work
 
 
-def _update(buckets: int):
-    """Lists take in proposals; who lists whom is told again."""
+def _update(buckets: int, seed: int):
+    """Lists take in proposals; who lists whom is told again. A link is new until it took part in a round."""
 
     def work(bucket: int, got: list[tuple[int, dict]]) -> list:
         s, proposed = _one(got, LISTS), _all(got, PROPOSED)
@@ -198,16 +221,17 @@ def _update(buckets: int):
         owner = np.concatenate([s["owner"], _find(s["ids"], a)])
         other = np.concatenate([s["other"], _cat(proposed, "b", np.int64)])
         score = np.concatenate([s["score"], _cat(proposed, "score", np.float32)])
-        fresh = np.concatenate([np.zeros(len(s["owner"]), bool), np.ones(len(a), bool)])
+        # 2: of this round, 1: of an earlier one that it has not taken part in yet
+        fresh = np.concatenate([(s["fresh"] & ~s["sent"]).astype(np.int8), np.full(len(a), 2, np.int8)])
         ok = owner >= 0
         owner, other, score, fresh = _top(owner[ok], other[ok], score[ok], fresh[ok], NEIGHBOURS)
-        return [_row(bucket, LISTS, ids=s["ids"], owner=owner, other=other, score=score, fresh=fresh), (bucket, NEW, b"%d %d" % (fresh.sum(), len(fresh))), *_reverse(s["ids"], owner, other, fresh, buckets)]
+        return [(bucket, NEW, b"%d %d" % ((fresh == 2).sum(), len(fresh))), *_lists(bucket, s["ids"], owner, other, score, fresh > 0, buckets, seed)]
 
     return work
 
 
-def _begin(nodes: DataFrame, buckets: int, dims: int) -> DataFrame:
-    """Buckets of vectors, and each bucket's ids offered to those that draw on it."""
+def _begin(nodes: DataFrame, buckets: int, dims: int, most: float) -> DataFrame:
+    """Buckets of vectors, and each bucket's ids offered to those that draw on it; ``most`` is the largest component of all."""
     steps = np.unique(np.concatenate([[0], np.random.default_rng(buckets).choice(buckets, min(buckets, DRAWN), replace=False)]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +241,7 @@ def _begin(nodes: DataFrame, buckets: int, dims: int) -> DataFrame:
         for k, v in enumerate(pdf["_v"]):
             vectors[k, : len(v) // 8] = np.frombuffer(v, np.float64)
         bucket = int(pdf["_bucket"].iloc[0])
-        rows = [_row(bucket, VECTORS, ids=ids, vectors=vectors, asks=pdf["_asks"].to_numpy(dtype=bool))]
+        rows = [_row(bucket, VECTORS, ids=ids, vectors=vectors, peaks=np.abs(vectors).max(axis=1), most=most, asks=pdf["_asks"].to_numpy(dtype=bool))]
         return pd.DataFrame([*rows, *(_row((bucket + s) % buckets, OFFERED, by=bucket, ids=ids) for s in steps)], columns=["bucket", "kind", "body"])
 
     return nodes.groupBy("_bucket").applyInPandas(run, _MESSAGE)
@@ -236,7 +260,7 @@ def _first(buckets: int):
         other = pool[np.random.default_rng(bucket).integers(0, len(pool), len(owner))]
         ok = other != ids[owner]
         owner, other, score, fresh = _top(owner[ok], other[ok], np.full(int(ok.sum()), -np.inf, np.float32), np.ones(int(ok.sum()), bool), NEIGHBOURS)
-        return [_row(bucket, LISTS, ids=ids, owner=owner, other=other, score=score, fresh=fresh), *_reverse(ids, owner, other, fresh, buckets)]
+        return _lists(bucket, ids, owner, other, score, fresh, buckets, 0)
 
     return work
 
@@ -298,7 +322,7 @@ def _score(buckets: int):
     return work
 
 
-def _gather(buckets: int):
+def _gather(buckets: int, expand: int):
     """Queries take in scores, keep their best, and ask the best unasked nodes for their links."""
 
     def work(bucket: int, got: list[tuple[int, dict]]) -> list:
@@ -315,7 +339,7 @@ def _gather(buckets: int):
         np.minimum.at(worst, owner, score)
         waiting = np.flatnonzero(~asked)
         nth = np.arange(len(waiting)) - np.searchsorted(owner[waiting], owner[waiting])
-        go = waiting[nth < EXPAND]
+        go = waiting[nth < expand]
         asked[go] = True
         b = b | {"least": np.where(size >= HELD, worst, -np.inf), "owner": owner, "node": node, "score": score, "asked": asked, "go_owner": owner[go], "go_node": node[go]}
         return [_row(bucket, BEAM, **b), *(_row(to, ASKED, node=np.unique(node[go[p]]), home=np.array([bucket])) for to, p in _cut(node[go], buckets))]
@@ -370,7 +394,7 @@ def _request(buckets: int):
     return work
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int | None = None, steps: int = STEPS) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int | None = None, steps: int = STEPS, expand: int = EXPAND) -> DataFrame:
     """The k nearest rows found for every query row, nearest first: query_id, rank, vec_id, score.
 
     Every row is in the graph. ``score`` is the inner product in double precision
@@ -379,6 +403,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     nor do rows with a null id. Rows with equal vectors share one graph node and
     are told apart again at the end, smaller ids first; a query never finds a row
     with its own id. Rounds run until few links change, or as many as ``rounds``.
+    Each of ``steps`` search steps asks ``expand`` nodes for their links. Only the two
+    named columns are read, so ``is_query`` can use the id column alone.
     """
     valid = df.select(df[id_col].cast("long").alias(id_col), df[vector_col].cast("array<double>").alias("_a")).filter(
         F.col(id_col).isNotNull() & F.col("_a").isNotNull() & (F.size("_a") > 0) & ~F.exists("_a", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("_a", lambda x: x != 0)
@@ -389,14 +415,15 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy() + 0.0
             at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), batch.column(2)], ["_id", "_v", "_asks"])
+            peaks = np.maximum.reduceat(np.abs(flat), at[:-1]) if len(flat) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), batch.column(2), pa.array(peaks)], ["_id", "_v", "_asks", "_peak"])
 
-    rows = staged(asking.select("_id", "_a", "_asks").mapInArrow(pack, "_id bigint, _v binary, _asks boolean"))
-    groups = staged(rows.groupBy("_v").agg(F.min("_id").alias("_node"), F.max("_asks").alias("_asks")))
+    rows = staged(asking.select("_id", "_a", "_asks").mapInArrow(pack, "_id bigint, _v binary, _asks boolean, _peak double"))
+    groups = staged(rows.groupBy("_v").agg(F.min("_id").alias("_node"), F.max("_asks").alias("_asks"), F.max("_peak").alias("_peak")))
     own = rows.join(groups.select("_v", "_node"), "_v").select("_id", "_asks", "_node").distinct()
     same = staged(own.withColumn("_nth", F.row_number().over(Window.partitionBy("_node").orderBy("_id"))).filter(F.col("_nth") <= k + 1))
     spark = df.sparkSession
-    sizes = groups.agg(F.count("*").alias("n"), F.max(F.length("_v")).alias("bytes")).first()
+    sizes = groups.agg(F.count("*").alias("n"), F.max(F.length("_v")).alias("bytes"), F.max("_peak").alias("peak")).first()
     dims, buckets = int(sizes["bytes"] or 8) // 8, max(1, -(-sizes["n"] // BUCKET_ROWS))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +431,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
             yield pa.RecordBatch.from_arrays([pa.array(_home(batch.column(0).to_numpy(), buckets)), *batch.columns], ["_bucket", "_node", "_v", "_asks"])
 
     placed = groups.select("_node", "_v", "_asks").mapInArrow(place, "_bucket bigint, _node bigint, _v binary, _asks boolean")
-    start = staged(_begin(placed, buckets, dims))
+    start = staged(_begin(placed, buckets, dims, float(sizes["peak"] or 1)))
     only = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
     fixed, lists = only(start, VECTORS), staged(_exchange(only(start, OFFERED), _first(buckets)))
 
@@ -420,7 +447,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     while moving if rounds is None else r < rounds:
         pushed = _exchange(fixed.unionByName(lists), _push(buckets))
         proposed = _exchange(pushed, _join(buckets, 101 + r))
-        lists = turn(_exchange(only(lists, LISTS).unionByName(proposed), _update(buckets)), lists)
+        lists = turn(_exchange(only(lists, LISTS).unionByName(proposed), _update(buckets, 1 + r)), lists)
         part = F.split(F.col("body").cast("string"), " ")
         told = only(lists, NEW).agg(F.sum(part[0].cast("bigint")).alias("new"), F.sum(part[1].cast("bigint")).alias("all")).first()
         r, moving = r + 1, (told["new"] or 0) > CHANGED * (told["all"] or 0)
@@ -429,7 +456,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     links, beams = only(begun, LINKS), begun
     for step in range(steps + 1):
         scored = _exchange(fixed.unionByName(only(beams, NAMED)), _score(buckets))
-        got = turn(_exchange(only(beams, BEAM).unionByName(scored), _gather(buckets)), *([beams] if step else []))
+        got = turn(_exchange(only(beams, BEAM).unionByName(scored), _gather(buckets, expand)), *([beams] if step else []))
         beams = got
         if step < steps:
             linked = _exchange(links.unionByName(only(got, ASKED)), _answer(buckets))

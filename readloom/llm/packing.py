@@ -1,8 +1,8 @@
 """Optimal length buckets and token-budget batches.
 
-Dynamic programming over the global length histogram chooses the bucket widths
-that minimise padding; inside each bucket, rows are numbered without a sort of
-the whole bucket (hashed shards, then offsets from the shards' counts) and cut
+Dynamic programming over the global histogram of token counts chooses the bucket
+widths that minimise padding; inside each bucket, rows are numbered without a sort
+of the whole bucket (hashed shards, then offsets from the shards' counts) and cut
 into batches of as many rows as the token budget allows at that width.
 """
 
@@ -13,36 +13,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import staged
+from .wordpiece import Counter, count_tokens
 
-#: Lengths up to this are exact histogram classes; longer ones share a class within a 2048th, so the histogram stays small.
-EXACT = 4096
 #: Rows of one numbering shard.
 SHARD_ROWS = 50_000
 
 
-def length_class(length: Column) -> Column:
-    """The class of a length: itself, or rounded up to 12 significant bits."""
-    step = F.shiftright(F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))).cast("bigint"), 11)
-    step = F.greatest(step, F.lit(1))
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step) * step).cast("bigint")
+def _layer(best: np.ndarray, lengths: np.ndarray, count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One more bucket: least padding of the first j lengths, and where the last bucket begins.
+
+    A longer prefix never begins its last bucket earlier, so each half of the
+    prefixes searches one side of its middle's choice: m log m costs, level by level.
+    """
+    m = len(lengths)
+    new, choice = np.full(m + 1, _FAR), np.zeros(m + 1, dtype=np.int64)
+    new[0] = 0
+    low, high, left, right = (np.array([x]) for x in (1, m, 0, m - 1))
+    while len(low):
+        middle = (low + high) // 2
+        size = np.minimum(right, middle - 1) - left + 1
+        begin = np.cumsum(size) - size
+        at = np.arange(size.sum()) - np.repeat(begin - left, size)
+        j = np.repeat(middle, size)
+        cost = best[at] + lengths[j - 1] * (count[j] - count[at]) - (total[j] - total[at])
+        least = np.minimum.reduceat(cost, begin)
+        first = np.minimum.reduceat(np.where(cost == np.repeat(least, size), at, m), begin)
+        new[middle], choice[middle] = least, first
+        low, high, left, right = np.concatenate([low, middle + 1]), np.concatenate([middle - 1, high]), np.concatenate([left, first]), np.concatenate([first, right])
+        on = low <= high
+        low, high, left, right = low[on], high[on], left[on], right[on]
+    return new, choice
+
+
+_FAR = np.int64(1 << 60)
 
 
-def optimal_widths(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
-    """Bucket widths that minimise padding: ``lengths`` ascending classes, ``sums`` their total length."""
+def optimal_widths(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+    """Widths of at most ``buckets`` buckets that minimise padding, for ascending distinct ``lengths``; each is a length that occurs."""
+    lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     m = len(lengths)
     if not m:
         return []
-    count, total = np.concatenate([[0], np.cumsum(counts)]).astype(float), np.concatenate([[0], np.cumsum(sums)]).astype(float)
-    best, choice = np.full(m + 1, np.inf), []
+    count, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    best, choice = np.full(m + 1, _FAR), []
     best[0] = 0
     for _ in range(min(buckets, m)):
-        new, at = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int)
-        new[0] = 0
-        for j in range(1, m + 1):
-            cost = best[:j] + lengths[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])
-            at[j] = int(cost.argmin())
-            new[j] = cost[at[j]]
-        best = new
+        best, at = _layer(best, lengths, count, total)
         choice.append(at)
     widths, j = [], m
     for at in reversed(choice):
@@ -58,17 +74,22 @@ def pack(df: DataFrame, length: Column, id_col: str = "doc_id", buckets: int = 8
     ``batch`` counts from 0 inside its bucket and ``slot`` inside its batch. All
     batches of a bucket but its last hold ``max(1, budget // width)`` rows, so a
     text longer than the budget stands alone, whole. A null length counts as 0.
-    Rows with the same or a null id each take a place of their own.
+    Rows with the same or a null id each take a place of their own; an empty table
+    has no batch. A width is the longest length of its bucket.
+
+    The driver holds the histogram: one entry for each length that occurs, at most
+    as many as the longest length or the root of twice all tokens.
     """
-    rows = staged(df.select(df[id_col].alias("_id"), F.coalesce(length.cast("bigint"), F.lit(0)).alias("_length")).withColumn("_class", length_class(F.col("_length"))))
-    hist = rows.groupBy("_class").agg(F.count("*").alias("n"), F.sum("_length").alias("s")).orderBy("_class").collect()
-    widths = optimal_widths(np.array([r["_class"] for r in hist]), np.array([r["n"] for r in hist]), np.array([r["s"] for r in hist]), buckets)
-    shards = max(1, sum(r["n"] for r in hist) // SHARD_ROWS)
+    rows = staged(df.select(df[id_col].alias("_id"), F.coalesce(length.cast("bigint"), F.lit(0)).alias("_length")))
+    hist = rows.groupBy("_length").agg(F.count("*").alias("n")).orderBy("_length").toArrow()
+    lengths, counts = (hist.column(c).to_numpy() for c in ("_length", "n"))
+    widths = optimal_widths(lengths, counts, buckets)
+    shards = max(1, int(counts.sum()) // SHARD_ROWS)
     bucket = F.lit(len(widths) - 1)
     width = F.lit(widths[-1] if widths else 0)
     for k in range(len(widths) - 2, -1, -1):
-        bucket = F.when(F.col("_class") <= widths[k], k).otherwise(bucket)
-        width = F.when(F.col("_class") <= widths[k], widths[k]).otherwise(width)
+        bucket = F.when(F.col("_length") <= widths[k], k).otherwise(bucket)
+        width = F.when(F.col("_length") <= widths[k], widths[k]).otherwise(width)
     dealt = rows.select(
         "_id", "_length", bucket.alias("_bucket"), width.cast("bigint").alias("_width"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("_shard")
     )
@@ -87,6 +108,15 @@ def pack(df: DataFrame, length: Column, id_col: str = "doc_id", buckets: int = 8
     )
 
 
-def word_length(text: Column) -> Column:
-    """White-space separated words and one end token; a null text has only the end."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)) + 1
+def pack_texts(df: DataFrame, counter: Counter, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536) -> DataFrame:
+    """pack() by the tokens of every whole text and one end token; a null text has only the end."""
+    return pack(count_tokens(df, counter, id_col, text_col), F.col("n_tokens") + 1, id_col, buckets, budget)
+
+
+def batches(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row for each batch: bucket, batch, width, ids in the order of their slots, tokens and padding.
+
+    A batch holds no more rows than its budget has tokens, so its list is bounded.
+    """
+    listed = packed.groupBy("bucket", "batch").agg(F.max("width").alias("width"), F.sort_array(F.collect_list(F.struct("slot", id_col))).alias("_of"), F.sum("length").alias("tokens"))
+    return listed.select("bucket", "batch", "width", F.col(f"_of.{id_col}").alias("ids"), "tokens", (F.size("_of") * F.col("width") - F.col("tokens")).alias("padding"))

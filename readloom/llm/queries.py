@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_level_counter():
+    """The automaton of the byte-level vocabulary, for token counts and packing."""
+    from .wordpiece import build, byte_level_pieces
+
+    return build(*byte_level_pieces(tokenizer_path("byte_bpe_50k.json")))
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import tokenize
 
@@ -43,10 +50,9 @@ SELECT query_id, rank, vec_id, score FROM (
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack, word_length
+    from .packing import pack_texts
 
-    docs = table(spark, sf_dir, "documents")
-    return pack(docs, word_length(docs["text"]))
+    return pack_texts(table(spark, sf_dir, "documents"), byte_level_counter())
 
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +92,9 @@ def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .wordpiece import build, byte_level_pieces, count_tokens
+    from .wordpiece import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), build(*byte_level_pieces(tokenizer_path("byte_bpe_50k.json"))))
+    return count_tokens(table(spark, sf_dir, "documents"), byte_level_counter())
 
 
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

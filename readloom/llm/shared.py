@@ -68,6 +68,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def numbered(names: list[str]) -> list[Column]:
+    """Columns under names that clash with nothing and that any operator takes."""
+    return [F.col(quoted(n)).alias(f"_{k}") for k, n in enumerate(names)]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing holds any more; rounds would pile them up."""
     gc.collect()

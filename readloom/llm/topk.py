@@ -35,7 +35,10 @@ def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
-            flat = np.floor(column.flatten().to_numpy() * scale).astype(np.int64)
+            flat = np.floor(column.flatten().to_numpy() * scale)
+            if (np.abs(flat) >= 2.0**62).any():
+                raise OverflowError("A component is too large for 64-bit integers at this scale.")
+            flat = flat.astype(np.int64)
             at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["_id", "_v"])
 
@@ -52,8 +55,11 @@ def _matrix(packed: pd.Series, dims: int) -> np.ndarray:
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer inner products; in floating point only where every partial sum is exact."""
-    if len(q) and len(c) and float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2**52:
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    if most < 2.0**52:
         return (q.astype(float) @ c.T.astype(float)).astype(np.int64)
+    if most >= 2.0**63:
+        raise OverflowError("A score can be too large for a 64-bit integer at this scale.")
     return q @ c.T
 
 
@@ -127,7 +133,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col:
     column. Ties go to the smaller id. Null vectors, empty ones and those with a
     null or non-finite component take no part; shorter vectors count as padded
     with zeros. Rows that share an id are rows of their own. Null ids are never
-    queries and rank behind equal scores.
+    queries and rank behind equal scores. Only the two named columns are read.
+    Components or scores beyond 64-bit integers are an error, not a wrong score.
     """
     vectors = quantised(df, scale, id_col, vector_col)
     queries = vectors.withColumnRenamed("_id", id_col).filter(is_query).withColumnRenamed(id_col, "_id")

@@ -20,6 +20,8 @@ from .shared import spread
 from .textkit import chunks, words
 
 NONE = -1
+#: Words longer than this are counted one by one; all others run in step.
+LONG = 512
 
 
 @dataclass
@@ -32,6 +34,10 @@ class Counter:
     next: np.ndarray
     link: np.ndarray
     pops: np.ndarray
+    _lists: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_lists": None}
 
     def _go(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         row = self.row[node]
@@ -41,6 +47,13 @@ class Counter:
     def count(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pieces of each word; a word that pieces cannot cover is one unknown token."""
         n = np.zeros(len(starts), dtype=np.int64)
+        long = np.flatnonzero(ends - starts > LONG)
+        if len(long):
+            for k in long:
+                n[k] = self.count_one(raw[starts[k] : ends[k]].tobytes())
+            rest = np.flatnonzero(ends - starts <= LONG)
+            n[rest] = self.count(raw, starts[rest], ends[rest])
+            return n
         order = np.argsort(starts - ends, kind="stable")
         at, stop = starts[order], ends[order]
         longest = stop - at
@@ -64,6 +77,28 @@ class Counter:
         n[order] = np.where(lost, 1, got)
         return n
 
+    def count_one(self, word: bytes) -> int:
+        """Pieces of one word, byte by byte: for long words, which have no others to run in step with."""
+        row, byte, to, link, pops = (x.tolist() for x in (self.row, self.byte, self.next, self.link, self.pops)) if self._lists is None else self._lists
+        self._lists = row, byte, to, link, pops
+        many, node, got = self.many, 0, 0
+        for b in word:
+            while True:
+                next_ = many.item(row[node], b) if row[node] >= 0 else to[node] if byte[node] == b else NONE
+                if next_ >= 0:
+                    node = next_
+                    break
+                if link[node] < 0:
+                    return 1
+                got += pops[node]
+                node = link[node]
+        while node != 1:
+            if link[node] < 0:
+                return 1
+            got += pops[node]
+            node = link[node]
+        return got
+
     def _fall(self, todo, node, got, lost, byte):
         link = self.link[node[todo]]
         stuck = link < 0
@@ -120,7 +155,9 @@ def build(initial: Iterable[bytes], continuing: Iterable[bytes]) -> Counter:
 def count_tokens(df: DataFrame, counter: Counter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words and n_tokens of every whole text; a null or empty text has none of either.
 
-    Other columns are not read. Repeated rows and null ids give rows like any other.
+    Other columns are not read, so their names cannot clash. Repeated rows and null
+    ids give rows like any other, an empty table none. A word of any length takes
+    time in proportion to it.
     """
     shared = df.sparkSession.sparkContext.broadcast(counter)
     picked = df.select(df[id_col].alias("_id"), df[text_col].cast("string").alias("_text"))

@@ -1,3 +1,4 @@
+import json
 import random
 from hashlib import sha256
 
@@ -46,3 +47,14 @@ def test_odd_rows(spark):
     back = {r.decoded for r in decode_ids(got, PATH).collect()}
     assert back == {"", "ab cd", "word " * 60_000, "x"}
     assert tokenize(df.limit(0), PATH).collect() == []
+    clash = df.withColumns({"_id": df["n_tokens"], "_text": df["n_tokens"], "ids": df["n_tokens"]})
+    assert sorted(map(str, tokenize(clash, PATH).collect())) == sorted(map(str, tokenize(df, PATH).collect()))
+
+
+def test_added_tokens_that_take_in_neighbours_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="not supported"):
+        compile_automaton(str(tmp_path / "t.json"))

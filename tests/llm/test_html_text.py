@@ -48,6 +48,12 @@ def test_blocks_of_odd_markup():
     assert text("<script>var t='</p>';</script><P CLASS=x>Hi</P><style>q{}</style><title>no</title>") == ["Hi"]
     assert text("<div title='a>b'>in</div><a href=x>y</a> z") == ["in", "y z"]
     assert html_text.blocks("<ul><li>a<li>b</ul><p>c")[2].path == ("p",)
+    assert text("<html><head><title>t</title><article><p>One.</p></article>") == ["One."]
+    assert text("<head><meta charset=x><p>Two.") == ["Two."] and text("<script src=https://x.com/>code</script><p>a") == ["a"]
+    assert text("<script/>code</script><style/>p{}</style><p>b</p>") == ["b"] and text("<p>a<script>x</script>b") == ["ab"]
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be.<svg><title>no</title><text>yes</text></svg></p>") == ["Let x=1 be.yes"]
+    assert text("<noscript><p>seen</p></noscript><xmp><b>&amp;</b></xmp><template><p>no</p></template>") == ["seen", "<b>&amp;</b>"]
+    assert text("a<!-->b<!--->c<!-- d --!>e") == ["abce"] and text("<svg/><p>after</p><svg><path d=x /></svg>") == ["after"]
 
 
 def test_odd_rows(spark, labeller):
@@ -61,6 +67,42 @@ def test_odd_rows(spark, labeller):
     assert html_text.extract(df.limit(0), labeller).collect() == []
 
 
+def deep_page(rng):
+    """An article, comments, an aside and a footer, each inside several elements with many class words."""
+    some = "row col-md-12 d-flex elementor-widget-wrap wp-block-group mb-3 container-fluid layout__item region-a panel pane".split()
+    names = lambda n: " ".join(rng.choices(some, k=n))
+    labels = []
+
+    def nest(html, depth):
+        for _ in range(depth):
+            html = f'<div class="{names(rng.randint(2, 7))}">{html}</div>'
+        return html
+
+    def paragraphs(n, good):
+        labels.extend([good] * n)
+        return "".join(f'<div class="{names(3)}"><p class="{names(2)}">{html_text._words(rng, 8, 40)}</p></div>' for _ in range(n))
+
+    head = f"<header><nav>{nest(''.join(f'<li><a href=#>{html_text._words(rng, 1, 2)}</a></li>' for _ in range(5)), 4)}</nav></header>"
+    labels.extend([False] * 5)
+    form = rng.randrange(3)
+    article = nest(paragraphs(20, True), 5)
+    article = [f"<article class='{names(3)}'>{article}</article>", f"<main>{article}</main>", nest(f"<div class='entry-content {names(4)}'>{article}</div>", 3)][form]
+    rest = f"<section class='comments-area {names(2)}'>{nest(paragraphs(4, False), 3)}</section><aside class='{names(4)}'>{nest(paragraphs(2, False), 4)}</aside><footer>{nest(paragraphs(1, False), 3)}</footer>"
+    return nest(head + article + rest, 2), labels
+
+
+def test_deep_class_rich_pages(labeller):
+    rng, right = random.Random(77), {True: [0, 0], False: [0, 0]}
+    for _ in range(45):
+        html, labels = deep_page(rng)
+        page = html_text.blocks(html)
+        assert len(page) == len(labels)
+        for got, want in zip(labeller.label([page])[0], labels, strict=True):
+            right[want][0] += got == want
+            right[want][1] += 1
+    assert right[True][0] > 0.9 * right[True][1] and right[False][0] > 0.9 * right[False][1]
+
+
 def test_deep_paths_and_long_blocks_are_read_whole():
     inner = "".join(f'<div class="{" ".join(f"{c}{d}" for c in ("one", "two", "three", "four", "five", "six", "seven", "eight"))}">' for d in "xyz")
     rows = [html_text.vectors(html_text.blocks(f"<{tag}>{inner}<p>The same text.</p>"))[0] for tag in ("article", "aside")]
