@@ -167,15 +167,15 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     return fit(np.array(windows, dtype=np.uint8).reshape(-1, WINDOW), np.array(labels, dtype=int), classes)
 
 
-def identify(df: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` (or its columns ``keep``) with ``lang_pred`` and ``score`` (its mean probability) of every whole text.
+def identify(df: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``lang_pred`` and ``score`` (its mean probability), or as ``out`` names them, of every whole text.
 
     A null text, or one without a letter, gets ``und`` and 0.0. Columns of these
     two names that ``df`` has are replaced, all others pass through whatever their
     names; repeated rows get the same answer, an empty table an empty one.
     """
     shared = df.sparkSession.sparkContext.broadcast(net)
-    names = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    names = [c for c in (df.columns if keep is None else keep) if c not in out]
     text = F.col(quoted(text_col)).cast("string")
     kept = df.select(*map(quoted, names))
     asked = df.select(*numbered(names), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"), text.alias("text"))
@@ -190,6 +190,6 @@ def identify(df: DataFrame, net: Network, text_col: str = "text", keep: list[str
                 best[first:last], score[first:last] = p.argmax(axis=1), p.max(axis=1)
             ok = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
             lang = pa.array([model.classes[b] if k else UNDETERMINED for b, k in zip(best, ok, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], lang, pa.array(np.where(ok, np.clip(score, 0, 1), 0.0))], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], lang, pa.array(np.where(ok, np.clip(score, 0, 1), 0.0))], [*names, *out])
 
-    return spread(asked).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return spread(asked).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]))

@@ -157,15 +157,15 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     return fit([np.frombuffer(r["buckets"], np.uint32).astype(np.int64) for r in rows], np.array([r["label"] for r in rows]))
 
 
-def classify(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
-    """``df`` (or its columns ``keep``) with ``score`` and ``predicted`` of every whole text.
+def classify(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``score`` and ``predicted``, or as ``out`` names them, of every whole text.
 
     Null and empty texts have no features and get the score of the bias. Columns
     of these two names that ``df`` has are replaced, all others pass through
     whatever their names. Repeated rows score alike, an empty table gives none.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted")]
+    names = [c for c in (df.columns if keep is None else keep) if c not in out]
     kept = df.select(*map(quoted, names))
     asked = df.select(*numbered(names), F.col(quoted(text_col)).cast("string").alias("text"))
 
@@ -174,6 +174,6 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", threshold: flo
             score = np.zeros(batch.num_rows)
             for first, last, raw, offsets in chunks(batch.column(len(names))):
                 score[first:last] = shared.value.scores(*features(raw, offsets), last - first)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, *out])
 
-    return spread(asked).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return spread(asked).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())]))

@@ -1,7 +1,9 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_near_dup import brute
 
-from readloom.llm.packing import word_length
+from readloom.llm.queries import byte_level_counter
+from readloom.llm.wordpiece import count_tokens
 
 SF1 = "/root/testdata/sf0.01"
 
@@ -24,7 +26,7 @@ def test_stages_filter_and_pack(spark):
             assert after == {i for i, _, _, kept in brute(before, 5, 80) if kept}
         sizes.append(len(after))
     packed = corpus_pipeline.STAGES[3][1](spark, docs, SF1).collect()
-    lengths = {r.doc_id: r.n for r in docs.select("doc_id", word_length(docs["text"]).alias("n")).collect()}
+    lengths = {r.doc_id: r.n_tokens + 1 for r in count_tokens(docs, byte_level_counter()).collect()}
     assert {r.doc_id: r.length for r in packed} == lengths
     assert len({(r.bucket, r.batch, r.slot) for r in packed}) == len(packed)
 
@@ -37,5 +39,18 @@ def test_odd_rows(spark):
 
     left = without_duplicates(docs)
     assert sorted((r.doc_id or -1, len(r.text or "")) for r in left.collect()) == sorted([(1, 0), (2, 0), (3, len(long)), (-1, 47), (-1, 0)])
+    real = spark.read.parquet(f"{SF1}/documents.parquet")
+    odd = spark.createDataFrame([(10**9 + (i or 0) if i else None, *r) for i, *r in rows], docs.schema)
+    clash = {c: F.lit(c) for c in ("_text", "_letter", "_row", "_twin", "score", "predicted", "lang_pred", "a.b")}
+    mixed, kept = real.unionByName(odd).withColumns(clash), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, mixed, SF1)
+        if name != "packing":
+            assert out.columns == mixed.columns and all(r[c] == c for r in out.limit(5).collect() for c in clash)
+        else:
+            assert out.filter("doc_id is null").count() == 2
+        kept[name] = sorted(r.doc_id for r in out.filter(F.col("doc_id") > 10**9).collect())
+    assert kept["language ID"] in ([], [10**9 + 3] * 2) and kept["MinHash near-dedup"] == [10**9 + k for k in (1, 2, 3)]
+    assert kept["packing"] == [10**9 + k for k in (1, 2, 3, 3)]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF1).count() == 0
