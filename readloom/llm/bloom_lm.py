@@ -36,10 +36,10 @@ from .textkit import chunks, mix, words
 BITS, PROBES = 16, 5
 #: Most bytes broadcast at once, for words and for pairs. A larger filter is broadcast in slices, and texts are routed to them.
 MOST_BROADCAST = 64 << 20
-#: Bytes of text handled at once; more, up to the second, where look-ups have so many shards that pieces would get tiny.
+#: Bytes of text handled at once; more, up to the second, where the vocabulary has so many shards that pieces would get tiny.
 CHUNK, MOST_CHUNK = 1 << 19, 8 << 20
 #: Words whose counts one look-up of the base score holds, and input bytes whose words it takes.
-OWNED, LOOK_UP_BYTES = 1 << 20, 4 << 20
+OWNED, LOOK_UP_BYTES = 1 << 20, 8 << 20
 #: Input bytes for one shard of the counts, and distinct keys a task holds before it passes them on.
 SHARD_BYTES, FLUSH = 2 << 20, 1_500_000
 
@@ -252,14 +252,12 @@ def base_scores(rows: DataFrame, counts: DataFrame, shard_bits: int, total: int,
     """Exact base score and known tokens of each row: words go to the shard of their counts, partial sums come back.
 
     A look-up holds the counts of about ``most_words`` words at most and the words
-    of about ``most_bytes`` of input: shards follow both until they cut chunks too
-    fine, then salts of each shard, which all get its counts, follow the input.
+    of about ``most_bytes`` of input: shards follow the vocabulary, so that a text
+    gets few partial sums, and salts of a shard, which all get its counts, the input.
     """
     scale = total + 0.5 * (types + 1)
-    size = input_bytes(rows)
-    most_bits = (MOST_CHUNK // 1024).bit_length() - 1
-    own_bits = min(shard_bits, max(5, (types // most_words).bit_length(), min(most_bits, (size // most_bytes).bit_length())))
-    salts = max(1, -(-size // (most_bytes << own_bits)))
+    own_bits = min(shard_bits, max(4, (types // most_words).bit_length()))
+    salts = max(1, -(-input_bytes(rows) // (most_bytes << own_bits)))
     chunk = min(MOST_CHUNK, max(CHUNK, 1024 << own_bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
