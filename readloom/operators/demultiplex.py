@@ -21,13 +21,17 @@ def checked_barcodes(barcodes: dict[str, int], max_mismatches: int = 1) -> dict[
     out = {k.upper().replace("U", "T"): v for k, v in barcodes.items()}
     if len(out) != len(barcodes) or len({len(k) for k in out}) != 1 or any(not re.fullmatch("[ACGT]+", k) for k in out):
         raise ValueError("Barcode names must be equal-length DNA or RNA sequences.")
-    for a, b in combinations(out, 2):
-        distance = sum(x != y for x, y in zip(a, b, strict=True))
+    for a, b, distance in distances(out):
         if distance < 2 * max_mismatches + 1:
             raise ValueError(f"Barcodes {a} and {b} have distance {distance}; at least {2 * max_mismatches + 1} is required.")
     return out
 
 
+def distances(barcodes: dict[str, int]) -> list[tuple[str, str, int]]:
+    """Differing places of every two barcodes; they are few."""
+    return [(a, b, sum(x != y for x, y in zip(a, b, strict=True))) for a, b in combinations(barcodes, 2)]
+
+
 def mismatches(c: Column, text: str) -> Column:
     """Differing places of two strings of one length."""
     return sum(((F.substring(c, k + 1, 1) != base).cast("int") for k, base in enumerate(text)), F.lit(0))

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequences as S
+from .plans.report import LibraryReport
 from .operators import catalog, counting, demultiplex, detection, extraction, quality, rounds
-from .sources import archive
+from .sources import archive, counts_io, fastq
 
 P5, P3 = "GGTAATACGACTCACTATAGGG", "CCATGCATGCATGCATGCAT"
 ROUNDS = ["round_00", "round_01", "round_02"]
@@ -302,7 +303,25 @@ def strand_distribution(spark, sf_dir):
     return extraction.strand_counts(reads(spark, sf_dir), P5, P3)
 
 
-@register()
+def _closest(frm: str, text: str, primer: str) -> str:
+    """Best approximate place (rid, s, w) of a primer by trying every place: highest score, fewest errors, leftmost, longest."""
+    n, k = len(primer), len(primer) // 10
+    return f"""SELECT rid, arg_min(struct_pack(s := s, w := w), [e * 2 - least({n}, w), e, s, -w]) AS m FROM (
+      SELECT rid, s, w, levenshtein(substr({text}, s::INT, w::INT), '{primer}') AS e
+      FROM (SELECT rid, {text}, unnest(range(1, length({text}) + 1)) AS s FROM {frm}) CROSS JOIN (SELECT unnest(range({n - k}, {n + k + 1})) AS w)
+      WHERE s + w - 1 <= length({text})) WHERE e <= {k} GROUP BY rid"""
+
+
+_APPROXIMATE = (
+    WITH
+    + f""", plain AS (SELECT *, read_index AS rid, replace(upper(sequence), 'U', 'T') AS t FROM reads), rest AS (SELECT * FROM plain WHERE NOT (strpos(t, '{P5}') > 0 AND strpos(substr(t, strpos(t, '{P5}') + 22), '{P3}') > 0)),
+ five AS ({_closest("rest", "t", P5)}), cut AS (SELECT rid, round, read_index, substr(sequence, (m.s + m.w)::INT) AS sequence, substr(t, (m.s + m.w)::INT) AS u FROM rest JOIN five USING (rid)),
+ three AS ({_closest("cut", "u", P3)}), near AS (SELECT round, read_index, substr(sequence, 1, (m.s - 1)::INT) AS sequence FROM cut JOIN three USING (rid)),
+ inserts AS ({_BOTH.replace("file_index, ", "")} UNION ALL SELECT * FROM near) """
+)
+
+
+@register(_APPROXIMATE + "SELECT * FROM inserts")
 def extract_approximate(spark, sf_dir):
     return extraction.trimmed(reads(spark, sf_dir), "BOTH_PRIMERS_SINGLE_READ", P5, P3).select("round", "read_index", "sequence")
 
@@ -385,10 +404,12 @@ def qc_kmer_jaccard(spark, sf_dir):
     return quality.round_similarity(counts(spark, sf_dir), ROUNDS).withColumn("jaccard_distance", F.round("jaccard_distance", 9))
 
 
-@register(_SETS + "SELECT n.from_round, n.to_round AS neighbour_round, f.to_round AS distant_round FROM sim n JOIN sim f ON n.from_round = f.from_round WHERE n.from_round = 'round_00' AND n.to_round = 'round_01' AND f.to_round = 'round_02' AND n.d > f.d * 1.1")
+@register(_SETS + "SELECT n.from_round, n.to_round AS neighbour_round, f.to_round AS distant_round, round(n.d, 9) AS near, round(f.d, 9) AS far FROM sim n JOIN sim f ON n.from_round = f.from_round WHERE n.from_round = 'round_00' AND n.to_round = 'round_02' AND f.to_round = 'round_01' AND n.d > f.d * 1.1")
 def qc_kmer_monotonicity(spark, sf_dir):
-    c = counts(spark, sf_dir)
-    return quality.nonmonotonic(quality.round_similarity(c, ROUNDS), ROUNDS).select("from_round", "neighbour_round", "distant_round")
+    """The least diverse round taken as the second one: farther from the first than the one after it."""
+    order = ["round_00", "round_02", "round_01"]
+    found = quality.nonmonotonic(quality.round_similarity(counts(spark, sf_dir), order), order)
+    return found.select("from_round", "neighbour_round", "distant_round", F.round("consecutive_distance", 9).alias("near"), F.round("distant_distance", 9).alias("far"))
 
 
 @register(WITH + "SELECT round, n_unique, n_unique - lag(n_unique) OVER (ORDER BY round) AS change FROM (SELECT round, count(*) AS n_unique FROM counts GROUP BY round)")
@@ -404,14 +425,71 @@ def rarefied_unique(spark, sf_dir):
     return quality.rarefied_unique(counts(spark, sf_dir), 1000)[0]
 
 
-@register()
+@register(WITH + "SELECT round, least(1000, sum(reads))::BIGINT AS reads, true AS within FROM counts GROUP BY round")
+def rarefied_sizes(spark, sf_dir):
+    """A sample has the depth's reads, and of no sequence more than there are."""
+    c = counts(spark, sf_dir)
+    drawn = quality.rarefied(c, 1000).withColumnRenamed("reads", "drawn")
+    return drawn.join(c, ["round", "sequence"]).groupBy("round").agg(F.sum("drawn").alias("reads"), F.bool_and(F.col("drawn") <= F.col("reads")).alias("within"))
+
+
+@register(WITH + "SELECT round, sequence, reads::BIGINT AS reads FROM counts")
+def rarefied_whole(spark, sf_dir):
+    """Rounds that are shallower than the depth stay whole."""
+    return quality.rarefied(counts(spark, sf_dir), 100_000_000)
+
+
+def _per_round_sql() -> str:
+    return f""", base AS (SELECT round, sum(reads)::DOUBLE AS n_reads, count(*) AS n_unique, avg((reads = 1)::INT) AS singleton_fraction, max(reads) / sum(reads) AS top_1_coverage,
+      sum(CASE WHEN rank <= 100 THEN reads END) / sum(reads) AS top_100_coverage, sum(CASE WHEN regexp_matches(upper(sequence), '[^ACGTUN]') THEN reads ELSE 0 END) / sum(reads) AS nonstandard_alphabet_fraction,
+      sum(CASE WHEN contains(upper(sequence), 'AGATCGGAAGAGC') THEN reads ELSE 0 END) / sum(reads) AS truseq_reads_fraction FROM ranked GROUP BY round),
+     entropy AS (SELECT round, -sum(p * log2(p)) AS shannon_entropy_bits FROM (SELECT round, reads / sum(reads) OVER (PARTITION BY round) AS p FROM counts) GROUP BY round),
+     modes AS (SELECT round, length::DOUBLE AS modal_sequence_length FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY n DESC, s) AS k FROM (SELECT round, length(sequence) AS length, sum(reads) AS n, min(sequence) AS s FROM counts GROUP BY ALL)) WHERE k = 1),
+     gc AS (SELECT g.round, any_value(m) AS mean_gc, sqrt(sum(reads * (g - m) * (g - m)) / sum(reads)) AS gc_sd FROM (SELECT round, reads, {_GC} AS g FROM counts) g JOIN (SELECT round, sum({_GC} * reads) / sum(reads) AS m FROM counts GROUP BY round) h ON g.round = h.round GROUP BY g.round),
+     kmer AS (SELECT round, max(n) / sum(n) AS top_kmer_fraction FROM (SELECT round, kmer, sum(reads) AS n FROM ({_KMERS}) GROUP BY ALL) GROUP BY round),
+     metrics AS (SELECT *, n_unique AS rarefied_unique FROM base JOIN entropy USING (round) JOIN modes USING (round) JOIN gc USING (round) JOIN kmer USING (round)) """
+
+
+_METRICS = "n_reads shannon_entropy_bits singleton_fraction top_1_coverage top_100_coverage modal_sequence_length mean_gc gc_sd nonstandard_alphabet_fraction truseq_reads_fraction top_kmer_fraction".split()
+
+
+@register(WITH + _per_round_sql() + "SELECT round, n_unique, rarefied_unique, " + ", ".join(f"round({c}, 8) AS {c}" for c in _METRICS) + " FROM metrics")
 def qc_per_round(spark, sf_dir):
-    return quality.per_round(counts(spark, sf_dir), 1000)
+    """All metrics; at a depth beyond every round the rarefied count is that of all sequences."""
+    found = quality.per_round(counts(spark, sf_dir), 100_000_000)
+    return found.select("round", "n_unique", "rarefied_unique", *[F.round(c, 8).alias(c) for c in _METRICS])
 
 
-@register()
+#: Rounds in an order in which the least diverse one comes between, so that flags on order have something to find.
+_TURNED = "CASE round WHEN 'round_00' THEN 'round_00' WHEN 'round_01' THEN 'round_02' ELSE 'round_01' END"
+_TURNED_WITH = f"WITH reads AS ({READS}), counts AS (SELECT {_TURNED} AS round, sequence, count(*) AS reads FROM reads GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY reads DESC, sequence) AS rank FROM counts) "
+_FLAGS = f"""{_TURNED_WITH} {_per_round_sql()}, strands AS (SELECT {_TURNED} AS round, avg(({STRAND} = 'reverse')::INT) AS share FROM reads GROUP BY 1),
+ steps AS (SELECT *, lag(rarefied_unique) OVER (ORDER BY round) AS was FROM metrics), limits AS (SELECT median(n_reads) AS least FROM metrics),
+ flags AS (
+  SELECT 'low_total_reads' AS name, count(*) AS rounds FROM metrics, limits WHERE n_reads < least
+  UNION ALL SELECT 'unexpected_rarefied_diversity_increase', count(*) FROM steps WHERE rarefied_unique > was
+  UNION ALL SELECT 'nonstandard_alphabet', count(*) FROM metrics WHERE nonstandard_alphabet_fraction > 0.001
+  UNION ALL SELECT 'truseq_residual', count(*) FROM metrics WHERE truseq_reads_fraction > 0.01
+  UNION ALL SELECT 'strand_mix', count(*) FROM strands WHERE share > 0.2
+  UNION ALL SELECT 'low_primer_match', 1 UNION ALL SELECT 'requires_read_merging_for_full_insert', 1 UNION ALL SELECT 'adapter_contamination_high', 1)"""
+
+
+def _turned(spark, sf_dir):
+    return reads(spark, sf_dir).withColumn("round", F.expr(_TURNED))
+
+
+@register(_FLAGS + "SELECT name, CASE WHEN name LIKE 'requires%' THEN 'info' ELSE 'warn' END AS severity, rounds FROM flags WHERE rounds > 0")
 def qc_flags(spark, sf_dir):
-    return quality.qc(counts(spark, sf_dir), ROUNDS).flags_frame(spark)
+    """Every flag on data, and those on a report that says the worst, by the number of rounds they name."""
+    r = _turned(spark, sf_dir)
+    c = r.groupBy("round", "sequence").agg(F.count("*").alias("reads"))
+    totals = {x["round"]: x["n"] for x in r.groupBy("round").agg(F.count("*").alias("n")).collect()}
+    worst = LibraryReport(primer_5p=P5, primer_3p=P3, extraction_mode="PAIRED_END_SPLIT_PRIMERS", required_action="READ_MERGING_RECOMMENDED", status="LOW", match_rate_5p=0.2, match_rate_3p=0.9, known_adapter_hits={"TRUSEQ_R1": 10**9}, read_fraction_used_for_inference=1.0)
+    least = sorted(totals.values())[len(totals) // 2]
+    found = quality.qc(c, ROUNDS, worst, low_total_reads=least, rarefaction_depth=100_000_000, input_reads=totals, strands=extraction.strand_counts(r, P5, P3))
+    size = {"unexpected_rarefied_diversity_increase": "increases", "strand_mix": "rounds_above_threshold"}
+    rows = [(n, sev, len(e[size.get(n, "rounds")]) if size.get(n, "rounds") in e else 1) for n, sev, e in found.flags if n not in ("round_kmer_nonmonotonic", "n_length_variation_across_rounds")]
+    return spark.createDataFrame(rows, "name string, severity string, rounds bigint")
 
 
 @register(WITH + ", l AS (SELECT round, length(sequence) AS length, sum(reads) AS n FROM counts GROUP BY ALL) SELECT r.round, x.length::BIGINT AS length, round(coalesce(n, 0) / (SELECT sum(n) FROM l WHERE l.round = r.round), 9) AS fraction FROM (SELECT DISTINCT round FROM l) r CROSS JOIN (SELECT DISTINCT length FROM l) x LEFT JOIN l ON l.round = r.round AND l.length = x.length")
@@ -476,7 +554,7 @@ def catalog_search_pages(spark, sf_dir):
     return catalog.search(spark.read.parquet(f"{sf_dir}/pages.parquet"), ".example.ORG/en", ("url",)).select("page_id", "url")
 
 
-@register()
+@register(_APPROXIMATE + ", c AS (SELECT round, sequence, count(*)::DOUBLE AS reads FROM inserts GROUP BY ALL) SELECT round, sequence, reads, row_number() OVER (PARTITION BY round ORDER BY reads DESC, sequence)::INTEGER AS rank, round(reads / sum(reads) OVER (PARTITION BY round) * 1e6, 6) AS rpm FROM c")
 def run_pipeline(spark, sf_dir):
     import warnings
 
@@ -484,4 +562,265 @@ def run_pipeline(spark, sf_dir):
 
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return run(reads(spark, sf_dir), primer_5p=P5, primer_3p=P3).counts
+        return run(reads(spark, sf_dir), primer_5p=P5, primer_3p=P3, extraction_mode="BOTH_PRIMERS_SINGLE_READ").counts.withColumn("rpm", F.round("rpm", 6))
+
+
+# pairs: mates are made by turning reads around; each round has two files of each mate
+
+_MATES = f"SELECT round, mate, (CASE WHEN mate = 'R1' THEN 0 ELSE 2 END + file_index)::INTEGER AS file_index, row_number() OVER (PARTITION BY round, mate, file_index ORDER BY event_id) - 1 AS read_index, event_id, CASE WHEN mate = 'R1' THEN sequence ELSE {REVERSED.format('sequence')} END AS sequence FROM (SELECT r.round, m.mate, r.file_index, r.read_index AS event_id, r.sequence FROM reads r CROSS JOIN (VALUES ('R1'), ('R2')) AS m(mate))"
+
+
+def _mates(spark, sf_dir):
+    r1 = reads(spark, sf_dir).withColumnRenamed("read_index", "event_id")
+    r2 = r1.withColumns({"mate": F.lit("R2"), "sequence": S.reverse_complement("sequence"), "file_index": F.col("file_index") + 2})
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("round", "mate", "file_index").orderBy("event_id")) - 1
+    return fastq.with_pairs(r1.unionByName(r2).withColumn("read_index", place.cast("bigint")))
+
+
+@register(WITH + f", mates AS ({_MATES}) SELECT a.round, m.mate, a.event_id, CASE WHEN m.mate = 'R1' THEN a.r1 ELSE a.r2 END AS sequence FROM (SELECT round, read_index AS event_id, {_REST} AS r1, substr({_TWO}, strpos({_TWO}, '{_R3}') + 20) AS r2 FROM reads WHERE {_FIVE} > 0 AND strpos({_TWO}, '{_R3}') > 0) a CROSS JOIN (VALUES ('R1'), ('R2')) AS m(mate)")
+def extract_pairs(spark, sf_dir):
+    """extract() on pairs of files: a pair stays if both mates have their primer."""
+    split = LibraryReport(primer_5p=P5, primer_3p=P3, extraction_mode="PAIRED_END_SPLIT_PRIMERS", required_action="READ_MERGING_RECOMMENDED", status="HIGH")
+    return extraction.extract(_mates(spark, sf_dir), split, approximate=False).inserts.select("round", "mate", "event_id", "sequence")
+
+
+@register(_CODED + "SELECT read_index AS event_id, concat('round_0', r::STRING) AS round, m.mate, CASE WHEN m.mate = 'R1' THEN substr(sequence, 6) ELSE concat('mate_', read_index) END AS sequence FROM a CROSS JOIN (VALUES ('R1'), ('R2')) AS m(mate) WHERE r IS NOT NULL")
+def demultiplex_pairs(spark, sf_dir):
+    """Mates follow their first read's barcode through two pairs of files."""
+    from pyspark.sql import Window
+
+    r1 = coded(spark, sf_dir).withColumnRenamed("read_index", "event_id").withColumns({"round": F.lit("pool"), "file_index": (F.col("event_id") % 2).cast("int")})
+    r2 = r1.withColumns({"mate": F.lit("R2"), "sequence": F.format_string("mate_%d", "event_id"), "file_index": F.col("file_index") + 2})
+    place = F.row_number().over(Window.partitionBy("mate", "file_index").orderBy("event_id")) - 1
+    paired = fastq.with_pairs(r1.unionByName(r2).withColumn("read_index", place.cast("bigint")))
+    return demultiplex.demultiplex(paired, CODES).reads.select("event_id", "round", "mate", "sequence")
+
+
+@register("WITH c AS (SELECT * FROM (VALUES ('AAAAA'), ('TTTTT'), ('CCCCC')) AS t(code)) SELECT a.code AS a, b.code AS b, hamming(a.code, b.code)::BIGINT AS distance FROM c a JOIN c b ON a.code < b.code")
+def barcode_distances(spark, sf_dir):
+    rows = demultiplex.distances(demultiplex.checked_barcodes(CODES))
+    return spark.createDataFrame([(*sorted((a, b)), d) for a, b, d in rows], "a string, b string, distance bigint")
+
+
+# files: written from the same reads to shared storage, and read back
+
+_FASTQ = "concat('@', CAST(read_index AS STRING), chr(10), sequence, chr(10), '+', chr(10), repeat('I', length(sequence)))"
+
+
+def _written(spark, sf_dir) -> dict[str, str]:
+    """A FASTQ file of each round's reads by read_index; rounds are few, and a file is one task by nature."""
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="readloom-fastq-")
+    out = {}
+    for name in ROUNDS:
+        path = f"{folder}/{name}.fastq"
+        rows = reads(spark, sf_dir).filter(F.col("round") == name).orderBy("read_index").select(F.expr(_FASTQ))
+        with open(path, "w", encoding="latin-1", newline="") as f:
+            f.writelines(r[0] + "\n" for r in rows.toLocalIterator())
+        out[name] = path
+    return out
+
+
+@register(WITH + "SELECT round, (row_number() OVER (PARTITION BY round ORDER BY read_index) - 1)::BIGINT AS read_index, sequence FROM reads")
+def read_fastq_splits(spark, sf_dir):
+    """FASTQ files in small splits: every record at its place."""
+    files = _written(spark, sf_dir)
+    found = fastq.read_fastq(spark, list(files.values()), split_bytes=20_000)
+    return found.select(F.element_at(F.array(*map(F.lit, files)), F.col("file_index") + 1).alias("round"), "read_index", "sequence")
+
+
+@register(WITH + "SELECT round, sequence FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY read_index) AS k FROM reads) WHERE k <= 100")
+def read_fastq_capped(spark, sf_dir):
+    files = _written(spark, sf_dir)
+    found = fastq.read_fastq(spark, list(files.values()), max_reads=100)
+    return found.select(F.element_at(F.array(*map(F.lit, files)), F.col("file_index") + 1).alias("round"), "sequence")
+
+
+@register(WITH + f", t AS (SELECT round, count(*) AS n, string_agg({_FASTQ} || chr(10), '' ORDER BY read_index) AS body FROM reads GROUP BY round) SELECT right(round, 1)::INTEGER AS round_number, 'R1' AS mate, n::INTEGER AS reads_loaded, strlen(body)::BIGINT AS file_size, md5(body) AS md5, sha256(body) AS sha256 FROM t")
+def read_inputs_files(spark, sf_dir):
+    return fastq.read_inputs(spark, _written(spark, sf_dir)).files.select("round_number", "mate", "reads_loaded", "file_size", "md5", "sha256")
+
+
+@register(WITH + "SELECT k AS format, sequence, reads::DOUBLE AS reads, rank::INTEGER AS rank FROM ranked CROSS JOIN (VALUES ('csv'), ('parquet'), ('tsv')) AS f(k) WHERE round = 'round_01'")
+def count_files(spark, sf_dir):
+    """One round's counts written to every format and read back under the contract."""
+    import tempfile
+    from functools import reduce
+
+    folder = tempfile.mkdtemp(prefix="readloom-counts-")
+    one = counting.count_sequences(reads(spark, sf_dir).filter("round = 'round_01'")).drop("round")
+    out = []
+    for kind in ("csv", "parquet", "tsv"):
+        counts_io.write_counts(one, f"{folder}/c.{kind}")
+        out.append(counts_io.read_counts(spark, f"{folder}/c.{kind}").select(F.lit(kind).alias("format"), "sequence", "reads", "rank"))
+    return reduce(DataFrame.unionByName, out)
+
+
+_NAMES = "SELECT n_nationkey AS k, concat('/data/', n_name, CASE n_nationkey % 5 WHEN 0 THEN '_R1' WHEN 1 THEN '.r2' WHEN 2 THEN '_2' WHEN 3 THEN '-R12' ELSE '' END, CASE WHEN n_nationkey % 2 = 0 THEN '.fastq.gz' ELSE '.FQ' END) AS path, concat(n_name, '_', CAST(n_nationkey % 7 AS STRING), CASE WHEN n_nationkey % 3 = 0 THEN 'x' ELSE '' END) AS label FROM nation"
+
+
+@register(f"WITH n AS ({_NAMES}), s AS (SELECT *, regexp_replace(parse_filename(path), '(?i)\\.(fastq|fq)(\\.gz)?$', '') AS stem FROM n) SELECT path, CASE WHEN regexp_matches(stem, '(?i)(^|[._-])R[12]([._-]|$)') THEN 'R' || regexp_extract(stem, '(?i)(?:^|[._-])R([12])(?:[._-]|$)', 1) WHEN regexp_matches(stem, '(^|[._-])[12]$') THEN 'R' || right(stem, 1) END AS mate, try_cast(nullif(regexp_extract(label, '([0-9]+)$', 1), '') AS BIGINT) AS round FROM s")
+def file_names(spark, sf_dir):
+    """Mate and round that file names and labels tell; a list of files is small by nature."""
+    rows = [(r["path"], fastq.mate_of(r["path"]), fastq.round_of(r["label"])) for r in _view(spark, sf_dir, _NAMES, "nation").collect()]
+    return spark.createDataFrame(rows, "path string, mate string, round bigint")
+
+
+# decisions on small records
+
+_PRIMERS = "SELECT n_nationkey AS k, translate(substr(md5(n_name), 1, CASE WHEN n_nationkey % 2 = 0 THEN 6 ELSE 4 END), '0123456789abcdef', 'ACACACACACACACAC') AS p FROM nation"
+
+
+@register(f"WITH n AS ({_PRIMERS}), x AS (SELECT a.k AS a, b.k AS b, CASE WHEN length(a.p) >= length(b.p) THEN a.p ELSE b.p END AS l, CASE WHEN length(a.p) >= length(b.p) THEN b.p ELSE a.p END AS s FROM n a CROSS JOIN n b) SELECT a, b, len(list_filter(range(1, length(l) - length(s) + 2), lambda i: hamming(substr(l, i::INT, length(s)::INT), s) <= 1)) > 0 AS agree FROM x")
+def primers_agree(spark, sf_dir):
+    rows = _view(spark, sf_dir, _PRIMERS, "nation").collect()
+    return spark.createDataFrame([(x["k"], y["k"], detection.agree(x["p"], y["p"])) for x in rows for y in rows], "a int, b int, agree boolean")
+
+
+_RATES = "SELECT n_nationkey AS k, (n_nationkey % 11) / 10.0 AS a, (n_nationkey * 7 % 11) / 10.0 AS b, (n_nationkey * 3 % 10) / 10.0 AS l, (n_nationkey * 5 % 13) / 12.0 AS c, n_nationkey % 6 = 1 AS split, n_nationkey % 2 = 0 AS several FROM nation"
+
+
+@register(f"""WITH r AS ({_RATES}), m AS (SELECT *, CASE WHEN a < 0.4 AND b < 0.4 THEN 'UNABLE_TO_EXTRACT' WHEN split THEN 'PAIRED_END_SPLIT_PRIMERS' WHEN a > 0.7 AND b > 0.7 THEN 'BOTH_PRIMERS_SINGLE_READ'
+ WHEN a <= 0.7 AND b <= 0.7 THEN 'UNABLE_TO_EXTRACT' WHEN l > 0.8 AND a > 0.7 THEN 'FIVE_PRIME_ONLY' WHEN l > 0.8 THEN 'THREE_PRIME_ONLY' ELSE 'UNABLE_TO_EXTRACT' END AS mode FROM r)
+ SELECT k, mode, CASE mode WHEN 'UNABLE_TO_EXTRACT' THEN 'MANUAL_PRIMERS_REQUIRED' WHEN 'PAIRED_END_SPLIT_PRIMERS' THEN 'READ_MERGING_RECOMMENDED' ELSE 'NONE' END AS action,
+ CASE WHEN mode = 'UNABLE_TO_EXTRACT' OR c < 0.3 THEN 'UNABLE_TO_INFER' WHEN c >= 0.85 AND several THEN 'HIGH' WHEN c >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS status FROM m""")
+def library_classes(spark, sf_dir):
+    rows = []
+    for r in _view(spark, sf_dir, _RATES, "nation").collect():
+        found = detection.classify(float(r["a"]), float(r["b"]), float(r["l"]), r["split"], r["several"], float(r["c"]))
+        rows.append((r["k"], found["extraction_mode"], found["required_action"], found["status"]))
+    return spark.createDataFrame(rows, "k int, mode string, action string, status string")
+
+
+@register(f"WITH r AS ({_RATES}) SELECT k, round(CASE WHEN several THEN 0.15 * a + 0.15 * b + 0.15 * a + 0.15 * b + 0.25 * c + 0.1 * l + 0.05 ELSE 0.225 * a + 0.225 * b + 0.225 * a + 0.225 * b + 0.05 * l + 0.05 END, 9) AS confidence FROM r")
+def composite_confidence(spark, sf_dir):
+    rows = []
+    for r in _view(spark, sf_dir, _RATES, "nation").collect():
+        a, b, c, x = (float(r[n]) for n in "abcl")
+        signals = {"match_5p": a, "match_3p": b, "pos_5p": a, "pos_3p": b, "persistence": c, "n_length": x, "adapter_clean": 1.0}
+        rows.append((r["k"], round(detection.composite(signals, r["several"]), 9)))
+    return spark.createDataFrame(rows, "k int, confidence double")
+
+
+@register("WITH r AS (SELECT n_regionkey AS k, (n_nationkey % 11) / 10.0 AS x FROM nation) SELECT k, round(CASE WHEN avg(x) >= 0.1 THEN greatest(0.0, least(1.0, 1 - stddev_samp(x) / avg(x))) END, 9) AS score FROM r GROUP BY k")
+def persistence_scores(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.collect_list(F.col("n_nationkey") % 11 / 10.0).alias("x")).collect()
+    score = lambda x: None if (v := detection.persistence_score(x)) is None else round(v, 9)
+    return spark.createDataFrame([(r[0], score([float(v) for v in r["x"]])) for r in rows], "k int, score double")
+
+
+_CURVES = "SELECT n_nationkey AS c, k, CASE WHEN k < 14 + n_nationkey THEN 0.99 - ((n_nationkey * 13 + k * 7) % 10) / 200.0 ELSE 0.4 + ((n_nationkey * 5 + k * 11) % 30) / 100.0 END AS s FROM nation CROSS JOIN (SELECT explode(sequence(0, 59)) AS k)"
+
+
+@register(f"""WITH c AS ({_CURVES.replace("explode(sequence(0, 59))", "unnest(range(0, 60))")}), w AS (SELECT *, median(s) OVER (PARTITION BY c ORDER BY k ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS base, greatest(s, coalesce(lead(s) OVER (PARTITION BY c ORDER BY k), s)) AS two FROM c),
+ d AS (SELECT c, coalesce(min(k) FILTER (k >= 14 AND k < 59 AND base >= 0.9 AND s <= base - 0.12 AND two < 0.85), 60) AS e FROM w GROUP BY c), x AS (SELECT w.c, any_value(e) AS e, min(k) FILTER (k < least(e, 59) AND two < 0.55) AS weak FROM w JOIN d ON w.c = d.c GROUP BY w.c),
+ y AS (SELECT c, coalesce(weak, e) AS e FROM x) SELECT y.c, CASE WHEN any_value(e) < 14 OR avg((s >= 0.75)::INT) FILTER (k < e) < 0.8 THEN 0 ELSE any_value(e) END::BIGINT AS boundary FROM y JOIN c ON c.c = y.c GROUP BY y.c""")
+def flank_boundaries(spark, sf_dir):
+    """Ends of constant regions under curves of supports."""
+    t = spark.sql(_CURVES.replace("FROM nation", "FROM {t}"), t=spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    rows = t.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("x")).collect()
+    return spark.createDataFrame([(r["c"], detection.boundary([float(v["s"]) for v in r["x"]])) for r in rows], "c int, boundary bigint")
+
+
+@register(WITH + "SELECT k::BIGINT AS \"offset\", base, round(n / total, 9) AS support FROM (SELECT k, base, n, sum(n) OVER (PARTITION BY k) AS total, row_number() OVER (PARTITION BY k ORDER BY n DESC, first) AS place FROM (SELECT k, substr(sequence, k::INT + 1, 1) AS base, count(*) AS n, min(read_index) AS first FROM (SELECT read_index, sequence, unnest(range(0, least(length(sequence), 60))) AS k FROM reads) GROUP BY ALL)) WHERE place = 1 AND total >= 100 AND k < (SELECT coalesce(min(k), 60) FROM (SELECT r.k, count(q.read_index) AS covered FROM (SELECT unnest(range(0, 60)) AS k) r LEFT JOIN reads q ON length(q.sequence) > r.k GROUP BY r.k) WHERE covered < 100)")
+def consensus_5p(spark, sf_dir):
+    bases, supports = detection.consensus(reads(spark, sf_dir), True, 100)
+    return spark.createDataFrame([(k, b, round(x, 9)) for k, (b, x) in enumerate(zip(bases, supports, strict=True))], "offset bigint, base string, support double")
+
+
+# metadata with attributes, overrides and the archive's answers
+
+ATTRIBUTED = """
+SELECT run_accession, sample_title, library_name, CASE p % 5
+  WHEN 0 THEN map('selex round', CAST(p % 9 AS STRING)) WHEN 1 THEN map('PCR cycle', concat('R', CAST(p % 9 AS STRING)))
+  WHEN 2 THEN map('age', '5') WHEN 3 THEN map('round', 'x') ELSE map('Characteristics [selection cycle]', concat('cycle ', CAST(p % 9 AS STRING))) END AS sample_attributes
+FROM (SELECT *, CAST(substr(run_accession, 4) AS INTEGER) AS p FROM runs)
+"""
+_OVERRIDES = {"RUN1": 90, "RUN7": 91, "RUN20": 92}
+
+
+@register(f"WITH runs AS ({RUNS}), f AS (SELECT run_accession, CAST(substr(run_accession, 4) AS INTEGER) AS p, {_found('t')} AS a, {_found('l')} AS b FROM {_SEPARATED}), t AS (SELECT *, CASE WHEN len(a) > 0 THEN a[1] WHEN len(b) > 0 THEN b[1] END AS r, CASE WHEN len(a) > 0 THEN CASE WHEN len(list_distinct(a)) = 1 THEN 'HIGH' ELSE 'MEDIUM' END WHEN len(b) > 0 THEN 'MEDIUM' ELSE 'NONE' END AS c, CASE WHEN len(a) > 0 THEN 'sample_title' WHEN len(b) > 0 THEN 'library_name' ELSE 'none' END AS s FROM f) SELECT run_accession, CASE run_accession WHEN 'RUN1' THEN 90 WHEN 'RUN7' THEN 91 WHEN 'RUN20' THEN 92 ELSE CASE WHEN p % 5 IN (0, 4) OR (p % 5 = 1 AND r IS NULL) THEN p % 9 ELSE r END END AS round_number, CASE WHEN run_accession IN ('RUN1', 'RUN7', 'RUN20') OR p % 5 IN (0, 4) THEN 'HIGH' WHEN p % 5 = 1 AND r IS NULL THEN 'MEDIUM' ELSE c END AS confidence, CASE WHEN run_accession IN ('RUN1', 'RUN7', 'RUN20') THEN 'seed_override' WHEN p % 5 IN (0, 4) OR (p % 5 = 1 AND r IS NULL) THEN 'sample_attributes' ELSE s END AS source_field FROM t")
+def round_inference_attributes(spark, sf_dir):
+    """The whole cascade: overrides, attributes that are sure or not, texts."""
+    runs(spark, sf_dir).createOrReplaceTempView("readloom_runs")
+    table = spark.sql(ATTRIBUTED.replace("FROM runs", "FROM readloom_runs"))
+    return rounds.infer_rounds(table, _OVERRIDES).select("run_accession", "round_number", "confidence", "source_field")
+
+
+_VALUES = "SELECT p_partkey, concat(CASE p_partkey % 6 WHEN 0 THEN 'Round ' WHEN 1 THEN 'c-' WHEN 2 THEN '' WHEN 3 THEN ' R_' WHEN 4 THEN 'cycle' ELSE 'x' END, CAST(p_size AS STRING), CASE WHEN p_partkey % 7 = 0 THEN 'th' ELSE ' ' END) AS v, concat(CASE WHEN p_partkey % 2 = 0 THEN 'Thrombin_2 ' ELSE 'lower ' END, CASE p_partkey % 3 WHEN 0 THEN 'Round 3' WHEN 1 THEN 'R5' ELSE 'pool' END) AS t FROM part"
+
+
+@register(f"SELECT p_partkey, try_cast(nullif(regexp_extract(trim(v), '(?i)^(?:(?:round|cycle|r|c)[\\s_\\-]*)?(\\d+)$', 1), '') AS INTEGER) AS value, nullif(regexp_extract(trim(t), '^([A-Z][A-Za-z0-9_-]+)[\\s_-]+(?:[Rr]ound|[Rr]\\d|[Cc]ycle)', 1), '') AS hint FROM ({_VALUES})")
+def attribute_values(spark, sf_dir):
+    t = _view(spark, sf_dir, _VALUES, "part")
+    return t.select("p_partkey", rounds.attribute_value(F.col("v")).alias("value"), rounds.target_hint(F.col("t")).alias("hint"))
+
+
+@register("SELECT concat('RUN', n_nationkey) AS run_accession, concat('S', n_nationkey % 10) AS sample_accession, CASE WHEN n_nationkey % 10 < 7 THEN concat('v', n_nationkey % 10) END AS tag, [concat('host/', n_name, '_1.fq.gz'), concat('host/', n_name, '_2.fq.gz')] AS fastq_urls, [10.0, 20.0] AS fastq_bytes FROM nation")
+def archive_runs(spark, sf_dir):
+    """A run report and its samples, as an archive would answer: a busy service, a missing batch, then one by one."""
+    nations = [(r["n_nationkey"], r["n_name"]) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()]
+    own = {"run_accession": "RUN{k}", "sample_accession": "S{m}", "fastq_ftp": "host/{n}_1.fq.gz; host/{n}_2.fq.gz;", "fastq_bytes": "10;x;20", "study_accession": "P"}
+    lines = ["\t".join(archive.FIELDS)] + ["\t".join(own.get(f, "NA").format(k=k, m=k % 10, n=n) for f in archive.FIELDS) for k, n in nations]
+    busy = [(200, b"ERROR occurred")]
+
+    def transport(url: str, timeout: float) -> tuple[int, bytes]:
+        if url.startswith(archive.REPORT_URL):
+            return busy.pop() if busy else (200, "\n".join(lines).encode())
+        names = url[len(archive.SAMPLE_URL) :].split(",")
+        if len(names) > 1 or int(names[0][1:]) >= 7:
+            return 404, b""
+        pairs = f"<SAMPLE_ATTRIBUTE><TAG>tag</TAG><VALUE>v{names[0][1:]}</VALUE></SAMPLE_ATTRIBUTE>" * 2 + "<SAMPLE_ATTRIBUTE><TAG>ENA-X</TAG><VALUE>1</VALUE></SAMPLE_ATTRIBUTE>"
+        return 200, f"<S><SAMPLE accession='{names[0]}'>{pairs}</SAMPLE></S>".encode()
+
+    found = archive.inspect(spark, "P", transport=transport, sleep=lambda s: None).runs
+    return found.select("run_accession", "sample_accession", F.try_element_at("sample_attributes", F.lit("tag")).alias("tag"), "fastq_urls", "fastq_bytes")
+
+
+# plots and manifests
+
+
+@register(WITH + _YIELD.format(k="round").replace("count(*) AS input_reads, count(e.read_index) AS output_reads, ", "").replace("AS fraction_kept", 'AS "yield", 0.9::DOUBLE AS match_rate_5p, 0.8::DOUBLE AS match_rate_3p').replace("round(count(e", "round(count(e"))
+def plot_primer_match(spark, sf_dir):
+    report = LibraryReport(match_rate_5p=0.9, match_rate_3p=0.8)
+    return quality.primer_match(_yields(spark, sf_dir, "round"), report).withColumn("yield", F.round("yield", 9))
+
+
+@register(WITH + _per_round_sql() + "SELECT round, n_unique, round(shannon_entropy_bits, 8) AS shannon_entropy_bits, round(top_100_coverage, 9) AS top_100_coverage FROM metrics")
+def plot_diversity(spark, sf_dir):
+    t = quality.diversity(quality.basics(counts(spark, sf_dir)))
+    return t.select("round", "n_unique", F.round("shannon_entropy_bits", 8).alias("shannon_entropy_bits"), F.round("top_100_coverage", 9).alias("top_100_coverage"))
+
+
+@register("SELECT * FROM (VALUES ('bare', 'retention', true, 2, 3), ('bare', 'primer_match', false, 2, 3), ('bare', 'length', false, 2, 3), ('bare', 'diversity', true, 2, 3), ('full', 'retention', true, 1, 3), ('full', 'primer_match', true, 1, 3), ('full', 'length', true, 1, 3)) AS t(kind, panel, available, rows, columns)")
+def plot_panels(spark, sf_dir):
+    """Which plots have their data, and their grid."""
+    c = counts(spark, sf_dir)
+    found = quality.Quality(quality.basics(c), None, [], {})
+    out = []
+    for kind, which, more in (("bare", quality.PANELS, {}), ("full", quality.PANELS[:3], {"counts": c, "rates": _yields(spark, sf_dir, "round")})):
+        panels, (rows, columns) = quality.panels(found, which=which, **more)
+        out += [(kind, p.name, p.available, rows, columns) for p in panels]
+    return spark.createDataFrame(out, "kind string, panel string, available boolean, rows int, columns int")
+
+
+@register("SELECT * FROM (VALUES ('accession', 'ACC'), ('extraction_mode', 'BOTH_PRIMERS_SINGLE_READ'), ('flags', 'a,b'), ('full_insert_recovered', 'true'), ('parameters', '{\"a\": \"x\", \"b\": \"2\"}'), ('primer_5p', '" + P5 + "'), ('read_source', 'R1'), ('required_action', 'NONE'), ('runs', 'R1,R2'), ('sampling_seed', '42'), ('status', 'LOW')) AS t(field, value)")
+def manifest_fields(spark, sf_dir):
+    """A manifest of a corrected report, written and read back."""
+    import json
+    import tempfile
+
+    from .plans import manifest
+    from .plans.report import corrected, read_report, write_report
+
+    folder = tempfile.mkdtemp(prefix="readloom-manifest-")
+    write_report(corrected(LibraryReport(), P5, P3), f"{folder}/report.json")
+    report = read_report(f"{folder}/report.json")
+    manifest.write(manifest.build(report, accession="ACC", runs=["R1", "R2"], parameters={"b": 2, "a": "x"}, flags=["a", "b"]), f"{folder}/m.json")
+    m = manifest.read(f"{folder}/m.json")
+    rows = [(k, m[k]) for k in ("accession", "extraction_mode", "read_source", "required_action")] + [(k, ",".join(m[k])) for k in ("flags", "runs")]
+    rows += [("full_insert_recovered", str(m["full_insert_recovered"]).lower()), ("parameters", json.dumps(m["parameters"])), ("sampling_seed", str(m["sampling_seed"])), ("primer_5p", m["library_report"]["primer_5p"]), ("status", m["library_report"]["status"])]
+    return spark.createDataFrame(rows, "field string, value string")
