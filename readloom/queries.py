@@ -6,6 +6,9 @@ The driver's tables hold no sequencing reads, so reads are derived from whole
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -609,12 +612,22 @@ def barcode_distances(spark, sf_dir):
 _FASTQ = "concat('@', CAST(read_index AS STRING), chr(10), sequence, chr(10), '+', chr(10), repeat('I', length(sequence)))"
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see: in ``spark.checkpoint.dir`` where that is a mounted path; only a local master may do without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = re.sub("^file:(//)?(?=/)", "", root) if root else None
+    if root and root.startswith("/"):
+        os.makedirs(root, exist_ok=True)
+    elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        root = None
+    else:
+        raise ValueError("spark.checkpoint.dir must be a mounted path that the driver and all executors share.")
+    return tempfile.mkdtemp(prefix="readloom-files-", dir=root)
+
+
 def _written(spark, sf_dir) -> dict[str, str]:
     """A FASTQ file of each round's reads by read_index; rounds are few, and a file is one task by nature."""
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="readloom-fastq-")
-    out = {}
+    folder, out = _folder(spark), {}
     for name in ROUNDS:
         path = f"{folder}/{name}.fastq"
         rows = reads(spark, sf_dir).filter(F.col("round") == name).orderBy("read_index").select(F.expr(_FASTQ))
@@ -647,10 +660,9 @@ def read_inputs_files(spark, sf_dir):
 @register(WITH + "SELECT k AS format, sequence, reads::DOUBLE AS reads, rank::INTEGER AS rank FROM ranked CROSS JOIN (VALUES ('csv'), ('parquet'), ('tsv')) AS f(k) WHERE round = 'round_01'")
 def count_files(spark, sf_dir):
     """One round's counts written to every format and read back under the contract."""
-    import tempfile
     from functools import reduce
 
-    folder = tempfile.mkdtemp(prefix="readloom-counts-")
+    folder = _folder(spark)
     one = counting.count_sequences(reads(spark, sf_dir).filter("round = 'round_01'")).drop("round")
     out = []
     for kind in ("csv", "parquet", "tsv"):
@@ -811,12 +823,11 @@ def plot_panels(spark, sf_dir):
 def manifest_fields(spark, sf_dir):
     """A manifest of a corrected report, written and read back."""
     import json
-    import tempfile
 
     from .plans import manifest
     from .plans.report import corrected, read_report, write_report
 
-    folder = tempfile.mkdtemp(prefix="readloom-manifest-")
+    folder = _folder(spark)
     write_report(corrected(LibraryReport(), P5, P3), f"{folder}/report.json")
     report = read_report(f"{folder}/report.json")
     manifest.write(manifest.build(report, accession="ACC", runs=["R1", "R2"], parameters={"b": 2, "a": "x"}, flags=["a", "b"]), f"{folder}/m.json")
