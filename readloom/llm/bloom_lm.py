@@ -42,6 +42,8 @@ CHUNK, MOST_CHUNK = 1 << 19, 8 << 20
 OWNED, LOOK_UP_BYTES = 1 << 20, 8 << 20
 #: Input bytes for one shard of the counts, and distinct keys a task holds before it passes them on.
 SHARD_BYTES, FLUSH = 2 << 20, 1_500_000
+#: Keys from the flushes of a shard that a task takes in before it sums them; more where the shard has more distinct ones.
+MERGE_KEYS = 1 << 18
 
 _END = np.uint64(0x5EED0FE11D0C0DE5)
 _BEGIN = np.uint64(0xB0B0CAFE12345677)
@@ -178,13 +180,18 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def gather_counts(texts: DataFrame, shard_bits: int) -> DataFrame:
-    """Counts of words and pairs of a column ``_text``: a row for each kind and shard with packed keys and counts."""
+    """Counts of words and pairs of a column ``_text``: a row for each kind and shard with packed keys and counts.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    The flushes of a shard grow with the input, most of all where a frequent
+    history's pairs stand, so they are summed as they come: besides one batch a
+    task holds at most twice the shard's distinct keys, or ``MERGE_KEYS`` more.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         held: dict[int, list] = {WORD: [], PAIR: []}
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             rows = []
             for kind, parts in held.items():
                 if parts:
@@ -208,16 +215,44 @@ def gather_counts(texts: DataFrame, shard_bits: int) -> DataFrame:
         if size:
             yield flush()
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by kind and shard; what came is put together whenever it outgrows the distinct keys so far."""
         trim()
-        keys, counts = _runs(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.uint64))
-        return pd.DataFrame({"kind": [pdf["kind"][0]], "shard": [pdf["shard"][0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "types": [len(keys)], "total": [int(counts.sum())]})
+        group, keys, counts, parts, size = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64), [], 0
+
+        def fold() -> None:
+            nonlocal keys, counts, size
+            if parts:
+                keys, counts = _runs(np.concatenate([keys, *(k for k, _ in parts)]), np.concatenate([counts, *(c.astype(np.uint64) for _, c in parts)]))
+                parts.clear()
+                size = 0
+
+        def whole() -> pa.RecordBatch:
+            fold()
+            row = {"kind": group[0], "shard": group[1], "keys": keys.tobytes(), "counts": counts.tobytes(), "types": len(keys), "total": int(counts.sum())}
+            return pa.RecordBatch.from_pylist([row], schema=_MERGED)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(i)[k].as_py() for i, name in enumerate(_PACKED.names)}
+                if (row["kind"], row["shard"]) != group:
+                    if group:
+                        yield whole()
+                    group, keys, counts = (row["kind"], row["shard"]), keys[:0].copy(), counts[:0].copy()
+                parts.append((np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.uint32)))
+                size += len(parts[-1][0])
+                if size > max(len(keys), MERGE_KEYS):
+                    fold()
+        if group:
+            yield whole()
 
     packed = texts.mapInArrow(count, "kind int, shard int, keys binary, counts binary")
-    return packed.groupBy("kind", "shard").applyInPandas(merge, "kind int, shard int, keys binary, counts binary, types bigint, total bigint")
+    together = packed.repartition("kind", "shard").sortWithinPartitions("kind", "shard")
+    return together.mapInArrow(merge, "kind int, shard int, keys binary, counts binary, types bigint, total bigint")
 
 
 _PACKED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_MERGED = pa.schema([*_PACKED, ("types", pa.int64()), ("total", pa.int64())])
 
 
 def filter_pieces(counts: DataFrame, min_pair: int) -> DataFrame:

@@ -112,3 +112,26 @@ def test_look_ups_in_many_shards_and_salts(spark, sf):
     few, many = ({r._row: (r.base_score, r.n_known) for r in B.base_scores(rows, counts, 6, 10**6, 10**5, *most).collect()} for most in ((1 << 20, 24 << 20), (1000, 1000)))
     assert few.keys() == many.keys() and len(few) == docs.distinct().count()
     assert all(abs(few[k][0] - many[k][0]) < 1e-6 * abs(few[k][0]) and few[k][1] == many[k][1] for k in few)
+
+
+def test_a_shard_is_never_held_with_all_its_flushes(spark, monkeypatch):
+    rows = [(" ".join(f"hot w{(7 * i + k) % 60}" for k in range(30)),) for i in range(400)]
+    texts = spark.createDataFrame(rows, "_text string").repartition(4)
+    for name, value in {"CHUNK": 1000, "FLUSH": 50, "MERGE_KEYS": 100}.items():
+        monkeypatch.setattr(B, name, value, raising=False)
+    runs = B._runs
+
+    def bounded(keys, counts):
+        assert len(keys) < 400, f"{len(keys)} keys at once"  # no shard has that many distinct ones, but its flushes do together
+        return runs(keys, counts)
+
+    monkeypatch.setattr(B, "_runs", bounded)
+    got = B.gather_counts(texts, 4).collect()
+    expected = Counter(w for (t,) in rows for w in [*t.split(), None])
+    assert len({(r.kind, r.shard) for r in got}) == len(got)
+    assert sorted(n for r in got if r.kind == B.WORD for n in np.frombuffer(r.counts, np.uint64)) == sorted(expected.values())
+    assert sum(r.total for r in got if r.kind == B.PAIR) == sum(expected.values())
+    for r in got:
+        keys = np.frombuffer(r["keys"], np.uint64)
+        assert len(keys) == r.types and (keys[1:] > keys[:-1]).all()
+        assert r.total == np.frombuffer(r.counts, np.uint64).sum() and set((keys >> np.uint64(60)).tolist()) == {r.shard}
